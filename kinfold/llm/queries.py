@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, permutation_index, sharding, token_counts, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, permutation_index, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ RULES = [
 ]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op9_nearest, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op9_nearest, op10_sharding)}
 
 
 MIX_SQL = r"""
