@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, permutation_index, sharding, token_counts, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, permutation_index, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    held = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.judge(docs, lexicon).select("doc_id", held, "score", "predicted")
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -65,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op9_nearest, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op7_toxicity, op9_nearest, op10_sharding)}
 
 
 MIX_SQL = r"""
