@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, permutation_index, sharding, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOKEN_LIMIT = 1024
 MIX_WEIGHTS, MIX_CAP = [1.0, 2.0, 3.0], 3.0
 SHARDS = 24
+#: A deployment passes its own secret.
+PSEUDONYM_KEY = "registered-query"
 RULES = [
     url_filter.Rule("net", "/", False),
     url_filter.Rule("example.net", "/en/", True),
@@ -63,6 +65,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, lexicon).select("doc_id", held, "score", "predicted")
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return done.select("doc_id", "text", "n_pii", *[f"n_{k}" for k in pseudonyms.KINDS])
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -72,7 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op7_toxicity, op9_nearest, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op7_toxicity, op8_pseudonyms, op9_nearest, op10_sharding)}
 
 
 MIX_SQL = r"""
