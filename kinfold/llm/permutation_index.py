@@ -32,12 +32,12 @@ from kinfold.operators.scratch import settle
 
 PIVOTS = 256
 NEAR = 64
-SHARE = 0.25
+SHARE = 0.12
 #: Rows of an index block and of a query block.
 BLOCK = 4096
 QUERY_BLOCK = 512
 #: Candidates reranked in a block at least.
-LEAST = 128
+LEAST = 256
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -86,16 +86,16 @@ def _search_block(ids, x, files, q_ids, q, q_places, near, k, count):
 
     ``files``: vectors by pivot, ``count`` of them are reranked."""
     starts, members, places = files
-    columns = np.ascontiguousarray(x.T)
-    out = []
+    out, at, n = [], np.arange(len(ids)), len(ids)
     for i in range(len(q_ids)):
-        gain = np.zeros(len(ids), "i4")  # a constant less half the footrule distance
+        gain = np.zeros(n, "i8")  # a constant less half the footrule distance
         for place, pivot in enumerate(q_places[i]):
             lo, hi = starts[pivot], starts[pivot + 1]
             gain[members[lo:hi]] += near - np.maximum(places[lo:hi], place)
-        front = np.sort(np.argsort(-gain, kind="stable")[: count + 1])
+        order = at - gain * n  # no two are equal: of equal gains the smaller id is first
+        front = np.sort(np.argpartition(order, count)[: count + 1]) if count + 1 < n else at
         front = front[ids[front] != q_ids[i]]
-        score = (columns[:, front] * q[i][:, None]).sum(axis=0)
+        score = (x[front] * q[i]).sum(axis=1)
         best = np.argsort(-score, kind="stable")[:k]  # the front is in order of ids
         out.append((np.full(len(best), q_ids[i]), ids[front[best]], score[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
