@@ -32,12 +32,12 @@ from kinfold.operators.scratch import settle
 
 PIVOTS = 256
 NEAR = 64
-SHARE = 0.12
+SHARE = 0.15
 #: Rows of an index block and of a query block.
 BLOCK = 4096
 QUERY_BLOCK = 512
 #: Candidates reranked in a block at least.
-LEAST = 256
+LEAST = 360
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
