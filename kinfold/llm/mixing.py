@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.operators.prefix import BINS, running_totals
+from kinfold.operators.salting import salted_join
 from kinfold.operators.scratch import settle
 
 #: Fixed value: what counts as a word.
@@ -100,10 +101,8 @@ def mix(
     rows = settle(rows, "sizes")  # the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_tilt")).alias("_tilted"))
     goal = targets(sizes.drop("_tilted"), F.sum("source_size").over(Window.partitionBy()).cast("double"), weights, cap)
-    goal = goal.withColumnRenamed("source", "_s").join(
-        sizes.select(F.col("source").alias("_s2"), "_tilted"), F.col("_s").eqNullSafe(F.col("_s2"))
-    ).drop("_s2")
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    goal = goal.join(sizes.select(F.col("source").alias("_s"), "_tilted"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = salted_join(rows, settle(goal, "goal"), ["source"], ["doc_id", "size"])
     tilted = F.when(F.col("_tilted") > 0, F.col("_tilt") / F.col("_tilted")).otherwise(1.0 / F.col("source_size"))
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") * tilted, F.lit(float(cap)))).otherwise(0.0)
     rows = rows.withColumn("_expected", expected)
@@ -113,9 +112,7 @@ def mix(
     wanted = rows.groupBy("source").agg(
         F.sum(F.col("_sure") * F.col("size")).alias("_given"), F.avg(F.when(F.col("_p") > 1e-9, F.col("_p"))).alias("_mean")
     )
-    rows = rows.join(
-        wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left"
-    ).drop("_s")
+    rows = salted_join(rows, wanted, ["source"], ["doc_id", "size"])
     # u's odds over p's; times the source's mean odds, which keeps the order and
     # spreads it evenly over (0, 1)
     u = uniform(F.col("doc_id"), seed)
