@@ -1,11 +1,12 @@
 """Sharding by balanced label propagation.
 
-Documents are linked with those of equal text.  Copies of a text on one shard
-are interchangeable, so labels are kept as (text, shard, how many).  A round of
-Spark joins lets each text pick the shard that holds most of it and still has
-room, and moves its copies there as far as the shard's quota of rows goes; what
-does not fit picks another shard in the next round.  In the end unlinked
-documents fill what room is left, so that row counts differ by one at most.
+Documents start with hashed labels and are linked with those of equal text.
+Copies of a text with one label are interchangeable, so labels are kept as
+(text, shard, how many).  A round of Spark joins lets each text pick the shard
+that most of its copies name and that has room, and moves its copies there as
+far as the shard's quota of rows goes; what does not fit moves on in the next
+round.  In the end unlinked documents fill what room is left, so that row
+counts differ by one at most.
 
 The law is ``rows``.  A text with more copies than a shard has rows is spread
 over as few shards as its quotas allow, never gathered in one task: positions
@@ -24,11 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.operators.prefix import hash_bins, running_totals
+from kinfold.operators.salting import salted_join
 from kinfold.operators.scratch import settle
 
-#: Rounds of label propagation; each is a few joins on the linked texts only.
-ROUNDS = 4
-
 
 def _lookup(shard: Column, values: list[int]) -> Column:
     """Value of a shard from a list (one entry a shard)."""
@@ -41,32 +40,34 @@ def _load(held: DataFrame, shards: int) -> list[int]:
     return [have.get(s, 0) for s in range(shards)]
 
 
-def _round(held: DataFrame, quota: list[int]) -> DataFrame:
-    """One round over (g, shard, cnt)."""
-    load = _load(held, len(quota))
-    room = [q - n for q, n in zip(quota, load, strict=True)]
-    spare = held.withColumn("room", _lookup(F.col("shard"), room))
-    best = spare.filter("room > 0").groupBy("g").agg(
-        F.max(F.struct("cnt", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("best")
-    )
-    moving = held.join(best, "g").filter(
-        (F.col("shard") != F.col("best.shard")) & (F.col("cnt") <= F.col("best.cnt"))
-    ).select("g", "shard", "cnt", F.col("best.shard").alias("to"))
-    wish = moving.groupBy("g", "to").agg(F.sum("cnt").alias("wish"))
-    wish = running_totals(wish, ["to"], hash_bins("g"), ["g"], F.col("wish"))
-    given = F.greatest(F.least("wish", _lookup(F.col("to"), room) - F.col("before")), F.lit(0))
-    wish = wish.select("g", given.alias("given")).filter("given > 0")
-    ahead = F.coalesce(
-        F.sum("cnt").over(Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )  # a text has one row a shard
-    gone = moving.join(wish, "g").withColumn("gone", F.greatest(F.least("cnt", F.col("given") - ahead), F.lit(0)))
-    change = gone.select("g", "shard", (-F.col("gone")).alias("cnt")).unionByName(
-        gone.select("g", F.col("to").alias("shard"), F.col("gone").alias("cnt"))
-    )
-    return held.unionByName(change).groupBy("g", "shard").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0")
-
-
-def shard(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def _propagate(pulls: DataFrame, need: DataFrame, room: list[int], placed: DataFrame | None) -> tuple[DataFrame | None, list[int]]:
+    """Where copies go: (g, shard, cnt), added to ``placed``, and the room left,
+    from labels (g, shard, cnt) and the number of copies (g, n) of each text.
+
+    In a round each text moves all copies that have no place yet towards the
+    shard with most of its labels among those with room (one picked by hash, if
+    none of its labels has room), up to the quota.  Copies are left over only
+    where a shard became full, so there are at most as many rounds as shards."""
+    for turn in range(len(room) + 1):
+        if not need.limit(1).count():
+            break
+        free = [s for s, r in enumerate(room) if r > 0]
+        drawn = pulls.filter(F.col("shard").isin(free)).groupBy("g").agg(
+            F.max(F.struct("cnt", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("best")
+        )
+        other = F.element_at(F.array(*[F.lit(s) for s in free]), (F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(len(free))) + 1).cast("int"))
+        wish = need.join(drawn, "g", "left").select("g", "n", F.coalesce(F.col("best.shard"), other).alias("shard"))
+        wish = running_totals(wish, ["shard"], hash_bins("g"), ["g"], F.col("n"))
+        given = F.greatest(F.least("n", _lookup(F.col("shard"), room) - F.col("before")), F.lit(0))
+        wish = settle(wish.select("g", "n", "shard", given.alias("cnt")), "moves")
+        moved = wish.filter("cnt > 0").select("g", "shard", "cnt")
+        placed = moved if placed is None else placed.unionByName(moved)
+        room = [r - n for r, n in zip(room, _load(moved, len(room)), strict=True)]
+        need = wish.filter("n > cnt").select("g", (F.col("n") - F.col("cnt")).alias("n"))
+    return placed, room
+
+
+def shard(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes + 8), text_crc32, law, shard and slot (its
     place in the shard, without gaps) of every row."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -83,20 +84,20 @@ def shard(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "te
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     held = rows.groupBy("g", "first").agg(F.count("*").alias("cnt"))
-    linked = held.groupBy("g").agg(F.sum("cnt").alias("copies")).filter("copies > 1")
+    linked = held.groupBy("g").agg(F.sum("cnt").alias("n")).filter("n > 1")
     linked = settle(linked, "linked")
-    held = settle(held.join(linked.select("g"), "g", "left_semi").select("g", F.col("first").alias("shard"), "cnt"), "held")
-    for _ in range(rounds):
-        held = settle(_round(held, quota), "held")
-    # a shard keeps its quota; each text's copies get a range of positions
-    held = running_totals(held, ["shard"], hash_bins("g"), ["g"], F.col("cnt"))
-    keep = F.greatest(F.least("cnt", _lookup(F.col("shard"), quota) - F.col("before")), F.lit(0))
-    held = held.withColumn("cnt", keep).filter("cnt > 0").drop("before")
+    pulls = settle(held.join(linked.select("g"), "g", "left_semi").select("g", F.col("first").alias("shard"), "cnt"), "labels")
+    # texts with the share of a shard choose first, so that they lie on few
+    large = max(2, total // shards // 4)
+    placed, room = _propagate(pulls, linked.filter(F.col("n") > large), quota, None)
+    placed, room = _propagate(pulls, linked.filter(F.col("n") <= large), room, placed)
+    held = placed if placed is not None else pulls.limit(0)
+    # each text's copies get a range of positions on each of its shards
     places = Window.partitionBy("g").orderBy("shard")
     held = held.withColumn("upto", F.sum("cnt").over(places)).withColumn("start", F.col("upto") - F.col("cnt"))
     held = settle(held, "held")
     spots = held.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("start", "upto", "shard"))).alias("spots"))  # one entry a shard at most
-    rows = settle(rows.join(spots.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g"), "left").drop("_g"), "spots")
+    rows = settle(salted_join(rows, spots, ["g"], ["doc_id", "size"]), "spots")
     copies = running_totals(rows.filter("spots is not null"), ["g"], hash_bins("doc_id", "size"), ["doc_id"], F.lit(1), "pos")
     hit = F.filter("spots", lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["upto"]))
     plain = ["doc_id", "size", "text_crc32"]
@@ -104,7 +105,6 @@ def shard(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "te
     single = rows.filter("spots is null").select(*plain, F.lit(None).cast("int").alias("shard"))
     rows = settle(copies.unionByName(single), "placed")
     # the rest fills the room that is left
-    room = [q - n for q, n in zip(quota, _load(held, shards), strict=True)]
     ends = [sum(room[: s + 1]) for s in range(shards)]
     free = running_totals(rows.filter("shard is null"), [], hash_bins("doc_id", "size"), ["doc_id"], F.lit(1), "pos")
     fill = reduce(lambda other, s: F.when(F.col("pos") < ends[s], F.lit(s)).otherwise(other), reversed(range(shards)), F.lit(None).cast("int"))
