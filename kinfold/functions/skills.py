@@ -50,10 +50,10 @@ def without_near(items: Column, ratio: float = FUZZY_SKILL_RATIO) -> Column:
     """Drop items that are nearly one kept before them (compared in lower case)."""
 
     def add(kept: Column, x: Column) -> Column:
-        # lengths alone bound the ratio, which spares most tables
+        # no edit distance is above the insertions and deletions that the ratio allows, which spares most tables
         def near(k: Column) -> Column:
-            la, lb = F.length(k), F.length(x)
-            return (200.0 * F.least(la, lb) / (la + lb) >= ratio) & (similarity(F.lower(x), F.lower(k)) >= ratio)
+            allowed = (F.length(k) + F.length(x)) * (100.0 - ratio) / 100.0 + 1e-9
+            return (F.levenshtein(F.lower(k), F.lower(x)) <= allowed) & (similarity(F.lower(x), F.lower(k)) >= ratio)
 
         return F.when(F.exists(kept, near), kept).otherwise(F.array_append(kept, x))
 
