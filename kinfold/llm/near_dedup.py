@@ -12,9 +12,11 @@ At a similarity of 0.75 a pair of texts misses every table with probability
 Equal sets are merged first.  A table key then links its members to their
 smallest one (a star, never all pairs).  Members that the stars and their
 connected components leave apart are compared across components only: in each
-key, those outside its largest component against the others, behind exact size
+key, those outside its largest component against the others, behind exact
 bounds and a 64-bit sketch of one-bit minima (wrong for a pair at 0.75 with
-probability 0.00003).
+probability 0.00003).  The bounds are the sizes, and the size of a set without
+the shingles that no other undecided set has: edited copies that are too far
+from everything drop out there.
 
 Defined results: A-Z are lower-cased, words are runs other than white space;
 null, empty and blank texts have no shingles and link to nothing; texts shorter
@@ -191,6 +193,13 @@ def _likely(percent: int):
     return (100 * small >= percent * large) & near
 
 
+def _undecided(placed: DataFrame) -> DataFrame:
+    """Rows of keys with several components, and each key's largest (``major``)."""
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"))
+    return placed.join(parts.filter("parts > 1").select("key", F.col("m.component").alias("major")), "key")
+
+
 def classes(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -229,14 +238,19 @@ def classes(
     placed = keys.join(found, F.col("rep") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    placed = settle(placed.join(light, "rep"), "placed")
-    most = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    most = most.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"))
-    most = most.filter("parts > 1").select("key", F.col("m.component").alias("major"))
-    open_keys = settle(placed.join(most, "key"), "open-keys")
-    outside = open_keys.filter("component <> major")
-    others = open_keys.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits")])
-    across = outside.join(others, "key").filter(F.col("component") != F.col("component2")).filter(_likely(percent))
+    still = settle(_undecided(settle(placed.join(light, "rep"), "placed")), "undecided")
+    # shingles that no other undecided set has cannot be part of an intersection
+    mine = sets.join(still.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("full").alias("s"))
+    own = mine.groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
+    own = own.groupBy("rep").agg(F.count("*").alias("own"))
+    still = still.drop("major").join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    still = settle(_undecided(settle(still.filter(100 * F.col("most") >= percent * F.col("n")), "possible")), "undecided")
+    others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")])
+    across = still.filter("component <> major").join(others, "key").filter(
+        (F.col("component") != F.col("component2"))
+        & ((100 + percent) * F.least("most", "most2") >= percent * (F.col("n") + F.col("n2")))
+        & _likely(percent)
+    )
     across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     links = settle(links.unionByName(confirmed(across, sets, percent)), "links")
     found = connected_components(links)
