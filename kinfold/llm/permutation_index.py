@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kinfold.operators.scratch import settle
 
 PIVOTS = 256
-NEAR = 64
+NEAR = 64  # at most 255
 SHARE = 0.15
 #: Rows of an index block and of a query block.
 BLOCK = 4096
@@ -86,16 +86,21 @@ def _search_block(ids, x, files, q_ids, q, q_places, near, k, count):
 
     ``files``: vectors by pivot, ``count`` of them are reranked."""
     starts, members, places = files
-    out, at, n = [], np.arange(len(ids)), len(ids)
+    n, out = len(ids), []
+    # the block's files side by side: how near the front a pivot stands, 0 if absent
+    table = np.zeros((len(starts) - 1, n), "u1")
+    table[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), members] = near - places
+    at, caps = np.arange(n, dtype="i4"), (near - np.arange(near)).astype("u1")[:, None]
     for i in range(len(q_ids)):
-        gain = np.zeros(n, "i8")  # a constant less half the footrule distance
-        for place, pivot in enumerate(q_places[i]):
-            lo, hi = starts[pivot], starts[pivot + 1]
-            gain[members[lo:hi]] += near - np.maximum(places[lo:hi], place)
-        order = at - gain * n  # no two are equal: of equal gains the smaller id is first
+        # a constant less half the footrule distance
+        gain = np.minimum(table[q_places[i]], caps).sum(axis=0, dtype="u2")
+        order = at - gain.astype("i4") * np.int32(n)  # no two are equal: of equal gains the smaller id is first
         front = np.sort(np.argpartition(order, count)[: count + 1]) if count + 1 < n else at
         front = front[ids[front] != q_ids[i]]
         score = (x[front] * q[i]).sum(axis=1)
+        if len(front) > k:  # all that are as good as the k-th
+            chosen = np.flatnonzero(score >= np.partition(score, -k)[-k])
+            front, score = front[chosen], score[chosen]
         best = np.argsort(-score, kind="stable")[:k]  # the front is in order of ids
         out.append((np.full(len(best), q_ids[i]), ids[front[best]], score[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
