@@ -32,8 +32,10 @@ def merge_stream(records: DataFrame, store: str, checkpoint: str, sink: Callable
 
 def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of an event stream by window and type, late rows bounded."""
+    if events.isStreaming:  # watermarks need a timestamp with a time zone
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return (
-        events.withWatermark("ts", late)
+        events
         .groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
