@@ -54,31 +54,29 @@ def _places(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
 
 
 def _pack(rows: DataFrame, size: int, parts: int) -> DataFrame:
-    """Rows gathered into blocks: (block, ids, data), doubles row by row, sorted by id."""
+    """Rows gathered into blocks: (part, ids, data), doubles row by row, sorted
+    by id.  Every one of the ``parts`` has one block, or more if it is large."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, made, ids, data, have = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def block():
-            i, x = np.concatenate(ids), np.concatenate(data)
-            order = np.lexsort((*x.T[:1], i))
-            return pd.DataFrame({"block": [f"{part}-{made}"], "ids": [i[order].tobytes()], "data": [x[order].tobytes()]})
+    def block(part, held):
+        i, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(i, kind="stable")
+        return pd.DataFrame({"part": [part], "ids": [i[order].tobytes()], "data": [x[order].tobytes()]})
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for lo in range(0, len(batch), size):
-                cut = batch.iloc[lo : lo + size]
-                ids.append(cut["vec_id"].to_numpy("i8"))
-                data.append(np.stack(cut["v"].to_numpy()).astype("f8"))
-                have += len(cut)
-                if have >= size:
-                    yield block()
-                    made, ids, data, have = made + 1, [], [], 0
-        if have:
-            yield block()
+            for part, own in batch.groupby("part"):
+                for lo in range(0, len(own), size):
+                    cut = own.iloc[lo : lo + size]
+                    rows = held.setdefault(part, [])
+                    rows.append((cut["vec_id"].to_numpy("i8"), np.stack(cut["v"].to_numpy()).astype("f8")))
+                    if sum(len(i) for i, _ in rows) >= 2 * size:
+                        yield block(part, held.pop(part))
+        for part, rows in held.items():
+            yield block(part, rows)
 
-    return rows.repartition(parts, "vec_id").mapInPandas(pack, "block string, ids binary, data binary")
+    part = F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(parts)).cast("int")
+    return rows.withColumn("part", part).repartition(parts, "part").mapInPandas(pack, "part int, ids binary, data binary")
 
 
 def _search_block(ids, x, files, q_ids, q, q_places, near, k, count):
@@ -144,15 +142,13 @@ def search(
                 [batch.reset_index(drop=True), pd.DataFrame(made, columns=["starts", "members", "places"])], axis=1
             )
 
-    fields = "block string, ids binary, data binary, starts binary, members binary, places binary"
-    index = settle(_pack(rows, BLOCK, -(-n // BLOCK)).mapInPandas(post, fields), "index")
+    fields = "part int, ids binary, data binary, starts binary, members binary, places binary"
+    parts = -(-n // BLOCK)
+    index = settle(_pack(rows, BLOCK, parts).mapInPandas(post, fields), "index")
     asked = rows.filter(is_query)
     queries = settle(_pack(asked, QUERY_BLOCK, max(1, -(-n // (20 * QUERY_BLOCK)))), "queries")
-    pairs = (
-        queries.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-        .join(F.broadcast(index.agg(F.collect_set("block").alias("blocks"))))  # names of blocks, one per BLOCK rows
-        .select("q_ids", "q_data", F.explode("blocks").alias("block"))
-    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    pairs = queries.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), every.alias("part"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,7 +160,7 @@ def search(
                 found = _search_block(ids, x, files, q_ids, q, _places(q, chosen.value, near), near, k, count)
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    found = pairs.join(index, "block").mapInPandas(look, "query_id long, vec_id long, score double")
+    found = pairs.join(index, "part").mapInPandas(look, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
