@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold import constants as K
+from kinfold.functions.skills import alias_map
 from kinfold.functions.text import distinct_by, lines, split_clean, strip
 from kinfold.schema import EDUCATION, EXPERIENCE, PROVENANCE
 
@@ -76,10 +77,8 @@ def section_of(line: Column) -> Column:
     """Name of the section that a header line opens, else null."""
     c = strip(F.regexp_replace(F.lower(strip(line)), r"[:\-–—_=]+$", ""))
     c = strip(F.regexp_replace(c, r"^[:\-–—_=]+", ""))
-    out = F.lit(None).cast("string")
-    for name, words in K.SECTION_KEYWORDS.items():
-        out = F.when(c.isin(*words), F.lit(name)).otherwise(out)
-    return out
+    names = {w: name for name, words in K.SECTION_KEYWORDS.items() for w in words}
+    return F.try_element_at(alias_map(names), c)
 
 
 def section(rows: Column, heads: Column, name: str) -> Column:
