@@ -9,14 +9,15 @@ before the pairs are formed.
 At a similarity of 0.75 a pair of texts misses every table with probability
 0.0005, at 0.8 with 0.00007.  Candidates are confirmed on the full sets.
 
-Equal sets are merged first.  A table key then links its members to their
-smallest one (a star, never all pairs).  Members that the stars and their
-connected components leave apart are compared across components only: in each
-key, those outside its largest component against the others, behind exact
-bounds and a 64-bit sketch of one-bit minima (wrong for a pair at 0.75 with
-probability 0.00003).  The bounds are the sizes, and the size of a set without
-the shingles that no other undecided set has: edited copies that are too far
-from everything drop out there.
+Equal sets are merged first.  A table key then links its members to one hub (a
+star, never all pairs): the member with the smallest share of shingles that no
+other candidate has, which is next to the text the others are copies of.  What
+the stars and their connected components leave apart is compared across
+components only: in each key, those outside its largest component with a hub of
+that component, then with all others.  Exact bounds stand before each
+comparison: the sizes, and the size of a set without shingles of its own; edited
+copies that are too far from everything drop out there.  So does a 64-bit sketch
+of one-bit minima, wrong for a pair at 0.75 with probability 0.00003.
 
 Defined results: A-Z are lower-cased, words are runs other than white space;
 null, empty and blank texts have no shingles and link to nothing; texts shorter
@@ -156,7 +157,7 @@ def shingles_udf(shingle: int = SHINGLE):
             rep = [int(_fingerprint(s, np.zeros(1, "i8"), 5).view("i8")[0]) if len(s) else 0 for s in sets]
             yield pd.DataFrame({"rep": rep, "full": [s.view("i8") for s in sets]})
 
-    return full
+    return full.asNondeterministic()  # or a null check on rep is moved below the join and runs it on all texts
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def table_keys(reps: DataFrame) -> DataFrame:
     )  # at most HALVES entries each
     keys = sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
     keys = settle(keys.select(F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key"), "rep"), "keys")
-    members = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).filter("c > 1").drop("c")
+    members = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     return settle(keys.join(members, "key"), "shared-keys")
 
 
@@ -186,11 +187,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.filter(100 * common >= percent * either).select("a", "b")
 
 
+def _with_hub(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows`` by key with a hub of the key in rep2, component2, n2, bits2, most2:
+    the one of ``hubs`` with the smallest share of shingles of its own, which is
+    next to the text that the others are copies of."""
+    best = F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "rep", "component", "n", "bits", "most")).alias("h")
+    hub = hubs.groupBy("key").agg(best)
+    return rows.join(hub.select("key", *[F.col(f"h.{c}").alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")]), "key")
+
+
 def _likely(percent: int):
-    """Exact size bounds and the sketch, for columns n, bits and n2, bits2."""
+    """What a link needs, for two sets with n, bits and most (the size without
+    shingles of its own): exact bounds of sizes and intersection, and the sketch."""
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
+    reach = (100 + percent) * F.least("most", "most2") >= percent * (F.col("n") + F.col("n2"))
     near = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= SKETCH_DIFFER
-    return (100 * small >= percent * large) & near
+    return (F.col("component") != F.col("component2")) & (100 * small >= percent * large) & reach & near
 
 
 def _undecided(placed: DataFrame) -> DataFrame:
@@ -212,17 +224,9 @@ def classes(
     )
     repeated = signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count() > 0
     first = groups.withColumnRenamed("first_id", "doc_id")
-    reps = settle(
-        signed.join(first, [*same, "doc_id"]).select(F.col("fp1").alias("rep"), "n", "halves", "bits"), "reps"
-    )
+    reps = signed.join(first, [*same, "doc_id"]).select(F.col("fp1").alias("rep"), "n", "halves", "bits")
+    reps = settle(reps.dropDuplicates(["rep"]) if repeated else reps, "reps")
     keys = table_keys(reps)
-    light = reps.select("rep", "n", "bits")
-    other = light.select(*[F.col(c).alias(f"{c}2") for c in light.columns])
-
-    # stars: each set with the smallest likely one that it shares a key with
-    stars = keys.filter("rep <> hub").select("rep", F.col("hub").alias("rep2")).distinct()
-    stars = stars.join(light, "rep").join(other, "rep2").filter(_likely(percent))
-    stars = stars.groupBy("rep").agg(F.min("rep2").alias("a")).select("a", F.col("rep").alias("b"))
     candidates = settle(keys.select("rep").distinct(), "candidates")
     wanted = groups.select(F.col("fp1").alias("rep"), "first_id").join(candidates, "rep").select("first_id").distinct()
     sets = (
@@ -231,26 +235,36 @@ def classes(
         .join(candidates, "rep", "left_semi")
     )
     sets = settle(sets.dropDuplicates(["rep"]) if repeated else sets, "full-sets")
-    links = settle(confirmed(stars, sets, percent), "links")
+    # shingles that no other candidate has cannot be part of an intersection
+    own = sets.select("rep", F.explode("full").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+    own = own.filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    light = reps.join(candidates, "rep", "left_semi").join(own, "rep", "left").select(
+        "rep", "n", "bits", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")
+    )
+    rows = settle(keys.join(light.filter(100 * F.col("most") >= percent * F.col("n")), "rep"), "rows")
+
+    def placed(found: DataFrame) -> DataFrame:
+        at = found.select(F.col("node").alias("rep"), "component")
+        return rows.join(at, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    # stars: each set with the best hub of its keys
+    stars = _with_hub(rows.withColumn("component", F.col("rep")), rows.withColumn("component", F.col("rep"))).filter(_likely(percent))
+    stars = stars.groupBy("rep").agg(F.max_by("rep2", F.struct(F.col("most2") / F.col("n2"), "rep2")).alias("rep2"))
+    tried = settle(stars.select(F.col("rep2").alias("a"), F.col("rep").alias("b")), "tried")
+    links = settle(confirmed(tried, sets, percent), "links")
     found = connected_components(links)
 
-    # across components: those outside a key's largest component with the others
-    placed = keys.join(found, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    still = settle(_undecided(settle(placed.join(light, "rep"), "placed")), "undecided")
-    # shingles that no other undecided set has cannot be part of an intersection
-    mine = sets.join(still.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("full").alias("s"))
-    own = mine.groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    own = own.groupBy("rep").agg(F.count("*").alias("own"))
-    still = still.drop("major").join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    still = settle(_undecided(settle(still.filter(100 * F.col("most") >= percent * F.col("n")), "possible")), "undecided")
+    # those outside a key's largest component with that component's hub
+    still = settle(_undecided(placed(found)), "undecided")
+    again = _with_hub(still.filter("component <> major"), still.filter("component = major")).filter(_likely(percent))
+    again = again.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = settle(links.unionByName(confirmed(again, sets, percent)), "links")
+    found = connected_components(links)
+
+    # and what is left of them with all others
+    still = settle(_undecided(placed(found)), "undecided")
     others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")])
-    across = still.filter("component <> major").join(others, "key").filter(
-        (F.col("component") != F.col("component2"))
-        & ((100 + percent) * F.least("most", "most2") >= percent * (F.col("n") + F.col("n2")))
-        & _likely(percent)
-    )
+    across = still.filter("component <> major").join(others, "key").filter(_likely(percent))
     across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     links = settle(links.unionByName(confirmed(across, sets, percent)), "links")
     found = connected_components(links)
