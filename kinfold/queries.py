@@ -13,6 +13,7 @@ from kinfold import constants as K
 from kinfold.functions import contact, dates, ids, places, skills, text
 from kinfold.operators import audit, components, confidence, extract, identity, merge, projection, validate
 from kinfold.operators.scratch import settle
+from kinfold.operators.spread import spread
 from kinfold.plans.pipeline import normalize, profiles
 from kinfold.sources import csv as csv_source
 from kinfold.sources.manifest import kind_column
@@ -149,7 +150,8 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resume_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All extraction rules over the documents as resume texts."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit(".pdf")).alias("source_file"), F.col("doc_id").alias("seq"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = docs.select(F.concat(F.col("source"), F.lit(".pdf")).alias("source_file"), F.col("doc_id").alias("seq"), "text")
     return extract.parse_resumes(docs).select(
         "seq", "full_name", "city", "region", "portfolio", F.size("emails").alias("n_emails"), F.size("phones").alias("n_phones"),
         F.size("skills").alias("n_skills"), F.size("experience").alias("n_jobs"), F.size("education").alias("n_degrees"),
@@ -550,7 +552,7 @@ def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer rows and document texts as two kinds of sources, merged into
     canonical profiles with confidence and projected."""
     lists = csv_source.records(_customer_cells(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         F.concat(F.col("source"), F.lit(".pdf")).alias("source_file"), (F.col("doc_id") + (1 << 40)).alias("seq"), "text"
     )
     found = profiles(normalize(lists.unionByName(extract.parse_resumes(docs))), (identity.EMAIL,))
