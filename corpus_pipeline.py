@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from kinfold.llm.queries import MIX_CAP, MIX_WEIGHTS
 from kinfold.operators.scratch import settle
+from kinfold.operators.spread import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

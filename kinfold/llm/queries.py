@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.operators.spread import spread
+
 from . import bpe, exact_dedup, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter
 
 
@@ -13,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of all documents, for work on whole texts."""
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 TOKEN_LIMIT = 1024
 MIX_WEIGHTS, MIX_CAP = [1.0, 2.0, 3.0], 3.0
 SHARDS = 24
@@ -27,11 +34,11 @@ RULES = [
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+    return near_dedup.classes(_texts(spark, sf_dir))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.counted(docs, path, public_tokenizers.PATTERN, TOKEN_LIMIT, keep=["doc_id"])
 
@@ -53,20 +60,20 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
     held = toxicity.held_out(F.col("doc_id")).alias("held_out")
     return toxicity.judge(docs, lexicon).select("doc_id", held, "score", "predicted")
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    done = pseudonyms.pseudonymise(_texts(spark, sf_dir), PSEUDONYM_KEY)
     return done.select("doc_id", "text", "n_pii", *[f"n_{k}" for k in pseudonyms.KINDS])
 
 
