@@ -298,3 +298,15 @@ def test_windowed_stream(spark, small, tmp_path):
     query.stop()
     key = lambda rows: sorted((str(r.start), r.event_type, r.n) for r in rows)
     assert key(spark.table("counts").collect()) == key(windowed_counts(whole).collect())
+
+
+def test_run_log(spark, files):
+    from kinfold.plans.metrics import RunLog
+
+    log = RunLog()
+    rows = log.watch(read_sources(spark, files), "parse", named=F.count("full_name"))
+    rows = log.watch(rows.filter("full_name is null"), "unnamed")
+    rows.collect()
+    got = {r.stage: (r.level, r.message) for r in log.table(spark).collect()}
+    assert got == {"parse": ("INFO", "rows=3, named=3"), "unnamed": ("WARN", "rows=0")}
+    assert audit.log_filter(log.table(spark), "WARN").count() == 1
