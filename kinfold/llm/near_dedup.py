@@ -13,7 +13,7 @@ Equal sets are merged first.  A table key then links its members to one hub (a
 star, never all pairs): the member with the smallest share of shingles that no
 other candidate has, which is next to the text the others are copies of.  What
 the stars and their connected components leave apart is compared across
-components only: in each key, those outside its largest component with a hub of
+components only: in each key, those outside its largest component with hubs of
 that component, then with all others.  Exact bounds stand before each
 comparison: the sizes, and the size of a set without shingles of its own; edited
 copies that are too far from everything drop out there.  So does a 64-bit sketch
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.components import connected_components
@@ -47,6 +47,8 @@ PERCENT = 75
 HALVES, MINIMA = 10, 2
 #: One-bit minima of the sketch, and how many may differ at PERCENT.
 SKETCH, SKETCH_DIFFER = 64, 19
+#: Hubs of a component that a set beside it is compared with.
+HUBS = 16
 #: Shingles worked on together.
 CHUNK = 1 << 17
 
@@ -161,7 +163,8 @@ def shingles_udf(shingle: int = SHINGLE):
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep): the tensored table keys that at least two sets share."""
+    """(key, rep, l, r): the tensored table keys that at least two sets share,
+    and the places of their two halves."""
     half = reps.select("rep", F.posexplode("halves").alias("place", "half"))
     shared = half.groupBy("place", "half").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     half = half.join(shared, ["place", "half"])
@@ -172,7 +175,8 @@ def table_keys(reps: DataFrame) -> DataFrame:
         ]
     )  # at most HALVES entries each
     keys = sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
-    keys = settle(keys.select(F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key"), "rep"), "keys")
+    key = F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key")
+    keys = settle(keys.select(key, "rep", F.col("l.place").cast("byte").alias("l"), F.col("r.place").cast("byte").alias("r")), "keys")
     members = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     return settle(keys.join(members, "key"), "shared-keys")
 
@@ -187,13 +191,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.filter(100 * common >= percent * either).select("a", "b")
 
 
-def _with_hub(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``rows`` by key with a hub of the key in rep2, component2, n2, bits2, most2:
-    the one of ``hubs`` with the smallest share of shingles of its own, which is
-    next to the text that the others are copies of."""
+def _beside(rows: DataFrame, hubs: DataFrame, by: str, on: str, each: int = 1) -> DataFrame:
+    """``rows`` with hubs, in rep2, component2, n2, bits2 and most2, where ``by``
+    of the rows is ``on`` of the hubs: those with the smallest share of shingles
+    of their own, one in each of ``each`` classes.  They are next to the text
+    that the others are copies of."""
     best = F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "rep", "component", "n", "bits", "most")).alias("h")
-    hub = hubs.groupBy("key").agg(best)
-    return rows.join(hub.select("key", *[F.col(f"h.{c}").alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")]), "key")
+    hub = hubs.groupBy(F.col(on).alias("_on"), F.pmod("rep", F.lit(each)).alias("_class")).agg(best)
+    hub = hub.select("_on", *[F.col(f"h.{c}").alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")])
+    return rows.join(hub, F.col(by) == F.col("_on"))
+
+
+def _first_shared() -> Column:
+    """Whether no key with smaller places is shared too, so that a pair of sets
+    comes out of one of its keys only."""
+    other = F.lit(False)
+    for p in range(2 * HALVES):
+        other = other | ((F.lit(p) < F.col("l" if p < HALVES else "r")) & (F.get("halves", F.lit(p)) == F.get("halves2", F.lit(p))))
+    return ~other
 
 
 def _likely(percent: int):
@@ -248,23 +263,27 @@ def classes(
         return rows.join(at, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     # stars: each set with the best hub of its keys
-    stars = _with_hub(rows.withColumn("component", F.col("rep")), rows.withColumn("component", F.col("rep"))).filter(_likely(percent))
+    alone = rows.withColumn("component", F.col("rep"))
+    stars = _beside(alone, alone, "key", "key").filter(_likely(percent))
     stars = stars.groupBy("rep").agg(F.max_by("rep2", F.struct(F.col("most2") / F.col("n2"), "rep2")).alias("rep2"))
     tried = settle(stars.select(F.col("rep2").alias("a"), F.col("rep").alias("b")), "tried")
     links = settle(confirmed(tried, sets, percent), "links")
     found = connected_components(links)
 
-    # those outside a key's largest component with that component's hub
+    # those outside a key's largest component with hubs of that component
     still = settle(_undecided(placed(found)), "undecided")
-    again = _with_hub(still.filter("component <> major"), still.filter("component = major")).filter(_likely(percent))
+    outside = still.filter("component <> major").select("rep", "component", "n", "bits", "most", "major").distinct()
+    inside = still.filter("component = major").select("rep", "component", "n", "bits", "most").distinct()
+    again = _beside(outside, inside, "major", "component", HUBS).filter(_likely(percent))
     again = again.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     links = settle(links.unionByName(confirmed(again, sets, percent)), "links")
     found = connected_components(links)
 
-    # and what is left of them with all others
-    still = settle(_undecided(placed(found)), "undecided")
-    others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")])
-    across = still.filter("component <> major").join(others, "key").filter(_likely(percent))
+    # and what is left of them with all others, each pair in its first key
+    still = _undecided(placed(found)).join(reps.select("rep", "halves"), "rep")
+    still = settle(still, "undecided")
+    others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most", "halves")])
+    across = still.filter("component <> major").join(others, "key").filter(_likely(percent) & _first_shared())
     across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     links = settle(links.unionByName(confirmed(across, sets, percent)), "links")
     found = connected_components(links)
