@@ -310,3 +310,15 @@ def test_run_log(spark, files):
     got = {r.stage: (r.level, r.message) for r in log.table(spark).collect()}
     assert got == {"parse": ("INFO", "rows=3, named=3"), "unnamed": ("WARN", "rows=0")}
     assert audit.log_filter(log.table(spark), "WARN").count() == 1
+
+
+def test_scratch_tables_are_cleared(spark):
+    import os
+
+    from kinfold.operators import scratch
+
+    df = scratch.settle(spark.range(3), "three")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    scratch.clear(spark)
+    assert not os.path.exists(path)
