@@ -43,8 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target weights: each document as many times
-    as the mix takes it."""
-    copies = mixing.mix(docs, MIX_WEIGHTS, MIX_CAP).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    as the mix takes it (rows that share an id, as often as the most taken one)."""
+    taken = mixing.mix(docs, MIX_WEIGHTS, MIX_CAP).filter("copies > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies"))
     rows = docs.join(copies, F.col("doc_id") == F.col("_id")).drop("_id")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
