@@ -17,7 +17,8 @@ components only: in each key, those outside its largest component with hubs of
 that component, then with all others.  Exact bounds stand before each
 comparison: the sizes, and the size of a set without shingles of its own; edited
 copies that are too far from everything drop out there.  So does a 64-bit sketch
-of one-bit minima, wrong for a pair at 0.75 with probability 0.00003.
+of one-bit minima, wrong for a pair at 0.75 with probability 0.00007; the last
+comparison also has one of 512 bits, wrong with probability 0.00003.
 
 Defined results: A-Z are lower-cased, words are runs other than white space;
 null, empty and blank texts have no shingles and link to nothing; texts shorter
@@ -47,6 +48,8 @@ PERCENT = 75
 HALVES, MINIMA = 10, 2
 #: One-bit minima of the sketch, and how many may differ at PERCENT.
 SKETCH, SKETCH_DIFFER = 64, 19
+#: The wide sketch of sets that stay undecided.
+WIDE, WIDE_DIFFER = 512, 95
 #: Hubs of a component that a set beside it is compared with.
 HUBS = 16
 #: Shingles worked on together.
@@ -102,26 +105,55 @@ def _fingerprint(x: np.ndarray, at: np.ndarray, factor: int) -> np.ndarray:
     return np.add.reduceat(_mixed(x * np.uint64(factor)), at)
 
 
-def _signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """(fp1, fp2, half keys, sketch) of non-empty sets."""
-    x = np.concatenate(sets)
+def _minima(x: np.ndarray, at: np.ndarray, total: int, seed: str) -> np.ndarray:
+    """Mixed minima of ``total`` hash functions over the sets that start at ``at``."""
+    low = np.empty((total, len(at)), "u8")
+    for i, (a, b) in enumerate(zip(_odd(total, f"{seed}factor"), _odd(total, f"{seed}shift"), strict=True)):
+        low[i] = np.minimum.reduceat(x * a + b, at)
+    return _mixed(low)
+
+
+def _one_bit(low: np.ndarray) -> np.ndarray:
+    """Top bits of minima, 64 to a word: a row a word, a column a set."""
+    bits = np.zeros((len(low) // 64, low.shape[1]), "u8")
+    for i, row in enumerate(low):
+        bits[i // 64] |= (row >> np.uint64(63)) << np.uint64(i % 64)
+    return bits
+
+
+def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Non-empty sets behind each other, and where each starts."""
     at = np.zeros(len(sets), "i8")
     np.cumsum([len(s) for s in sets[:-1]], out=at[1:])
-    total = 2 * HALVES * MINIMA + SKETCH
-    low = np.empty((total, len(sets)), "u8")
-    for i, (a, b) in enumerate(zip(_odd(total, "factor"), _odd(total, "shift"), strict=True)):
-        low[i] = np.minimum.reduceat(x * a + b, at)
-    low = _mixed(low)
+    return np.concatenate(sets), at
+
+
+def _signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """(fp1, fp2, half keys, sketch) of non-empty sets."""
+    x, at = _joined(sets)
+    low = _minima(x, at, 2 * HALVES * MINIMA + SKETCH, "")
     halves = np.zeros((2 * HALVES, len(sets)), "u8")
     for m in range(MINIMA):
         halves = _mixed(halves * np.uint64(3) + low[m : 2 * HALVES * MINIMA : MINIMA])
-    bits = np.zeros(len(sets), "u8")
-    for i in range(SKETCH):
-        bits |= (low[2 * HALVES * MINIMA + i] >> np.uint64(63)) << np.uint64(i)
+    bits = _one_bit(low[2 * HALVES * MINIMA :])[0]
     fp = [_fingerprint(x, at, k) for k in (5, 11)]
     return [fp[0].view("i8"), fp[1].view("i8"), np.ascontiguousarray(halves.T).view("i8"), bits.view("i8")]
 
 
+def _chunks(sets: list[np.ndarray]) -> Iterator[list[int]]:
+    """Places of the non-empty sets, gathered until they hold CHUNK shingles."""
+    held, have = [], 0
+    for i, s in enumerate(sets):
+        if len(s):
+            held.append(i)
+            have += len(s)
+        if have >= CHUNK:
+            yield held
+            held, have = [], 0
+    if held:
+        yield held
+
+
 def signature_udf(shingle: int = SHINGLE):
     """text -> struct(n, fp1, fp2, halves, bits)."""
 
@@ -150,14 +182,20 @@ def signature_udf(shingle: int = SHINGLE):
 
 
 def shingles_udf(shingle: int = SHINGLE):
-    """text -> struct(rep, full): the fingerprint fp1 of its set, and the set."""
+    """text -> struct(rep, full, wide): the fingerprint fp1 of its set, the set,
+    and its wide sketch."""
 
-    @F.pandas_udf("rep long, full array<long>")
+    @F.pandas_udf("rep long, full array<long>, wide array<long>")
     def full(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_hashes(t, shingle) for t in texts]
-            rep = [int(_fingerprint(s, np.zeros(1, "i8"), 5).view("i8")[0]) if len(s) else 0 for s in sets]
-            yield pd.DataFrame({"rep": rep, "full": [s.view("i8") for s in sets]})
+            rep, wide = np.zeros(len(sets), "i8"), [None] * len(sets)
+            for some in _chunks(sets):
+                x, at = _joined([sets[i] for i in some])
+                rep[some] = _fingerprint(x, at, 5).view("i8")
+                for i, w in zip(some, np.ascontiguousarray(_one_bit(_minima(x, at, WIDE, "wide")).T).view("i8"), strict=True):
+                    wide[i] = w
+            yield pd.DataFrame({"rep": rep, "full": [s.view("i8") for s in sets], "wide": wide})
 
     return full.asNondeterministic()  # or a null check on rep is moved below the join and runs it on all texts
 
@@ -220,6 +258,14 @@ def _likely(percent: int):
     return (F.col("component") != F.col("component2")) & (100 * small >= percent * large) & reach & near
 
 
+def _near() -> Column:
+    """The wide sketches differ little."""
+    differ = F.lit(0)
+    for i in range(WIDE // 64):
+        differ = differ + F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("wide2", F.lit(i))))
+    return differ <= WIDE_DIFFER
+
+
 def _undecided(placed: DataFrame) -> DataFrame:
     """Rows of keys with several components, and each key's largest (``major``)."""
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
@@ -280,10 +326,10 @@ def classes(
     found = connected_components(links)
 
     # and what is left of them with all others, each pair in its first key
-    still = _undecided(placed(found)).join(reps.select("rep", "halves"), "rep")
+    still = _undecided(placed(found)).join(reps.select("rep", "halves"), "rep").join(sets.select("rep", "wide"), "rep")
     still = settle(still, "undecided")
-    others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most", "halves")])
-    across = still.filter("component <> major").join(others, "key").filter(_likely(percent) & _first_shared())
+    others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most", "halves", "wide")])
+    across = still.filter("component <> major").join(others, "key").filter(_likely(percent) & _near() & _first_shared())
     across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     links = settle(links.unionByName(confirmed(across, sets, percent)), "links")
     found = connected_components(links)
