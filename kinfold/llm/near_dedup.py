@@ -46,10 +46,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Half keys on each side, and minima in each.
 HALVES, MINIMA = 10, 2
-#: One-bit minima of the sketch, and how many may differ at PERCENT.
-SKETCH, SKETCH_DIFFER = 64, 19
-#: The wide sketch of sets that stay undecided.
-WIDE, WIDE_DIFFER = 512, 95
+#: One-bit minima of the sketch, and of the wide sketch of sets that stay undecided.
+SKETCH, WIDE = 64, 512
 #: Hubs of a component that a set beside it is compared with.
 HUBS = 16
 #: Shingles worked on together.
@@ -249,21 +247,28 @@ def _first_shared() -> Column:
     return ~other
 
 
-def _likely(percent: int):
+def _may_differ(bits: int, percent: int) -> int:
+    """Bits in which sketches of sets that are ``percent`` similar may differ: the
+    mean and 4.2 deviations, 19 of 64 and 95 of 512 at 75."""
+    p = (1 - percent / 100) / 2
+    return int(bits * p + 4.2 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _likely(percent: int) -> Column:
     """What a link needs, for two sets with n, bits and most (the size without
     shingles of its own): exact bounds of sizes and intersection, and the sketch."""
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
     reach = (100 + percent) * F.least("most", "most2") >= percent * (F.col("n") + F.col("n2"))
-    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= SKETCH_DIFFER
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= _may_differ(SKETCH, percent)
     return (F.col("component") != F.col("component2")) & (100 * small >= percent * large) & reach & near
 
 
-def _near() -> Column:
+def _near(percent: int) -> Column:
     """The wide sketches differ little."""
     differ = F.lit(0)
     for i in range(WIDE // 64):
         differ = differ + F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("wide2", F.lit(i))))
-    return differ <= WIDE_DIFFER
+    return differ <= _may_differ(WIDE, percent)
 
 
 def _undecided(placed: DataFrame) -> DataFrame:
@@ -329,7 +334,7 @@ def classes(
     still = _undecided(placed(found)).join(reps.select("rep", "halves"), "rep").join(sets.select("rep", "wide"), "rep")
     still = settle(still, "undecided")
     others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most", "halves", "wide")])
-    across = still.filter("component <> major").join(others, "key").filter(_likely(percent) & _near() & _first_shared())
+    across = still.filter("component <> major").join(others, "key").filter(_likely(percent) & _near(percent) & _first_shared())
     across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     links = settle(links.unionByName(confirmed(across, sets, percent)), "links")
     found = connected_components(links)
