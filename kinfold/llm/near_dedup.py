@@ -53,7 +53,7 @@ HUBS = 16
 #: Shingles worked on together.
 CHUNK = 1 << 17
 
-_WORDS = 400_000
+_WORDS = 150_000
 _MASK = (1 << 64) - 1
 
 
