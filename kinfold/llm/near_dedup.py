@@ -53,7 +53,7 @@ HUBS = 16
 #: Shingles worked on together.
 CHUNK = 1 << 17
 
-_WORDS = 150_000
+_WORDS = 400_000
 _MASK = (1 << 64) - 1
 
 
@@ -175,6 +175,7 @@ def signature_udf(shingle: int = SHINGLE):
                         halves[j] = k
                     held, where, have = [], [], 0
             yield pd.DataFrame({"n": n, "fp1": fp1, "fp2": fp2, "halves": halves, "bits": bits})
+        _hashes.clear()  # the worker lives on and may have other work
 
     return signature
 
@@ -194,6 +195,7 @@ def shingles_udf(shingle: int = SHINGLE):
                 for i, w in zip(some, np.ascontiguousarray(_one_bit(_minima(x, at, WIDE, "wide")).T).view("i8"), strict=True):
                     wide[i] = w
             yield pd.DataFrame({"rep": rep, "full": [s.view("i8") for s in sets], "wide": wide})
+        _hashes.clear()
 
     return full.asNondeterministic()  # or a null check on rep is moved below the join and runs it on all texts
 

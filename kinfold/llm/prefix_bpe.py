@@ -22,7 +22,7 @@ from array import array
 import regex
 
 #: Entries kept in a worker's cache of encoded chunks.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
 #: Chunks longer than this are encoded without being cached.
 CACHE_CHARS = 48
 
