@@ -3,7 +3,9 @@
 Each stage works on all rows that the stage before it kept, and its decisions
 take effect: toxic documents go, exact copies go, one document of each group of
 near copies stays, the mix drops and repeats rows, and the last stage encodes
-what is left.
+what is left.  Decisions come back to the rows by a row number of Spark's own,
+so rows with null or repeated ids are decided like all others; where one row of
+a group stays, those with an id come first.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from kinfold.llm.queries import MIX_CAP, MIX_WEIGHTS
-from kinfold.operators.scratch import settle
+from kinfold.operators.scratch import numbered, rank, settle
 from kinfold.operators.spread import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,9 +33,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each text that the digest index has not seen."""
-    decided = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}").ingest(docs)
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").select(*COLUMNS)
+    rows = numbered(docs)
+    keyed = rows.select(rank("doc_id").alias("_key"), "text")
+    decided = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}").ingest(keyed, id="_key")
+    kept = decided.filter("kept").select(F.col("doc_id.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +47,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target weights: each document as many times
-    as the mix takes it (rows that share an id, as often as the most taken one)."""
-    taken = mixing.mix(docs, MIX_WEIGHTS, MIX_CAP).filter("copies > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies"))
-    rows = docs.join(copies, F.col("doc_id") == F.col("_id")).drop("_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    as the mix takes it (rows that share an id count and are decided one by one)."""
+    rows = numbered(docs)
+    taken = mixing.mix(rows, MIX_WEIGHTS, MIX_CAP, keep=["_row"]).filter("copies > 0").select("_row", "copies")
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

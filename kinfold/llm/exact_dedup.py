@@ -7,7 +7,7 @@ new digests are appended.
 
 Texts are equal when identical after deleting white space (space and
 U+0009..U+000D).  Of equal texts in a batch, the one with most code points,
-then the smallest id, stays; a text that the index knew before loses to the
+then the smallest id (null after all others), stays; a text that the index knew before loses to the
 row that was indexed.
 
 Defined results: null text counts as empty, so null, empty and all-blank texts
@@ -64,7 +64,7 @@ class DigestIndex:
             digest(F.col(text)).alias("digest"),
             F.coalesce(F.char_length(F.col(text)), F.lit(0)).alias("_len"),
         )
-        best = F.min(F.struct((-F.col("_len")).alias("neg"), F.col("doc_id").alias("id")))
+        best = F.min(F.struct((-F.col("_len")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
         groups = rows.groupBy("digest").agg(best["id"].alias("first_id"), F.count("*").alias("group_size"))
         return rows, groups
 

@@ -15,7 +15,8 @@ Defined results: size is the number of words, 0 for null or blank texts; such
 documents get only whole copies (they cost no words and take none); the null
 source is a source of its own and comes last; a source of size 0 has target 0;
 an empty table gives an empty result.  Rows that share an id share their random
-number; they stand side by side in the order and count one by one.
+number; they stand side by side in the order and count one by one.  A row with
+a null id draws by its text instead.
 """
 
 from __future__ import annotations
@@ -93,10 +94,11 @@ def mix(
     inside a source; null counts as 0, and a source with no importance at all
     falls back to even shares."""
     tilt = F.coalesce(F.col(importance).cast("double"), F.lit(0.0)) if importance else F.lit(1.0)
+    drawn = F.coalesce(F.col(id).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
     rows = docs.select(
         *[F.col(c).alias(f"_keep_{c}") for c in keep or []],
         F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-        word_count(F.col(text)).alias("size"), tilt.alias("_tilt"),
+        word_count(F.col(text)).alias("size"), tilt.alias("_tilt"), uniform(drawn, seed).alias("_u"),
     )
     rows = settle(rows, "sizes")  # the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_tilt")).alias("_tilted"))
@@ -115,9 +117,9 @@ def mix(
     rows = salted_join(rows, wanted, ["source"], ["doc_id", "size"])
     # u's odds over p's; times the source's mean odds, which keeps the order and
     # spreads it evenly over (0, 1)
-    u = uniform(F.col("doc_id"), seed)
+    u = F.col("_u")
     odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p"))) * (F.col("_mean") / (1 - F.col("_mean")))
-    rows = rows.withColumn("_q", F.when(F.col("_p") > 1e-9, odds / (1 + odds))).withColumn("_u", u)
+    rows = rows.withColumn("_q", F.when(F.col("_p") > 1e-9, odds / (1 + odds)))
     rows = settle(rows, "odds")
     fine = F.coalesce(F.col("_q"), F.col("_u")) * (BINS * BINS)
     bins = [F.floor(fine / BINS).cast("long"), F.pmod(F.floor(fine).cast("long"), F.lit(BINS))]

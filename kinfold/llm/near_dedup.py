@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.components import connected_components
-from kinfold.operators.scratch import settle
+from kinfold.operators.scratch import numbered, rank, settle
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -354,6 +354,10 @@ def classes(
 
 
 def survivors(docs: DataFrame, id: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest id."""
-    kept = classes(docs, id, text, **params).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id) == F.col("_kept_id"), "left_semi")
+    """``docs`` with one row of each class: the one with the smallest id.  Rows
+    are told apart by row, so null ids (which come last) and repeated ids are
+    compared like all others."""
+    rows = numbered(docs)
+    found = classes(rows, "_row", text, **params).select(F.col("doc_id").alias("_row"), "component_id")
+    kept = found.join(rows.select("_row", rank(id).alias("_key")), "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
+    return rows.join(kept.select(F.col("_key.row").alias("_row")), "_row", "left_semi").select(*docs.columns)

@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: str | None = None
 _written: list[str] = []
@@ -38,6 +39,17 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, into: str = "_row") -> DataFrame:
+    """``df``, settled once, with a number of Spark's own for each row: it tells
+    rows apart whose ids are null or repeated."""
+    return settle(df.withColumn(into, F.monotonically_increasing_id()), "numbered")
+
+
+def rank(id: str, row: str = "_row") -> Column:
+    """A key that is never null and orders rows by id, nulls last, then by row."""
+    return F.struct(F.col(id).isNull().alias("no_id"), F.col(id).alias("id"), F.col(row).alias("row"))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this driver has settled, once no DataFrame that
     reads them is needed any more."""

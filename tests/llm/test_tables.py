@@ -254,3 +254,40 @@ def test_pipeline_stage_by_stage(spark, small):
     assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in frame.collect())
     whole = corpus_pipeline.run(spark, small).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, last)) and start.count() >= len(set(r.doc_id for r in last))
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stage(spark, name, rows):
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], ROWS)
+    return sorted(((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)[name](spark, df, SMALL).collect()), key=str)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_null_and_repeated_ids_in_every_stage(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    near = a.replace("a29", "other")
+    every = [(None, a), (None, b), (7, a), (7, a), (7, c), (8, near), (None, near), (9, c)]
+    kept = stage(spark, "toxicity", every)
+    assert kept == sorted(every, key=str)
+    # a text's row with an id goes before one without; a repeated row goes once
+    assert stage(spark, "exact dedup", every) == sorted([(None, b), (7, a), (7, c), (8, near)], key=str)
+    assert stage(spark, "near dedup", every) == sorted([(None, b), (7, a), (7, c)], key=str)
+    assert stage(spark, "near dedup", [(None, a), (None, near), (None, b)]) in ([(None, a), (None, b)], [(None, b), (None, near)])
+    # one source at its own size: each row once
+    assert stage(spark, "mixing", every) == sorted(every, key=str)
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in every], ROWS)
+    assert corpus_pipeline.encode(spark, df, SMALL).count() == len(every)
+
+
+def test_null_ids_win_no_tie_and_draw_by_text(spark):
+    df = spark.createDataFrame([(None, "x y"), (4, "x y"), (3, "xy "), (None, "only")], "doc_id long, text string")
+    got = exact_dedup.DigestIndex(spark, "null_digests", buckets=4).ingest(df).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 3, False), (3, 3, True), (4, 3, False)]
+    rows = [(None, f"w w{i}", "a" if i < 100 else "b") for i in range(400)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [1.0, 1.0], 1.5).toPandas()
+    for _, g in out.groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 2
