@@ -2,7 +2,11 @@
 
 One regular expression finds e-mail addresses, card numbers, phone numbers,
 IBANs, US social security numbers, IPv4 addresses and dates.  A find must be
-valid (check digits, number plan, calendar) or it is left alone.  The value is
+valid (check digits, lengths, number plan, calendar).  A card, phone or IBAN
+that is not is tried again without its last groups, as what stands behind a
+value may look like a part of it: usual lengths first, then the longest.  Finds
+may start at every place of a text that no valid value before has taken, so what
+a find leaves, or a find that is not valid at all, can hold others.  The value is
 then permuted inside the set of valid values of its format by a keyed Feistel
 network, so equal values have equal pseudonyms in all documents, different
 values have different ones, and separators stay where they were.
@@ -46,6 +50,16 @@ PATTERNS = {
 }
 FINDER = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: Characters of an IBAN by country; other countries may have any number.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Digits of a phone number, calling code included, in plans of one length.
+PHONE_LENGTHS = {"1": 11, "7": 11, "31": 11, "32": 11, "33": 11, "34": 11, "41": 11, "44": 12, "47": 10, "48": 11, "61": 11, "86": 13, "91": 12}
+
 
 def _hash(key: str, kind: str, turn: Column, half: Column) -> Column:
     """48 keyed bits."""
@@ -193,10 +207,11 @@ def _date(key: str, x: Column) -> tuple[Column, Column]:
 def _iban(key: str, x: Column) -> tuple[Column, Column]:
     flat = F.replace(x, F.lit(" "), F.lit(""))
     n = F.length(flat)
+    lengths = F.create_map(*[F.lit(v) for k, names in IBAN_LENGTHS.items() for c in names.split() for v in (c, k)])
     country, bban = F.substring(flat, F.lit(1), F.lit(2)), F.substring(flat, F.lit(5), n - 4)
     digits = _half_digits(key, "iban", _digits(bban))
     new = F.transform(F.array(_refill(bban, digits)), lambda b: F.concat(_pad(98 - _mod97(country, F.lit("00"), b), 2), _digits(b)))[0]
-    valid = n.between(15, 34) & (_mod97(country, F.substring(flat, F.lit(3), F.lit(2)), bban) == 1) & (F.length(_digits(bban)) >= 2)
+    valid = n.between(15, 34) & (n == F.coalesce(F.try_element_at(lengths, country), n)) & (_mod97(country, F.substring(flat, F.lit(3), F.lit(2)), bban) == 1) & (F.length(_digits(bban)) >= 2)
     return valid, _refill(x, new)
 
 
@@ -214,38 +229,80 @@ def _kind(x: Column) -> Column:
     return out
 
 
+def _usual(kind: Column, x: Column) -> Column:
+    """Whether a value has the length that values of its beginning mostly have."""
+    d = _digits(x)
+    card = F.when(d.rlike("^3[47]"), 15).when(d.rlike("^3[068]"), 14).otherwise(16)
+    phone = F.lit(None).cast("int")
+    for code, n in PHONE_LENGTHS.items():
+        phone = F.when(d.startswith(code), F.lit(n)).otherwise(phone)
+    return F.coalesce(F.when(kind == "card", F.length(d) == card).when(kind == "phone", x.startswith("+") & (F.length(d) == phone)), F.lit(False))
+
+
+def _ends(kind: Column, x: Column) -> Column:
+    """A find and, of cards, phones and IBANs, what is left of it without its
+    last groups, in the order in which they are tried."""
+    groups = F.regexp_extract_all(x, F.lit("[ .-]*[^ .-]+"), F.lit(0))
+    cut = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), ""))
+    first = F.filter(cut, lambda c: _usual(kind, c))
+    return F.when(kind.isin("card", "phone", "iban") & (F.size(groups) > 1), F.array_distinct(F.concat(first, cut))).otherwise(F.array(x))
+
+
 def pseudonym(find: Column, key: str) -> Column:
-    """struct(kind, new): kind is null where the find is not valid, and new is
-    then the find itself."""
+    """struct(kind, old, new): ``old`` is the valid value that the find starts
+    with; kind is null where there is none, and old and new are then the find."""
     makers = {"email": _email, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card, "phone": _phone}
 
-    def typed(s: Column) -> Column:
-        kind, new = F.lit(None).cast("string"), s["x"]
+    def typed(of: Column, x: Column) -> Column:
+        kind, new = F.lit(None).cast("string"), x
         for name, make in makers.items():
-            valid, value = make(key, s["x"])
-            hit = (s["kind"] == name) & F.coalesce(valid, F.lit(False))
+            valid, value = make(key, x)
+            hit = (of == name) & F.coalesce(valid, F.lit(False))
             kind = F.when(hit, F.lit(name)).otherwise(kind)
             new = F.when(hit, value).otherwise(new)
-        return F.struct(kind.alias("kind"), new.alias("new"))
+        return F.struct(kind.alias("kind"), x.alias("old"), new.alias("new"))
+
+    def first_valid(s: Column) -> Column:
+        none = F.struct(F.lit(None).cast("string").alias("kind"), s["x"].alias("old"), s["x"].alias("new"))
+        return F.aggregate(_ends(s["kind"], s["x"]), none, lambda found, x: F.when(found["kind"].isNotNull(), found).otherwise(typed(s["kind"], x)))
+
+    return F.transform(F.array(F.struct(_kind(find).alias("kind"), find.alias("x"))), first_valid)[0]
+
+
+def _taken(pieces: Column, made: Column) -> Column:
+    """array of (kind, old, new, after): ``pieces`` of a text, each from one
+    start of a find to the next, less what valid finds have taken."""
+    empty = "array<struct<kind:string,old:string,new:string,after:string>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        piece, m, skip = s["piece"], s["m"], acc["skip"]
+        hit = (skip == 0) & m["kind"].isNotNull()
+        gone = F.when(hit, F.length(m["old"])).otherwise(skip)
+        one = F.struct(
+            F.when(hit, m["kind"]).alias("kind"), F.when(hit, m["old"]).alias("old"), F.when(hit, m["new"]).alias("new"),
+            F.substring(piece, gone + 1, F.length(piece)).alias("after"),
+        )
+        return F.struct(F.greatest(gone - F.length(piece), F.lit(0)).alias("skip"), F.concat(acc["done"], F.array(one)).alias("done"))
 
-    return F.transform(F.array(F.struct(_kind(find).alias("kind"), find.alias("x"))), typed)[0]
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast(empty).alias("done"))
+    return F.aggregate(F.zip_with(pieces, made, lambda p, m: F.struct(p.alias("piece"), m.alias("m"))), start, step, lambda acc: acc["done"])
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, plus finds (array of
     kind, old, new), n_pii and a count n_<kind> of each kind."""
     src = F.col(text)
-    old = F.regexp_extract_all(src, F.lit(FINDER), F.lit(0))
-    marked = docs.withColumn("_old", old)
+    # all places where a find starts, those inside of other finds too
+    marked = docs.withColumn("_old", F.regexp_extract_all(src, F.lit(f"(?=({FINDER}))"), F.lit(1)))
     marked = marked.withColumn("_new", F.when(F.size("_old") > 0, F.transform("_old", lambda x: pseudonym(x, key))))
-    gaps = F.split(src, FINDER, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, m: F.concat(g, F.coalesce(m["new"], F.lit("")))), "")
-    finds = F.filter(
-        F.zip_with("_old", "_new", lambda o, m: F.struct(m["kind"].alias("kind"), o.alias("old"), m["new"].alias("new"))),
-        lambda s: s["kind"].isNotNull(),
-    )
+    marked = marked.withColumn("_pieces", F.when(F.size("_old") > 0, F.split(src, f"(?={FINDER})", -1)))
+    ahead = F.size("_pieces") - F.size("_old")  # 0 where the text starts with a find, else 1
+    marked = marked.withColumn("_done", _taken(F.slice("_pieces", ahead + 1, F.size("_old")), F.col("_new")))
+    head = F.when(ahead > 0, F.get("_pieces", F.lit(0))).otherwise("")
+    joined = F.concat(head, F.array_join(F.transform("_done", lambda d: F.concat(F.coalesce(d["new"], F.lit("")), d["after"])), ""))
+    finds = F.transform(F.filter("_done", lambda d: d["kind"].isNotNull()), lambda d: F.struct(d["kind"].alias("kind"), d["old"].alias("old"), d["new"].alias("new")))
     out = marked.withColumn("finds", F.coalesce(finds, F.expr("cast(array() as array<struct<kind:string,old:string,new:string>>)")))
-    out = out.withColumn(text, F.when(F.size("finds") > 0, joined).otherwise(src)).drop("_old", "_new")
+    out = out.withColumn(text, F.when(F.size("finds") > 0, joined).otherwise(src)).drop("_old", "_new", "_pieces", "_done")
     kinds = F.transform("finds", lambda s: s["kind"])
     counts = {f"n_{k}": F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in KINDS}
     return out.withColumns({"n_pii": F.size("finds"), **counts})

@@ -249,3 +249,25 @@ def test_op8_removes_planted_values(spark, small):
     assert len(out) == 200 and out.n_pii.sum() > 0
     plans = pseudonyms.pseudonymise(docs(spark, ["a"]), "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plans)
+
+
+def test_values_with_neighbours(spark):
+    card, grouped = "4111111111111111", "4111 1111 1111 1111"
+    austria, spain, britain = "AT61 1904 3002 3457 3201", "ES9121000418450200051332", "+44 20 7946 0958"
+    cases = {
+        f"{card} 12/27": [card], f"{grouped} 123": [grouped], f"2024 {grouped}": [grouped], f"{grouped}-12": [grouped],
+        f"{austria} EUR": [austria], f"{austria} WORLDWIDE": [austria], f"{spain} NOW": [spain], f"{austria} 2024 EUR": [austria],
+        f"{britain} 2024": [britain], f"{britain} 12": [britain], f"{britain} 2024-05-01": [britain, "2024-05-01"],
+        "+33 1 23 45 67 89 2024": ["+33 1 23 45 67 89"], f"{card} {card}": [card, card], f"a {grouped}, 10.0.0.1 b": [grouped, "10.0.0.1"],
+    }
+    cases |= {f"{card} {i:02}": [card] for i in range(100)}  # some of the 18 digits pass Luhn as well
+    texts = list(cases)
+    out, values = pseudo(spark, texts), sorted({v for found in cases.values() for v in found})
+    alone = {values[i]: r.text for i, r in pseudo(spark, values).items()}
+    for i, t in enumerate(texts):
+        assert [f.old for f in out[i].finds] == cases[t], (t, out[i].finds)
+        want = t
+        for old in set(cases[t]):
+            want = want.replace(old, alone[old])
+        assert out[i].text == want and out[i].n_pii == len(cases[t]), (t, out[i].text)
+    assert all(old != new for old, new in alone.items())
