@@ -20,19 +20,6 @@ def field_confidence(marks: DataFrame, by: list[str], source: str = "source", co
     return per.groupBy(*by).agg(F.least(F.max("_c") + bonus, F.lit(1.0)).alias("score"))
 
 
-def field_scores(provenance: Column) -> Column:
-    """Map of top-level field to score, from a profile's own provenance."""
-    marks = F.transform(provenance, lambda p: F.struct(top_field(p["field"]).alias("f"), p["source"].alias("s"), p["confidence"].alias("c")))
-    fields = F.array_distinct(F.transform(marks, lambda m: m["f"]))
-
-    def score(f: Column) -> Column:
-        own = F.filter(marks, lambda m: m["f"] == f)
-        n = F.size(F.array_distinct(F.transform(own, lambda m: m["s"])))
-        return F.least(F.array_max(F.transform(own, lambda m: m["c"])) + F.lit(K.CORROBORATION) * (n - 1), F.lit(1.0))
-
-    return F.map_from_entries(F.transform(fields, lambda f: F.struct(f, score(f))))
-
-
 def active() -> dict[str, Column]:
     """Field -> whether a profile has it; in the order of the weighted sum."""
     text = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
@@ -57,8 +44,16 @@ def weighted(scores: dict[str, Column], weights: dict[str, float] = K.FIELD_WEIG
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
-def with_confidence(profiles: DataFrame) -> DataFrame:
-    """Profiles with overall_confidence, rounded to 4 places."""
-    rows = profiles.withColumn("_scores", field_scores(F.col("provenance")))
-    scores = {n: F.when(on, F.try_element_at("_scores", F.lit(n))) for n, on in active().items()}
-    return rows.withColumn("overall_confidence", F.round(weighted(scores), 4)).drop("_scores")
+def score_columns(marks: DataFrame, by: str = "component") -> DataFrame:
+    """(by, _score_<field>...) for the top-level fields, from rows of marks
+    (by, field, source, confidence)."""
+    scores = field_confidence(marks.withColumn("_field", top_field(F.col("field"))), [by, "_field"])
+    return scores.groupBy(by).agg(*[F.max(F.when(F.col("_field") == n, F.col("score"))).alias(f"_score_{n}") for n in active()])
+
+
+def with_confidence(profiles: DataFrame, marks: DataFrame, by: str = "component") -> DataFrame:
+    """Profiles with overall_confidence, rounded to 4 places, from their marks
+    as rows: no entity's marks ever meet in one row."""
+    rows = profiles.join(score_columns(marks, by), by, "left")
+    scores = {n: F.when(on, F.col(f"_score_{n}")) for n, on in active().items()}
+    return rows.withColumn("overall_confidence", F.round(weighted(scores), 4)).select(*profiles.columns)

@@ -110,26 +110,29 @@ def merge_decisions(rows: DataFrame, names: tuple[str, ...] = SCALARS, by: str =
     return best.select(by, "field", F.get("all", F.lit(0))["source_file"].alias("winner_source"), losers.alias("loser_sources"), reason.alias("reason"))
 
 
-def resolve(records: DataFrame, by: str = "component") -> DataFrame:
+def resolve(records: DataFrame, by: str = "component", provenance: bool = True) -> DataFrame:
     """A profile for each entity, in the profile schema plus ``component``;
-    overall_confidence is left 0."""
+    overall_confidence is left 0.  Without ``provenance`` that column is left
+    out and no entity's marks are gathered."""
     rows = ordered(records)
     out = merge_scalars(rows, by=by)
-    for part in (
+    parts = [
         merge_lists(rows, by=by),
         merge_skills(rows, by),
         merge_entries(rows, "experience", ("company", "title", "start", "end", "summary"), ("company", "title"), by),
         merge_entries(rows, "education", ("institution", "degree", "field", "end_year"), ("institution", "degree"), by),
-        provenance_table(rows, by).groupBy(by).agg(
-            gathered(F.struct("ord", "pos"), F.struct("field", "source", "method", "confidence")).alias("provenance")
-        ),
-    ):
+    ]
+    marks = ["provenance"] if provenance else []
+    if provenance:
+        all_marks = gathered(F.struct("ord", "pos"), F.struct("field", "source", "method", "confidence"))
+        parts.append(provenance_table(rows, by).groupBy(by).agg(all_marks.alias("provenance")))
+    for part in parts:
         out = out.join(part, by, "left")
-    blank = {n: F.coalesce(n, F.array().cast(out.schema[n].dataType)) for n in (*LISTS, "skills", "experience", "education", "provenance")}
+    blank = {n: F.coalesce(n, F.array().cast(out.schema[n].dataType)) for n in (*LISTS, "skills", "experience", "education", *marks)}
     out = out.withColumns(blank)
     return out.select(
         by, entity_id(F.col("full_name"), F.col("emails"), F.col("phones")).alias("candidate_id"), "full_name", "emails", "phones",
         F.struct("city", "region", "country").alias("location"),
         F.struct("linkedin", "github", "portfolio", F.col("other_links").alias("other")).alias("links"),
-        "headline", "years_experience", "skills", "experience", "education", "provenance", F.lit(0.0).alias("overall_confidence"),
+        "headline", "years_experience", "skills", "experience", "education", *marks, F.lit(0.0).alias("overall_confidence"),
     )

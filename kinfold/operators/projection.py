@@ -133,6 +133,11 @@ def normalized(col: Column, kind: T.DataType, how: str | None) -> Column:
     return col
 
 
+def asks_provenance(config: Config) -> bool:
+    """Whether any output column reads the provenance of a profile."""
+    return config.include_provenance or any(re.split(r"[.\[]", f.source)[0] == "provenance" for f in config.fields)
+
+
 def columns(schema: T.StructType, config: Config) -> dict[str, tuple[Column, T.DataType]]:
     """Output column -> expression and type; switches come last and win."""
     out = {}

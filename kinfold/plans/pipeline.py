@@ -16,8 +16,8 @@ from kinfold.functions.skills import canonicalize_skills
 from kinfold.functions.text import title_if_flat
 from kinfold.operators.confidence import with_confidence
 from kinfold.operators.identity import EMAIL, NAME, entities
-from kinfold.operators.merge import resolve
-from kinfold.operators.projection import Config, project, to_json
+from kinfold.operators.merge import ordered, provenance_table, resolve
+from kinfold.operators.projection import Config, asks_provenance, project, to_json
 from kinfold.operators.scratch import settle
 from kinfold.operators.validate import validate
 from kinfold.schema import PARSED, ddl
@@ -51,15 +51,17 @@ def normalize(records: DataFrame) -> DataFrame:
     )
 
 
-def profiles(records: DataFrame, match_on: tuple[str, ...] = (EMAIL, NAME)) -> DataFrame:
-    """Canonical profiles with confidence, from normalised records."""
+def profiles(records: DataFrame, match_on: tuple[str, ...] = (EMAIL, NAME), provenance: bool = True) -> DataFrame:
+    """Canonical profiles with confidence, from normalised records; without
+    ``provenance`` that array is neither gathered nor a column."""
     rows = settle(records, "records")  # read by the links and by each merge rule
-    return with_confidence(resolve(settle(entities(rows, match_on), "entities")))
+    found = settle(entities(rows, match_on), "entities")
+    return with_confidence(resolve(found, provenance=provenance), provenance_table(ordered(found)))
 
 
 def transform(spark: SparkSession, paths: Iterable[str], config: Config, match_on: tuple[str, ...] = (EMAIL, NAME)) -> DataFrame:
     """Projected and validated profiles of the sources, in order of first record."""
-    found = profiles(normalize(read_sources(spark, paths)), match_on)
+    found = profiles(normalize(read_sources(spark, paths)), match_on, asks_provenance(config))
     out = project(found.orderBy("component"), config)
     return validate(out, config)
 

@@ -555,7 +555,6 @@ def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         F.concat(F.col("source"), F.lit(".pdf")).alias("source_file"), (F.col("doc_id") + (1 << 40)).alias("seq"), "text"
     )
-    found = profiles(normalize(lists.unionByName(extract.parse_resumes(docs))), (identity.EMAIL,))
     config = projection.parse_config(
         {
             "fields": [
@@ -566,6 +565,8 @@ def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             "include_provenance": False,
         }
     )
+    records = normalize(lists.unionByName(extract.parse_resumes(docs)))
+    found = profiles(records, (identity.EMAIL,), projection.asks_provenance(config))
     out = projection.project(found, config)
     return out.withColumn("skills", F.array_join("skills", "|"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold import cli
+from kinfold import constants as K
 from kinfold.errors import ConfigError, MalformedCsv, ProjectionError, SourceError, ValidationError
 from kinfold.operators import audit, components, confidence, extract, identity, merge, projection, validate
 from kinfold.plans.pipeline import normalize, profiles, read_sources, transform
@@ -322,3 +323,24 @@ def test_scratch_tables_are_cleared(spark):
     assert df.count() == 3 and os.path.exists(path)
     scratch.clear(spark)
     assert not os.path.exists(path)
+
+
+def test_confidence_without_gathered_provenance(spark, files):
+    rows = normalize(read_sources(spark, files))
+    whole, bare = profiles(rows), profiles(rows, provenance=False)
+    assert "provenance" in whole.columns and "provenance" not in bare.columns
+    got = {r.candidate_id: r.overall_confidence for r in bare.collect()}
+    for r in whole.collect():
+        top = {}
+        for m in r.provenance:
+            top.setdefault(m.field.split(".")[0], []).append((m.source, m.confidence))
+        has = r.asDict(recursive=True) | {"location": any(r.location), "links": r.links.linkedin or r.links.github or r.links.portfolio}
+        total = weight = 0.0
+        for n in confidence.active():
+            if n in top and has[n] not in (None, "", [], False):
+                w = K.FIELD_WEIGHTS.get(n, K.DEFAULT_WEIGHT)
+                score = min(max(c for _, c in top[n]) + K.CORROBORATION * (len({s for s, _ in top[n]}) - 1), 1.0)
+                total, weight = total + w * score, weight + w
+        assert r.overall_confidence == got[r.candidate_id] and abs(r.overall_confidence - total / weight) < 1e-4
+    asks = lambda **d: projection.asks_provenance(projection.parse_config({"fields": [{"path": "a", "from": d.pop("source", "full_name")}], **d}))
+    assert asks() and not asks(include_provenance=False) and asks(include_provenance=False, source="provenance")
