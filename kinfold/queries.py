@@ -549,8 +549,8 @@ def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer rows and document texts as two kinds of sources, merged into
-    canonical profiles with confidence and projected."""
+    """Customer rows and document texts as two kinds of sources, merged by
+    e-mail or name into canonical profiles with confidence and projected."""
     lists = csv_source.records(_customer_cells(spark, sf_dir))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         F.concat(F.col("source"), F.lit(".pdf")).alias("source_file"), (F.col("doc_id") + (1 << 40)).alias("seq"), "text"
@@ -566,7 +566,7 @@ def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     records = normalize(lists.unionByName(extract.parse_resumes(docs)))
-    found = profiles(records, (identity.EMAIL,), projection.asks_provenance(config))
+    found = profiles(records, provenance=projection.asks_provenance(config))
     out = projection.project(found, config)
     return out.withColumn("skills", F.array_join("skills", "|"))
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold import cli
+from kinfold import cli, queries
 from kinfold import constants as K
 from kinfold.errors import ConfigError, MalformedCsv, ProjectionError, SourceError, ValidationError
 from kinfold.operators import audit, components, confidence, extract, identity, merge, projection, validate
@@ -344,3 +344,11 @@ def test_confidence_without_gathered_provenance(spark, files):
         assert r.overall_confidence == got[r.candidate_id] and abs(r.overall_confidence - total / weight) < 1e-4
     asks = lambda **d: projection.asks_provenance(projection.parse_config({"fields": [{"path": "a", "from": d.pop("source", "full_name")}], **d}))
     assert asks() and not asks(include_provenance=False) and asks(include_provenance=False, source="provenance")
+
+
+def test_entity_profiles_merge_on_names(spark, tmp_path):
+    spark.createDataFrame([(10, "Grace Hopper", "BUILDING"), (21, "Alan Kay", "BUILDING")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    texts = ["Ada Byron\n\nSkills\nPython", "Ada Byron\n\nSkills\nDocker", "grace hopper\n\nSkills\nDocker"]
+    spark.createDataFrame([(i, "web", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.entity_profiles(spark, str(tmp_path)).collect()
+    assert sorted(r.full_name.lower() for r in rows) == ["ada byron", "alan kay", "grace hopper"]
