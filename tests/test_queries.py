@@ -52,3 +52,10 @@ def test_extraction_stays_in_the_jvm(spark, small):
     for name in ("resume_parse", "csv_records", "canonical_dedup", "fuzzy_dedup"):
         plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("EvalPython|MapInPandas|MapInArrow|FlatMapGroups", plan)
+
+
+def test_normalize_phones_keeps_numbers_abroad(spark, tmp_path):
+    texts = ["call +44 20 7946 0958 or (415) 555-2671", "+49 30 1234 5678", "+83 30 1234 5678", None, "no number"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["normalize_phones"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(0, "+14155552671"), (0, "+442079460958"), (1, "+493012345678")]
