@@ -23,3 +23,7 @@ class ProjectionError(KinfoldError):
 
 class ValidationError(KinfoldError):
     """Output that breaks what its config declares."""
+
+
+class ScratchError(KinfoldError):
+    """A cluster without a shared folder for intermediate tables."""

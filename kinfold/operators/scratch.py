@@ -1,9 +1,10 @@
 """Cutting lineage with tables in the shared scratch folder.
 
-The cluster names the folder in ``spark.checkpoint.dir``; a folder of our own
-is made only where that setting and the context's checkpoint dir are unset
-(local tests).  Tables are written as Parquet, so a lost executor costs a
-re-read, never a recomputation of an iterative plan.
+The cluster names the folder in ``spark.checkpoint.dir``.  Where neither that
+setting nor the context's checkpoint folder is set, a local master gets a folder
+of its own (tests); on a cluster that is an error, since a folder of one machine
+would not hold what the others write.  Tables are written as Parquet, so a lost
+executor costs a re-read, never a recomputation of an iterative plan.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.errors import ScratchError
+
 _own_folder: str | None = None
 _written: list[str] = []
 
@@ -21,10 +24,11 @@ _written: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     global _own_folder
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    named = named or spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ScratchError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-kinfold-")
     return _own_folder
@@ -50,10 +54,14 @@ def rank(id: str, row: str = "_row") -> Column:
     return F.struct(F.col(id).isNull().alias("no_id"), F.col(id).alias("id"), F.col(row).alias("row"))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this driver has settled, once no DataFrame that
     reads them is needed any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _written.pop())
