@@ -15,12 +15,22 @@ A Feistel round adds a keyed hash of one half to the other half, modulo that
 half's size; halves need not be equally large.  Domains are written as
 products, so no cycle walking is needed:
 
-* dates: the 400 years from 1800 have 146,097 = 773 x 189 days, which repeat;
+* dates of the 400 years from 1800, days up to 12 (240 x 240 of them) and later
+  ones (9 x 9,833) each among themselves: the pseudonym of 09/28/1995 is that of
+  1995-09-28 and 28/09/1995 however it is written, and a spelling that shows which
+  number is the day still does, so different dates never meet in one spelling;
 * phones of the North American plan: area x (exchange, line) = 800 x 8,000,000;
 * social security numbers: 898 areas x (99 groups x 9,999 serials);
 * IPv4: 65,536 x 65,536; cards and IBANs: the digits but for check digits,
   halved (a card keeps its first digit), after which check digits are set anew;
-* e-mail: the local part becomes a keyed digest, the domain stays.
+* e-mail: the local part becomes a keyed digest of 96 bits, the domain stays.
+
+Laws of the formats: a local part has at most 255 characters and a host at most
+126 names below its last, of 63 characters each (that is what 253 characters can
+hold); longer ones are no addresses and stay.  No pattern repeats a group without
+such a bound, so no text, however long, makes the matcher recurse deeply.  Left
+alone on purpose: social security numbers without their hyphens, IPv6 addresses,
+numbers inside of identifiers (a letter beside them, or an underscore before).
 
 Defined results: a null text stays null, with zero finds; empty texts and texts without
 finds stay as they are; repeated rows get equal results; other columns pass
@@ -34,19 +44,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.names import fresh
+
 ROUNDS = 8
+#: Finds of a text that are worked on together.
+RUN = 256
 KINDS = ("email", "iban", "ip", "ssn", "date", "card", "phone")
 
+#: Letters of alphabets whose words stand apart, beside A-Z: Latin, Greek, Cyrillic, and their marks.
+_LETTERS = r"\u00C0-\u024F\u0300-\u04FF\u1E00-\u1FFF"
 #: What each kind looks like, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": rf"(?<![A-Za-z0-9{_LETTERS}])[A-Za-z0-9{_LETTERS}][A-Za-z0-9{_LETTERS}._%+'-]{{0,254}}+@"
+    r"(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_]|\.[0-9])",
-    "ssn": r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
-    "date": r"(?<![A-Za-z0-9_/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![A-Za-z0-9_/-])",
-    "phone": r"(?<![A-Za-z0-9_])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_-])"
-    r"|(?<![A-Za-z0-9_])\+(?!1[^0-9])[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![A-Za-z0-9_])",
-    "card": r"(?<![A-Za-z0-9_-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_-])",
+    "ssn": r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_]|-[0-9])",
+    "date": r"(?<![A-Za-z0-9_/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![A-Za-z0-9_/]|-[0-9])",
+    "phone": r"(?<![A-Za-z0-9_])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9]|-[0-9])"
+    r"|(?<![A-Za-z0-9_])\+(?!1[^0-9])[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,12}+(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9_-])(?=[0-9]{2})[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_]|-[0-9])",
 }
 FINDER = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -150,15 +167,15 @@ def _card(key: str, x: Column) -> tuple[Column, Column]:
 
 def _phone(key: str, x: Column) -> tuple[Column, Column]:
     """Numbers of the North American plan stay in it; any other number with a
-    plus sign and 8 to 15 digits keeps its first three digits."""
+    plus sign, another calling code and 8 to 15 digits keeps its first three."""
     d = _digits(x)
     n = F.length(d)
     local = F.substring(d, n - 9, F.lit(10))
-    plan = ((n == 10) | ((n == 11) & x.rlike(r"^\+1"))) & local.rlike("^[2-9][0-9]{2}[2-9]")
+    plan = F.when(x.startswith("+"), (n == 11) & d.startswith("1")).otherwise(n == 10) & local.rlike("^[2-9][0-9]{2}[2-9]")
     s = feistel(key, "phone", _part(local, 1, 3) - 200, _part(local, 4, 7) - 2_000_000, F.lit(800), F.lit(8_000_000))
     north = F.transform(F.array(s), lambda s: F.concat(F.substring(d, F.lit(1), n - 10), _pad(s["l"] + 200, 3), _pad(s["r"] + 2_000_000, 7)))[0]
     other = F.concat(F.substring(d, F.lit(1), F.lit(3)), _half_digits(key, "abroad", F.substring(d, F.lit(4), n - 3)))
-    return plan | (x.startswith("+") & n.between(8, 15)), _refill(x, F.when(plan, north).otherwise(other))
+    return plan | (x.startswith("+") & ~d.startswith("1") & n.between(8, 15)), _refill(x, F.when(plan, north).otherwise(other))
 
 
 def _ssn(key: str, x: Column) -> tuple[Column, Column]:
@@ -185,22 +202,59 @@ def _ip(key: str, x: Column) -> tuple[Column, Column]:
     return reduce(lambda a, b: a & b, [v <= 255 for v in o]), new
 
 
+#: Days of the months of a common year behind the 28th, in order.
+_LATE = [(m, d) for m, days in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(29, days + 1)]
+_LEAP = [y for y in range(1800, 2200, 4) if y % 100 or not y % 400]
+
+
+def _late_days(day: Column) -> Column:
+    """The place of a date after the 12th among all such dates of the 400 years:
+    those up to the 28th month by month, then the rest year by year, then the
+    29ths of February."""
+    year, month, d = F.year(day) - 1800, F.month(day), F.dayofmonth(day)
+    late = F.array_position(F.array(*[F.lit(100 * m + k) for m, k in _LATE]), (100 * month + d).cast("int")) - 1
+    leap = F.array_position(F.array(*map(F.lit, _LEAP)), (year + 1800).cast("int")) - 1
+    rest = F.when((month == 2) & (d == 29), 88_400 + leap).otherwise(76_800 + year * 29 + late)
+    return F.when(d <= 28, (year * 12 + month - 1) * 16 + d - 13).otherwise(rest).cast("long")
+
+
+def _late_date(n: Column) -> Column:
+    """The date at a place that ``_late_days`` gives."""
+    months = F.floor(n / 16)
+    plain = F.make_date((1800 + F.floor(months / 12)).cast("int"), (months % 12 + 1).cast("int"), (n % 16 + 13).cast("int"))
+    k = F.get(F.array(*[F.lit(100 * m + d) for m, d in _LATE]), ((n - 76_800) % 29).cast("int"))
+    rest = F.make_date((1800 + F.floor((n - 76_800) / 29)).cast("int"), F.floor(k / 100).cast("int"), (k % 100).cast("int"))
+    leap = F.make_date(F.get(F.array(*map(F.lit, _LEAP)), (n - 88_400).cast("int")), F.lit(2), F.lit(29))
+    return F.when(n < 76_800, plain).when(n < 88_400, rest).otherwise(leap)
+
+
 def _date(key: str, x: Column) -> tuple[Column, Column]:
+    """yyyy-mm-dd, dd.mm.yyyy, and with slashes mm/dd/yyyy, or dd/mm/yyyy where
+    the first number is no month."""
     iso = x.rlike("^[0-9]{4}-")
-    month_first = _part(x, 1, 2) <= 12
-    spelled = F.when(iso, x).when(
-        month_first, F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2))
-    ).otherwise(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2)))
-    # dd.mm.yyyy where the separator says so
-    spelled = F.when(x.rlike(r"^[0-9]{2}\."), F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2))).otherwise(spelled)
-    day = spelled.try_cast("date")
-    n = F.pmod(F.datediff(day, F.lit("1800-01-01").cast("date")), F.lit(146_097))
-    s = feistel(key, "date", F.floor(n / 189), n % 189, F.lit(773), F.lit(189))
-    new = F.transform(F.array(s), lambda s: F.date_add(F.lit("1800-01-01").cast("date"), (s["l"] * 189 + s["r"]).cast("int")))[0]
-    sep = F.substring(x, 3, 1)
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(sep == ".", F.date_format(new, "dd.MM.yyyy")).when(
-        month_first, F.date_format(new, "MM/dd/yyyy")
-    ).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    month_first = (F.substring(x, 3, 1) == "/") & (_part(x, 1, 2) <= 12)
+    turned = F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2))
+    us = F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2))
+    day = F.when(iso, x).when(month_first, us).otherwise(turned).try_cast("date")
+    early = F.dayofmonth(day) <= 12
+    n = ((F.year(day) - 1800) * 12 + F.month(day) - 1) * 12 + F.dayofmonth(day) - 1
+    first = feistel(key, "early", F.floor(n / 240), n % 240, F.lit(240), F.lit(240))
+    late = _late_days(day)
+    later = feistel(key, "late", F.floor(late / 9833), late % 9833, F.lit(9), F.lit(9833))
+
+    def early_date(s: Column) -> Column:
+        k = s["l"] * 240 + s["r"]
+        months = F.floor(k / 12)
+        return F.make_date((1800 + F.floor(months / 12)).cast("int"), (months % 12 + 1).cast("int"), (k % 12 + 1).cast("int"))
+
+    new = F.when(early, F.transform(F.array(first), early_date)[0]).otherwise(
+        F.transform(F.array(later), lambda s: _late_date(s["l"] * 9833 + s["r"]))[0]
+    )
+    shown = F.transform(
+        F.array(new),
+        lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(month_first, F.date_format(d, "MM/dd/yyyy"))
+        .when(F.substring(x, 3, 1) == ".", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")),
+    )[0]
     return day.isNotNull() & F.year(day).between(1800, 2199), shown
 
 
@@ -218,7 +272,7 @@ def _iban(key: str, x: Column) -> tuple[Column, Column]:
 def _email(key: str, x: Column) -> tuple[Column, Column]:
     local, domain = F.substring_index(F.lower(x), "@", 1), F.substring_index(x, "@", -1)
     word = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), local, F.lower(domain)), 256)
-    return F.lit(True), F.concat(F.lit("user"), F.substring(word, F.lit(1), F.lit(12)), F.lit("@"), domain)
+    return F.lit(True), F.concat(F.lit("user"), F.substring(word, F.lit(1), F.lit(24)), F.lit("@"), domain)
 
 
 def _kind(x: Column) -> Column:
@@ -244,6 +298,8 @@ def _ends(kind: Column, x: Column) -> Column:
     last groups, in the order in which they are tried."""
     groups = F.regexp_extract_all(x, F.lit("[ .-]*[^ .-]+"), F.lit(0))
     cut = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), ""))
+    least = F.when(kind == "phone", 8).otherwise(13)  # shorter ends are valid for none
+    cut = F.filter(cut, lambda c: F.length(c) >= least)
     first = F.filter(cut, lambda c: _usual(kind, c))
     return F.when(kind.isin("card", "phone", "iban") & (F.size(groups) > 1), F.array_distinct(F.concat(first, cut))).otherwise(F.array(x))
 
@@ -272,7 +328,7 @@ def pseudonym(find: Column, key: str) -> Column:
 def _taken(pieces: Column, made: Column) -> Column:
     """array of (kind, old, new, after): ``pieces`` of a text, each from one
     start of a find to the next, less what valid finds have taken."""
-    empty = "array<struct<kind:string,old:string,new:string,after:string>>"
+    empty = F.array().cast("array<struct<kind:string,old:string,new:string,after:string>>")
 
     def step(acc: Column, s: Column) -> Column:
         piece, m, skip = s["piece"], s["m"], acc["skip"]
@@ -282,27 +338,40 @@ def _taken(pieces: Column, made: Column) -> Column:
             F.when(hit, m["kind"]).alias("kind"), F.when(hit, m["old"]).alias("old"), F.when(hit, m["new"]).alias("new"),
             F.substring(piece, gone + 1, F.length(piece)).alias("after"),
         )
-        return F.struct(F.greatest(gone - F.length(piece), F.lit(0)).alias("skip"), F.concat(acc["done"], F.array(one)).alias("done"))
+        return F.struct(F.greatest(gone - F.length(piece), F.lit(0)).alias("skip"), F.array_append(acc["done"], one).alias("done"))
+
+    # in runs, since an array that grows is copied with each step
+    pairs = F.zip_with(pieces, made, lambda p, m: F.struct(p.alias("piece"), m.alias("m")))
+
+    def run(acc: Column, lo: Column) -> Column:
+        start = F.struct(acc["skip"].alias("skip"), empty.alias("done"))
+        return F.aggregate(
+            F.slice(pairs, lo, F.lit(RUN)), start, step,
+            lambda end: F.struct(end["skip"].alias("skip"), F.array_append(acc["done"], end["done"]).alias("done")),
+        )
 
-    start = F.struct(F.lit(0).alias("skip"), F.array().cast(empty).alias("done"))
-    return F.aggregate(F.zip_with(pieces, made, lambda p, m: F.struct(p.alias("piece"), m.alias("m"))), start, step, lambda acc: acc["done"])
+    runs = F.sequence(F.lit(1), F.greatest(F.size(made), F.lit(1)), F.lit(RUN))
+    nothing = F.struct(F.lit(0).alias("skip"), F.array(empty).alias("done"))  # an empty run to start with
+    return F.aggregate(runs, nothing, run, lambda end: F.flatten(end["done"]))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, plus finds (array of
     kind, old, new), n_pii and a count n_<kind> of each kind."""
     src = F.col(text)
+    old, new, pieces, done = fresh(docs.columns, "old", "new", "pieces", "done")
     # all places where a find starts, those inside of other finds too
-    marked = docs.withColumn("_old", F.regexp_extract_all(src, F.lit(f"(?=({FINDER}))"), F.lit(1)))
-    marked = marked.withColumn("_new", F.when(F.size("_old") > 0, F.transform("_old", lambda x: pseudonym(x, key))))
-    marked = marked.withColumn("_pieces", F.when(F.size("_old") > 0, F.split(src, f"(?={FINDER})", -1)))
-    ahead = F.size("_pieces") - F.size("_old")  # 0 where the text starts with a find, else 1
-    marked = marked.withColumn("_done", _taken(F.slice("_pieces", ahead + 1, F.size("_old")), F.col("_new")))
-    head = F.when(ahead > 0, F.get("_pieces", F.lit(0))).otherwise("")
-    joined = F.concat(head, F.array_join(F.transform("_done", lambda d: F.concat(F.coalesce(d["new"], F.lit("")), d["after"])), ""))
-    finds = F.transform(F.filter("_done", lambda d: d["kind"].isNotNull()), lambda d: F.struct(d["kind"].alias("kind"), d["old"].alias("old"), d["new"].alias("new")))
+    marked = docs.withColumn(old, F.regexp_extract_all(src, F.lit(f"(?=({FINDER}))"), F.lit(1)))
+    some = F.size(old) > 0
+    marked = marked.withColumn(new, F.when(some, F.transform(old, lambda x: pseudonym(x, key))))
+    marked = marked.withColumn(pieces, F.when(some, F.split(src, f"(?={FINDER})", -1)))
+    ahead = F.size(pieces) - F.size(old)  # 0 where the text starts with a find, else 1
+    marked = marked.withColumn(done, F.when(some, _taken(F.slice(pieces, ahead + 1, F.size(old)), F.col(new))))
+    head = F.when(ahead > 0, F.get(pieces, F.lit(0))).otherwise("")
+    joined = F.concat(head, F.array_join(F.transform(done, lambda d: F.concat(F.coalesce(d["new"], F.lit("")), d["after"])), ""))
+    finds = F.transform(F.filter(done, lambda d: d["kind"].isNotNull()), lambda d: F.struct(d["kind"].alias("kind"), d["old"].alias("old"), d["new"].alias("new")))
     out = marked.withColumn("finds", F.coalesce(finds, F.expr("cast(array() as array<struct<kind:string,old:string,new:string>>)")))
-    out = out.withColumn(text, F.when(F.size("finds") > 0, joined).otherwise(src)).drop("_old", "_new", "_pieces", "_done")
+    out = out.withColumn(text, F.when(F.size("finds") > 0, joined).otherwise(src)).drop(old, new, pieces, done)
     kinds = F.transform("finds", lambda s: s["kind"])
     counts = {f"n_{k}": F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in KINDS}
     return out.withColumns({"n_pii": F.size("finds"), **counts})
