@@ -26,7 +26,8 @@ CACHE_ENTRIES = 250_000
 #: Chunks longer than this are encoded without being cached.
 CACHE_CHARS = 48
 
-_CHUNK = re.compile(r" (?=\S)")
+#: Borders that no piece crosses; the space belongs to what follows.
+CHUNK = re.compile(r" (?=\S)")
 
 
 class TwoAges:
@@ -181,7 +182,7 @@ class PrefixBpe:
         """Ids of a text, little-endian unsigned 32-bit integers, one after the
         other.  A piece never crosses a space that stands before a visible
         character, so the text falls into independent chunks there."""
-        chunks, parts = self._chunks, _CHUNK.split(text)
+        chunks, parts = self._chunks, CHUNK.split(text)
         out = [self._packed(parts[0])]
         for part in parts[1:]:
             ids = chunks.new.get(part)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from datetime import date
 
 import numpy as np
@@ -73,12 +74,34 @@ def test_prefix_counts_equal_library(counter, tokenizer, parts):
         assert counts[i] == len(tokenizer.encode(text[:i], add_special_tokens=False).ids), repr(text[:i])
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the", " ", "   ", "\n", "\t", "'s", "'ll", "'", "re", "<|endoftext|>", "12", "!!", "é", "🙂", "\x1c", "\u3000"]), max_size=14), st.integers(0, 9))
+def test_longest_prefix_equals_library(counter, tokenizer, parts, limit):
+    text = "".join(parts)
+    counts = [len(tokenizer.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    assert counter.longest(text, limit) == (counts[-1], max(i for i, c in enumerate(counts) if c <= limit)), repr(text)
+    assert counter.count(text) == counts[-1]
+
+
+def test_long_runs_are_counted_by_their_tables(counter, tokenizer):
+    for text in ("!" * 20_000, " " * 20_000 + "x", "9" * 20_000, "ab\n" * 7000, "=" * 9999 + "<|endoftext|>" * 50):
+        began = time.time()
+        counts = counter.prefixes(text)
+        took = time.time() - began
+        assert took < 2, (text[:5], took)
+        for i in (1, 17, 5000, len(text) - 1, len(text)):
+            assert counts[i] == len(tokenizer.encode(text[:i], add_special_tokens=False).ids)
+        fits = np.flatnonzero(counts <= 100)[-1]
+        assert counter.longest(text, 100) == (counts[-1], fits)
+
+
 def test_counts_in_spark(spark, tokenizer):
     rows = token_counts.counted(docs(spark, ODD), JSON_PATH, P.PATTERN, 5, ["doc_id"]).collect()
     for r in rows:
         text = ODD[r.doc_id] or ""
         n = len(tokenizer.encode(text, add_special_tokens=False).ids)
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 5)
+        fits = max(i for i in range(min(len(text), 200) + 1) if len(tokenizer.encode(text[:i], add_special_tokens=False).ids) <= 5)
+        assert (r.n_bytes, r.n_tokens, r.over_limit, r.limit_chars) == (len(text.encode()), n, n > 5, fits)
     table = token_counts.prefix_counts(docs(spark, ODD[4:6]), JSON_PATH, P.PATTERN)
     cut = table.select("text", token_counts.longest_prefix(F.col("prefix_tokens"), 2).alias("n")).collect()
     for r in cut:
