@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +51,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return index.ingest(_table(spark, sf_dir, "documents"))
+    done = exact_dedup.dedup(_table(spark, sf_dir, "documents"), index)
+    index.drop()  # the decisions are settled
+    return done
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

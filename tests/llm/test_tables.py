@@ -95,9 +95,41 @@ def test_index_over_batches(spark):
     assert index.rows().count() == 4
     assert index.ingest(docs(spark, [])).count() == 0 and index.rows().count() == 4
     assert [r.text_sha256 for r in first if r.doc_id == 0] == [hashlib.sha256(b"ab").hexdigest()]
-    plan = spark.table("test_digests").join(docs(spark, ["x"]).select(exact_dedup.digest(F.col("text")).alias("digest")).hint("merge"), "digest")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") <= 1, "the index side is read by bucket"
+    # a batch that is run again is decided as before and adds nothing
+    again = index.ingest(docs(spark, ["a  b", "d", "d d"[:1]], first=10), batch=1).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, second)) and index.rows().count() == 4
+    index.compact()
+    assert index.rows().count() == 4 and index.next_batch() == 2
+    assert [(r.keep_id, r.kept) for r in index.ingest(docs(spark, ["c c"[:1]], first=20)).collect()] == [(5, False)]
+    assert len(index.rows().select("_metadata.file_path").distinct().collect()) <= 4
+    index.drop()
+    assert not index.exists()
+
+
+def test_anti_join_is_a_merge_over_buckets(spark):
+    index = exact_dedup.DigestIndex(spark, "plan_digests", buckets=4)
+    rows = exact_dedup.hashed(docs(spark, ["a", "b", "b "]))
+    index.add(rows)
+    known = index.rows().select("digest")
+    fresh = rows.groupBy("digest").count().hint("merge").join(known.hint("merge"), "digest", "left_anti")
+    text = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "LeftAnti" in text and "Bucketed: true" in text
+    index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 4])
+def test_batches_agree_with_one_table(spark, batches):
+    rng = random.Random(batches)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(5))) for _ in range(300)] + [None] * 20
+    df = docs(spark, texts).withColumn("digest", F.lit("x"))
+    index = exact_dedup.DigestIndex(spark, f"many_digests_{batches}", buckets=4)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(df, index, batches=batches).collect()}
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[(t or "").translate(BLANK)].append((-len(t or ""), i))
+    assert got == {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
+    assert exact_dedup.dedup(df.limit(0), exact_dedup.DigestIndex(spark, f"none_{batches}", buckets=4), batches=batches).count() == 0
+    index.drop()
 
 
 # -- mixing --------------------------------------------------------------------
