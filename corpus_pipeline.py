@@ -32,10 +32,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each text that the digest index has not seen."""
+    """Keep one row of each text of all that the digest index gets."""
     rows = numbered(docs)
     keyed = rows.select(rank("doc_id").alias("_key"), "text")
-    decided = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}").ingest(keyed, id="_key")
+    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    decided = exact_dedup.dedup(keyed, index, id="_key")
+    index.drop()  # the decisions are settled
     kept = decided.filter("kept").select(F.col("doc_id.row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
