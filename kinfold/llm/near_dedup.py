@@ -7,7 +7,10 @@ keys that only one set has cannot be part of a shared table key and are dropped
 before the pairs are formed.
 
 At a similarity of 0.75 a pair of texts misses every table with probability
-0.0005, at 0.8 with 0.00007.  Candidates are confirmed on the full sets.
+0.0005, at 0.8 with 0.00007.  With the two sketches below, a link at 0.75 is lost
+with probability 0.0006 at most, and a group only if all its links to the rest
+are.  Candidates are confirmed on the full sets, held as 64-bit hashes of the
+shingles; sets are told apart by their size and two 64-bit fingerprints.
 
 Equal sets are merged first.  A table key then links its members to one hub (a
 star, never all pairs): the member with the smallest share of shingles that no
@@ -20,6 +23,11 @@ copies that are too far from everything drop out there.  So does a 64-bit sketch
 of one-bit minima, wrong for a pair at 0.75 with probability 0.00007; the last
 comparison also has one of 512 bits, wrong with probability 0.00003.
 
+A key, component or text may hold a third of all rows: joins with one row a key
+broadcast the heavy keys (``heavy_join``), aggregations combine before they
+shuffle, and the comparison of all rows of a key is dealt over as many tasks as
+the key has blocks of ``DEAL`` rows.
+
 Defined results: A-Z are lower-cased, words are runs other than white space;
 null, empty and blank texts have no shingles and link to nothing; texts shorter
 than a shingle have their whole word sequence as one; rows that share an id are
@@ -39,6 +47,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.components import connected_components
+from kinfold.operators.names import fresh
+from kinfold.operators.salting import heavy_join
 from kinfold.operators.scratch import numbered, rank, settle
 
 SHINGLE = 5
@@ -50,6 +60,8 @@ HALVES, MINIMA = 10, 2
 SKETCH, WIDE = 64, 512
 #: Hubs of a component that a set beside it is compared with.
 HUBS = 16
+#: Rows of a key that one task compares with the others of the key.
+DEAL = 1024
 #: Shingles worked on together.
 CHUNK = 1 << 17
 
@@ -181,31 +193,31 @@ def signature_udf(shingle: int = SHINGLE):
 
 
 def shingles_udf(shingle: int = SHINGLE):
-    """text -> struct(rep, full, wide): the fingerprint fp1 of its set, the set,
-    and its wide sketch."""
+    """text -> struct(fp1, fp2, full, wide): the fingerprints of its set, the
+    set, and its wide sketch."""
 
-    @F.pandas_udf("rep long, full array<long>, wide array<long>")
+    @F.pandas_udf("fp1 long, fp2 long, full array<long>, wide array<long>")
     def full(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_hashes(t, shingle) for t in texts]
-            rep, wide = np.zeros(len(sets), "i8"), [None] * len(sets)
+            fp1, fp2, wide = np.zeros(len(sets), "i8"), np.zeros(len(sets), "i8"), [None] * len(sets)
             for some in _chunks(sets):
                 x, at = _joined([sets[i] for i in some])
-                rep[some] = _fingerprint(x, at, 5).view("i8")
+                fp1[some], fp2[some] = (_fingerprint(x, at, k).view("i8") for k in (5, 11))
                 for i, w in zip(some, np.ascontiguousarray(_one_bit(_minima(x, at, WIDE, "wide")).T).view("i8"), strict=True):
                     wide[i] = w
-            yield pd.DataFrame({"rep": rep, "full": [s.view("i8") for s in sets], "wide": wide})
+            yield pd.DataFrame({"fp1": fp1, "fp2": fp2, "full": [s.view("i8") for s in sets], "wide": wide})
         _hashes.clear()
 
-    return full.asNondeterministic()  # or a null check on rep is moved below the join and runs it on all texts
+    return full.asNondeterministic()  # or a check of a field is moved below the join and runs it on all texts
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
     """(key, rep, l, r): the tensored table keys that at least two sets share,
     and the places of their two halves."""
     half = reps.select("rep", F.posexplode("halves").alias("place", "half"))
-    shared = half.groupBy("place", "half").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    half = half.join(shared, ["place", "half"])
+    shared = settle(half.groupBy("place", "half").agg(F.count("*").alias("c")).filter("c > 1"), "shared-halves")
+    half = heavy_join(half, shared, ["place", "half"], "c", 2 * HALVES * reps.count()).drop("c")
     sides = half.groupBy("rep").agg(
         *[
             F.collect_list(F.when(F.col("place") < HALVES if left else F.col("place") >= HALVES, F.struct("place", "half"))).alias(name)
@@ -215,8 +227,8 @@ def table_keys(reps: DataFrame) -> DataFrame:
     keys = sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
     key = F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key")
     keys = settle(keys.select(key, "rep", F.col("l.place").cast("byte").alias("l"), F.col("r.place").cast("byte").alias("r")), "keys")
-    members = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    return settle(keys.join(members, "key"), "shared-keys")
+    members = settle(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key-sizes")
+    return settle(heavy_join(keys, members, ["key"], "c", keys.count()).drop("c"), "shared-keys")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,9 +247,11 @@ def _beside(rows: DataFrame, hubs: DataFrame, by: str, on: str, each: int = 1) -
     of their own, one in each of ``each`` classes.  They are next to the text
     that the others are copies of."""
     best = F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "rep", "component", "n", "bits", "most")).alias("h")
-    hub = hubs.groupBy(F.col(on).alias("_on"), F.pmod("rep", F.lit(each)).alias("_class")).agg(best)
-    hub = hub.select("_on", *[F.col(f"h.{c}").alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")])
-    return rows.join(hub, F.col(by) == F.col("_on"))
+    hub = hubs.groupBy(F.col(on).alias(by), F.pmod("rep", F.lit(each)).alias("_class")).agg(best)
+    hub = hub.groupBy(by).agg(F.collect_list("h").alias("_hubs"))  # at most ``each``
+    hub = settle(hub.join(rows.groupBy(by).agg(F.count("*").alias("_c")), by), "hubs")
+    both = heavy_join(rows, hub, [by], "_c", rows.count()).withColumn("h", F.explode("_hubs")).drop("_hubs", "_c")
+    return both.select(*rows.columns, *[F.col(f"h.{c}").alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")])
 
 
 def _first_shared() -> Column:
@@ -274,10 +288,12 @@ def _near(percent: int) -> Column:
 
 
 def _undecided(placed: DataFrame) -> DataFrame:
-    """Rows of keys with several components, and each key's largest (``major``)."""
+    """Rows of keys with several components, with each key's largest (``major``)
+    and its number of rows (``c``)."""
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"))
-    return placed.join(parts.filter("parts > 1").select("key", F.col("m.component").alias("major")), "key")
+    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("c"))
+    parts = settle(parts.filter("parts > 1").select("key", "c", F.col("m.component").alias("major")), "parts")
+    return heavy_join(placed, parts, ["key"], "c", placed.count())
 
 
 def classes(
@@ -285,23 +301,20 @@ def classes(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(base.select("doc_id", signature_udf(shingle)("text").alias("s")).select("doc_id", "s.*"), "signatures")
+    signed = base.select("doc_id", F.monotonically_increasing_id().alias("row"), signature_udf(shingle)("text").alias("s"))
+    signed = settle(signed.select("doc_id", "row", "s.*"), "signatures")
     same = ["n", "fp1", "fp2"]
-    groups = settle(
-        signed.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("first_id")), "sets"
-    )
-    repeated = signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count() > 0
-    first = groups.withColumnRenamed("first_id", "doc_id")
-    reps = signed.join(first, [*same, "doc_id"]).select(F.col("fp1").alias("rep"), "n", "halves", "bits")
-    reps = settle(reps.dropDuplicates(["rep"]) if repeated else reps, "reps")
+    some = signed.filter("n > 0 and doc_id is not null")
+    # equal sets are one; the number of its first row names it
+    groups = some.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.min("row").alias("rep"), F.count("*").alias("copies"))
+    groups = settle(groups, "sets")
+    repeated = some.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    reps = settle(signed.join(groups.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "halves", "bits"), "reps")
     keys = table_keys(reps)
     candidates = settle(keys.select("rep").distinct(), "candidates")
-    wanted = groups.select(F.col("fp1").alias("rep"), "first_id").join(candidates, "rep").select("first_id").distinct()
-    sets = (
-        base.join(wanted, base["doc_id"] == wanted["first_id"], "left_semi")
-        .select(shingles_udf(shingle)("text").alias("s")).select("s.*")
-        .join(candidates, "rep", "left_semi")
-    )
+    wanted = groups.join(candidates, "rep").select("rep", *[F.col(c).alias(f"{c}_") for c in same], "first_id")
+    sets = base.join(wanted, base["doc_id"] == wanted["first_id"]).select("rep", "fp1_", "fp2_", shingles_udf(shingle)("text").alias("s"))
+    sets = sets.filter("s.fp1 = fp1_ and s.fp2 = fp2_").select("rep", "s.full", "s.wide")  # ids that repeat have other texts too
     sets = settle(sets.dropDuplicates(["rep"]) if repeated else sets, "full-sets")
     # shingles that no other candidate has cannot be part of an intersection
     own = sets.select("rep", F.explode("full").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
@@ -313,11 +326,11 @@ def classes(
 
     def placed(found: DataFrame) -> DataFrame:
         at = found.select(F.col("node").alias("rep"), "component")
-        return rows.join(at, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        return settle(rows.join(at, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
 
     # stars: each set with the best hub of its keys
     alone = rows.withColumn("component", F.col("rep"))
-    stars = _beside(alone, alone, "key", "key").filter(_likely(percent))
+    stars = _beside(alone, alone, "key", "key").filter(_likely(percent))  # a row a key, so the rows' keys are all there
     stars = stars.groupBy("rep").agg(F.max_by("rep2", F.struct(F.col("most2") / F.col("n2"), "rep2")).alias("rep2"))
     tried = settle(stars.select(F.col("rep2").alias("a"), F.col("rep").alias("b")), "tried")
     links = settle(confirmed(tried, sets, percent), "links")
@@ -325,7 +338,7 @@ def classes(
 
     # those outside a key's largest component with hubs of that component
     still = settle(_undecided(placed(found)), "undecided")
-    outside = still.filter("component <> major").select("rep", "component", "n", "bits", "most", "major").distinct()
+    outside = settle(still.filter("component <> major").select("rep", "component", "n", "bits", "most", "major").distinct(), "outside")
     inside = still.filter("component = major").select("rep", "component", "n", "bits", "most").distinct()
     again = _beside(outside, inside, "major", "component", HUBS).filter(_likely(percent))
     again = again.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -335,20 +348,23 @@ def classes(
     # and what is left of them with all others, each pair in its first key
     still = _undecided(placed(found)).join(reps.select("rep", "halves"), "rep").join(sets.select("rep", "wide"), "rep")
     still = settle(still, "undecided")
-    others = still.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most", "halves", "wide")])
-    across = still.filter("component <> major").join(others, "key").filter(_likely(percent) & _near(percent) & _first_shared())
+    # the rows outside are dealt over copies of their key's rows, as many as it has blocks
+    tables = F.ceil(F.col("c") / DEAL)
+    others = still.select("key", F.explode(F.sequence(F.lit(0), tables - 1)).alias("_deal"), *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most", "halves", "wide")])
+    dealt = still.filter("component <> major").withColumn("_deal", F.pmod(F.xxhash64("rep"), tables))
+    across = dealt.join(others, ["key", "_deal"]).filter(_likely(percent) & _near(percent) & _first_shared())
     across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     links = settle(links.unionByName(confirmed(across, sets, percent)), "links")
     found = connected_components(links)
 
-    known = settle(
-        groups.join(found, F.col("fp1") == F.col("node"), "left").select(*same, "first_id", F.coalesce("component", "fp1").alias("component")),
-        "known",
-    )
-    smallest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = known.join(smallest, "component").select(*same, "component_id")
-    out = signed.join(known, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select(
+    known = groups.join(found, F.col("rep") == F.col("node"), "left")
+    known = settle(known.select(*same, "first_id", "copies", F.coalesce("component", "rep").alias("component")), "known")
+    smallest = known.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_sets"))
+    known = heavy_join(known, settle(smallest, "smallest"), ["component"], "_sets", known.count())
+    known = settle(known.select(*same, "copies", "component_id"), "components")
+    out = heavy_join(some.select("doc_id", *same), known, same, "copies", some.count()).select("doc_id", "n", "component_id")
+    rest = signed.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
@@ -357,7 +373,9 @@ def survivors(docs: DataFrame, id: str = "doc_id", text: str = "text", **params)
     """``docs`` with one row of each class: the one with the smallest id.  Rows
     are told apart by row, so null ids (which come last) and repeated ids are
     compared like all others."""
-    rows = numbered(docs)
-    found = classes(rows, "_row", text, **params).select(F.col("doc_id").alias("_row"), "component_id")
-    kept = found.join(rows.select("_row", rank(id).alias("_key")), "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
-    return rows.join(kept.select(F.col("_key.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    (row,) = fresh(docs.columns, "row")
+    rows = numbered(docs, row)
+    found = classes(rows, row, text, **params).select(F.col("doc_id").alias("node"), "component_id")
+    keyed = rows.select(F.col(row).alias("node"), rank(id, row).alias("key"))
+    kept = found.join(keyed, "node").groupBy("component_id").agg(F.min("key").alias("key"))
+    return rows.join(kept.select(F.col("key.row").alias(row)), row, "left_semi").select(*docs.columns)
