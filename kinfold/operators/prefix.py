@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import settle
+
 BINS = 1024
 
 
@@ -55,3 +57,22 @@ def running_totals(
         out = out.join(sums, cond, "left").withColumn(into, F.col(into) + F.coalesce("_above", F.lit(0)))
         out = out.drop("_above", *[f"_k_{c}" for c in [*outer, level]])
     return out.drop("_v", *names)
+
+
+def ordered_totals(df: DataFrame, order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Add, under each name, the sum of a value over the rows that stand before
+    this one in a total order, without one task for all rows.
+
+    Rows are dealt by ranges of the order; the totals of the ranges, as many as
+    there are shuffle partitions, are the only rows that one task sees whole."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_v{i}" for i in range(len(values))]
+    rows = df.withColumns(dict(zip(names, values.values(), strict=True))).repartitionByRange(parts, *order)
+    rows = settle(rows.withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("_part").agg(*[F.sum(v).alias(v) for v in names])
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_part").alias("_of"), *[F.sum(v).over(above).alias(f"{v}a") for v in names])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({f"{v}b": F.sum(v).over(inside) for v in names}).join(F.broadcast(sums), F.col("_part") == F.col("_of"))
+    both = {n: F.coalesce(f"{v}a", F.lit(0)) + F.coalesce(f"{v}b", F.lit(0)) for n, v in zip(values, names, strict=True)}
+    return out.withColumns(both).select(*df.columns, *values)
