@@ -21,10 +21,10 @@ a null id draws by its text instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.prefix import BINS, running_totals
+from kinfold.operators.prefix import BINS, ordered_totals, running_totals
 from kinfold.operators.salting import salted_join
 from kinfold.operators.scratch import settle
 
@@ -43,36 +43,29 @@ def uniform(id: Column, seed: str) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def targets(sizes: DataFrame, total: Column, weights: list[float], cap: float) -> DataFrame:
+def targets(sizes: DataFrame, total: float, weights: list[float], cap: float) -> DataFrame:
     """Add ``target`` to (source, source_size), one row a source.
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share
-    ``total`` (default: all sizes); a source stops at ``cap`` times its size
-    and the excess is shared again by weight until none is above.  That end
-    point is found in closed form: in order of cap / weight, the first k
-    sources stop where the level of the others, (total - caps) / weights, is
-    below the next source's own level."""
-    one = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    n = F.row_number().over(one) - 1
+    ``total``; a source stops at ``cap`` times its size and the excess is shared
+    again by weight until none is above.  That end point is found in closed
+    form: in order of cap / weight, the first k sources stop where the level of
+    the others, (total - caps) / weights, is below the next source's own level.
+    Sources may be as many as hosts: both orders are totals over ranges."""
+    by_name = [F.col("source").isNull(), F.col("source")]
+    rows = ordered_totals(sizes.select("source", "source_size"), by_name, {"_n": F.lit(1)})
     weight = F.lit(weights[0])
     for i, w in enumerate(weights[1:], 1):
-        weight = F.when(n % len(weights) == i, F.lit(w)).otherwise(weight)
-    rows = sizes.withColumn("weight", weight.cast("double")).withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
-    by = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    rows = (
-        rows.withColumn("_total", total)
-        .withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-        .withColumn("_open", F.col("_level") * F.col("weight") <= F.col("_cap"))
-        .withColumn("_final", F.min(F.when(F.col("_open"), F.struct(F.col("_cap") / F.col("weight"), F.col("_level"))).alias("x")).over(every))
-    )
-    level = F.col("_final").getField("_level")
-    return rows.select(
-        "source", "source_size", "weight",
-        F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("weight"))).alias("target"),
-    )
+        weight = F.when(F.col("_n") % len(weights) == i, F.lit(w)).otherwise(weight)
+    rows = rows.withColumn("weight", weight.cast("double")).withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
+    rows = rows.withColumn("_own", F.col("_cap") / F.col("weight"))
+    rows = settle(ordered_totals(rows, [F.col("_own"), *by_name], {"_caps": F.col("_cap"), "_weights": F.col("weight")}), "levels")
+    every = rows.agg(F.sum("weight")).first()[0] or 1.0
+    level = (F.lit(total) - F.col("_caps")) / (F.lit(every) - F.col("_weights"))
+    open_ = rows.withColumn("_level", level).filter(F.col("_level") * F.col("weight") <= F.col("_cap"))
+    final = open_.agg(F.max("_level")).first()[0]  # that of the first open source, as they fall from there on
+    target = F.col("_cap") if final is None else F.least(F.col("_cap"), F.lit(final) * F.col("weight"))
+    return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
 def mix(
@@ -90,7 +83,8 @@ def mix(
 
     Returns ``keep`` (other columns of ``docs`` to carry) and doc_id, size,
     source_size, target (its source's, in words), copies and taken (= copies x
-    size).  ``importance`` names a non-negative column that tilts the choice
+    size); a kept column named like one of these gives way to it.
+    ``importance`` names a non-negative column that tilts the choice
     inside a source; null counts as 0, and a source with no importance at all
     falls back to even shares."""
     tilt = F.coalesce(F.col(importance).cast("double"), F.lit(0.0)) if importance else F.lit(1.0)
@@ -101,8 +95,9 @@ def mix(
         word_count(F.col(text)).alias("size"), tilt.alias("_tilt"), uniform(drawn, seed).alias("_u"),
     )
     rows = settle(rows, "sizes")  # the texts are read once
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_tilt")).alias("_tilted"))
-    goal = targets(sizes.drop("_tilted"), F.sum("source_size").over(Window.partitionBy()).cast("double"), weights, cap)
+    sizes = settle(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_tilt")).alias("_tilted")), "sources")
+    total = float(sizes.agg(F.sum("source_size")).first()[0] or 0)
+    goal = targets(sizes, total, weights, cap)
     goal = goal.join(sizes.select(F.col("source").alias("_s"), "_tilted"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = salted_join(rows, settle(goal, "goal"), ["source"], ["doc_id", "size"])
     tilted = F.when(F.col("_tilted") > 0, F.col("_tilt") / F.col("_tilted")).otherwise(1.0 / F.col("source_size"))
@@ -128,8 +123,9 @@ def mix(
     room = F.col("target") - F.col("_given")
     # the document across the border is in if that brings the sum nearer
     front = F.col("_q").isNotNull() & (F.col("size") > 0) & (F.col("_before") + F.col("size") / 2 <= room)
+    made = ("doc_id", "size", "source_size", "target", "copies", "taken")
     return rows.withColumn("copies", (F.col("_sure") + front.cast("int")).cast("long")).select(
-        *[F.col(f"_keep_{c}").alias(c) for c in keep or []],
-        *([] if keep and "doc_id" in keep else ["doc_id"]),
+        *[F.col(f"_keep_{c}").alias(c) for c in keep or [] if c.lower() not in made],
+        "doc_id",
         "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )

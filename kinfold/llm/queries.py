@@ -106,7 +106,7 @@ l AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM c),
-f AS (SELECT arg_min(level, (cap / w, level)) AS level FROM l WHERE level * w <= cap),
+f AS (SELECT max(level) AS level FROM l WHERE level * w <= cap),
 t AS (
   SELECT source, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target
   FROM l LEFT JOIN f ON true),
