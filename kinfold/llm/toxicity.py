@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.scratch import settle
+
 #: Labelled texts that a model is fitted on at most.
 SAMPLE = 20_000
 #: Lexicon entries at most.
@@ -221,33 +223,30 @@ def learn(
     rows = docs.select(F.col(id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(marked), F.col("_doc") == F.col("_id"))
     rows = rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min(F.struct("_doc", "text")).alias("r"))
-    rows = rows.select("toxic", "r.text").cache()
-    try:
-        n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        pos, neg = n.get(1, 0), n.get(0, 0)
-        if not pos or not neg:
-            return Lexicon(dict(seed), exceptions=exceptions)
-        counts = _counts(rows).filter(F.col("a") >= SUPPORT)
-        p1, p0 = (F.col("a") + 0.5) / (pos + 1), (F.col("b") + 0.5) / (neg + 1)
-        ea, eb = ((F.col("a") + F.col("b")) * k / (pos + neg) for k in (pos, neg))
-        gain = 2 * (
-            F.col("a") * F.log(F.col("a") / ea) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / eb)).otherwise(0.0)
-        )
-        counts = counts.withColumns({"w": F.log(p1 / p0), "gain": gain}).filter(F.col("w") >= math.log(ODDS)).cache()
-        # chance alone must not be expected to bring one of the tried terms so far
-        bar = 2 * math.log(max(1, counts.count()) + 1) + 12
-        best = counts.filter(F.col("gain") >= bar).orderBy(F.desc("gain"), "term").limit(entries).collect()
-        counts.unpersist()
-        chosen = _without_repeats({r["term"]: (r["a"], r["w"]) for r in best})
-        words = dict(seed) | {t[:-1]: w for t, (_, w) in chosen.items() if t.endswith(" ")}
-        lexicon = Lexicon(words, {t: w for t, (_, w) in chosen.items() if not t.endswith(" ")}, exceptions)
-        found = rows.select("toxic", scorer(lexicon, raw=True)("text").alias("m")).select("toxic", "m.*").collect()
-        x = np.array([(r["x"], r["y"]) for r in found])
-        beta = _fit(x, np.array([r["toxic"] for r in found], "f8"))
-        lexicon.bias, lexicon.by_sum, lexicon.by_density = map(float, beta)
-        return lexicon
-    finally:
-        rows.unpersist()
+    rows = settle(rows.select("toxic", "r.text"), "labelled")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    pos, neg = n.get(1, 0), n.get(0, 0)
+    if not pos or not neg:
+        return Lexicon(dict(seed), exceptions=exceptions)
+    counts = _counts(rows).filter(F.col("a") >= SUPPORT)
+    p1, p0 = (F.col("a") + 0.5) / (pos + 1), (F.col("b") + 0.5) / (neg + 1)
+    ea, eb = ((F.col("a") + F.col("b")) * k / (pos + neg) for k in (pos, neg))
+    gain = 2 * (
+        F.col("a") * F.log(F.col("a") / ea) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / eb)).otherwise(0.0)
+    )
+    counts = counts.withColumns({"w": F.log(p1 / p0), "gain": gain}).filter(F.col("w") >= math.log(ODDS))
+    counts = settle(counts, "terms")
+    # chance alone must not be expected to bring one of the tried terms so far
+    bar = 2 * math.log(max(1, counts.count()) + 1) + 12
+    best = counts.filter(F.col("gain") >= bar).orderBy(F.desc("gain"), "term").limit(entries).collect()
+    chosen = _without_repeats({r["term"]: (r["a"], r["w"]) for r in best})
+    words = dict(seed) | {t[:-1]: w for t, (_, w) in chosen.items() if t.endswith(" ")}
+    lexicon = Lexicon(words, {t: w for t, (_, w) in chosen.items() if not t.endswith(" ")}, exceptions)
+    found = rows.select("toxic", scorer(lexicon, raw=True)("text").alias("m")).select("toxic", "m.*").collect()
+    x = np.array([(r["x"], r["y"]) for r in found])
+    beta = _fit(x, np.array([r["toxic"] for r in found], "f8"))
+    lexicon.bias, lexicon.by_sum, lexicon.by_density = map(float, beta)
+    return lexicon
 
 
 def held_out(id: Column) -> Column:
