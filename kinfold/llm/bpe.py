@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.operators.names import fresh
+
 from .prefix_bpe import PrefixBpe, ranks_of_tiktoken
 
 
@@ -88,6 +90,10 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", into: str
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str | Column], text: str = "text") -> DataFrame:
     """``keep`` plus n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit
-    integers) and decoded_sha256 of each row's text, encoded and decoded."""
+    integers) and decoded_sha256 of each row's text, encoded and decoded; a kept
+    column named like one of these gives way to it."""
     both = encoder(docs.sparkSession, path, pattern, digests=True)
-    return docs.select(*keep, both(F.col(text)).alias("_bpe")).select(*keep, "_bpe.*")
+    (made,) = fresh(docs.columns, "bpe")
+    rows = docs.select(*keep, both(F.col(text)).alias(made))
+    kept = [c for c in rows.columns if c.lower() not in (made, "n_tokens", "ids_sha256", "decoded_sha256")]
+    return rows.select(*kept, f"{made}.*")

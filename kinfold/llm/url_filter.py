@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.names import fresh
+
 ANY, SEGMENT = "**", "*"
 
 
@@ -148,12 +150,18 @@ def longest_rule(rules: list[Rule]):
 
 def judge(pages: DataFrame, rules: list[Rule], keep: list[str | Column], url: str = "url", default: str = "allow") -> DataFrame:
     """``keep`` plus host, path, rule (name of the rule that decides, else
-    null) and verdict (``default`` where none does)."""
+    null) and verdict (``default`` where none does); a kept column named like one
+    of these gives way to it."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_rule", longest_rule(rules)(F.concat(F.lit("."), "host", "path")))
+    given = pages.select(*keep)
+    (hit,) = fresh([*given.columns, "host", "path"], "rule")
+    kept = [c for c in given.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    part_host, part_path = fresh(given.columns, "host", "path")
+    rows = pages.select(*keep, host.alias(part_host), path.alias(part_path))
+    rows = rows.select(*kept, F.col(part_host).alias("host"), F.col(part_path).alias("path"))
+    rows = rows.withColumn(hit, longest_rule(rules)(F.concat(F.lit("."), "host", "path")))
     names, verdicts = F.lit(None).cast("string"), F.lit(default)
     for r, rule in enumerate(rules):
-        names = F.when(F.col("_rule") == r, F.lit(rule.name)).otherwise(names)
-        verdicts = F.when(F.col("_rule") == r, F.lit("allow" if rule.allow else "block")).otherwise(verdicts)
-    return rows.withColumns({"rule": names, "verdict": verdicts}).drop("_rule")
+        names = F.when(F.col(hit) == r, F.lit(rule.name)).otherwise(names)
+        verdicts = F.when(F.col(hit) == r, F.lit("allow" if rule.allow else "block")).otherwise(verdicts)
+    return rows.withColumns({"rule": names, "verdict": verdicts}).drop(hit)

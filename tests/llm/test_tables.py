@@ -191,7 +191,7 @@ def test_op3_targets(spark, small):
 def test_water_level(spark):
     sizes = {"a": 100, "b": 10, "c": 1000, None: 0}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
-    got = {r.source: r.target for r in mixing.targets(df, F.lit(1110.0), [1.0, 2.0, 3.0], 3.0).collect()}
+    got = {r.source: r.target for r in mixing.targets(df, 1110.0, [1.0, 2.0, 3.0], 3.0).collect()}
     # round by round: the excess of sources above their cap goes to the others by weight
     weight, cap = {"a": 1.0, "b": 2.0, "c": 3.0, None: 1.0}, {s: 3.0 * n for s, n in sizes.items()}
     want, left, open_ = dict.fromkeys(sizes, 0.0), 1110.0, set(sizes)
@@ -206,6 +206,25 @@ def test_water_level(spark):
     assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes)
 
 
+def test_many_sources_get_their_targets(spark):
+    """As many sources as documents, in no single task's order."""
+    sizes = {f"h{i:05d}": (i * 7919) % 50 for i in range(3000)} | {None: 40}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(4)
+    total = float(sum(sizes.values()))
+    got = {r.source: (r.weight, r.target) for r in mixing.targets(df, total, [1.0, 2.0, 3.0], 3.0).collect()}
+    order = sorted((s for s in sizes if s), key=str) + [None]
+    weight = {s: 1.0 + i % 3 for i, s in enumerate(order)}
+    lo, hi = 0.0, total
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(3 * n, mid * weight[s]) for s, n in sizes.items()) < total else (lo, mid)
+    assert len(got) == len(sizes)
+    for s, n in sizes.items():
+        assert got[s][0] == weight[s] and abs(got[s][1] - min(3 * n, hi * weight[s])) < 1e-6
+    kept = mixing.mix(docs(spark, ["a b", "c"]).withColumns({"source": F.lit("x"), "size": F.lit("mine"), "z": F.lit(1)}), [1.0], 3.0, keep=["size", "z", "doc_id"])
+    assert kept.columns == ["z", "doc_id", "size", "source_size", "target", "copies", "taken"] and kept.count() == 2
+
+
 def test_mix_edges(spark):
     rows = [(i, "w " * (1 + i % 7), s) for i, s in enumerate(["a"] * 200 + ["b"] * 5 + [None] * 20)] + [(900, None, "a"), (901, "", "z"), (902, "x", ""), (5, "w", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
@@ -251,6 +270,24 @@ def test_op9_recall(spark, sf):
     assert hits / of >= 0.9, hits / of
 
 
+@pytest.mark.parametrize("n", [300, 20_480])
+def test_recall_at_several_sizes(spark, n):
+    """Random directions, the hardest case: less than a block, and five blocks."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    step = max(1, n // 100)
+    got = permutation_index.search(df, F.col("vec_id") % step == 0).toPandas()
+    x, hits = x.astype("f8"), 0
+    for q, found in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -9
+        assert len(found) == 20 and np.allclose(found.score, score[found.vec_id])
+        hits += len(set(found.vec_id) & set(np.argsort(-score)[:20]))
+    assert hits >= 0.93 * 20 * got.query_id.nunique() and got.query_id.nunique() >= 100
+    assert permutation_index.front_of(4096, 1_000_000) < 0.03 * 4096, "a falling part of each block"
+
+
 def test_neighbour_edges(spark):
     one = [1.0, 0.0]
     rows = [(0, one), (20, one), (1, one), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (None, one), (40, None)]
@@ -302,6 +339,35 @@ def test_sharding_edges(spark):
     assert sharding.shard(docs(spark, []), 24).count() == 0
 
 
+def test_rounds_update_labels_and_lower_the_cut(spark):
+    """Full shards: only exchanges of copies can bring texts together."""
+    rng = random.Random(8)
+    rows = [(f"t{i}", s, 1) for i in range(600) for s in rng.sample(range(6), 2)]
+    labels = spark.createDataFrame(rows, "g string, shard int, cnt long")
+    load = Counter(s for _, s, _ in rows)
+    for room in ([load[s] for s in range(6)], [200] * 6, [400] * 6):
+        got = sharding.propagate(labels, room).collect()
+        where, held = defaultdict(dict), Counter()
+        for r in got:
+            where[r.g][r.shard] = r.cnt
+            held[r.shard] += r.cnt
+        assert all(sum(w.values()) == 2 for w in where.values()) and len(where) == 600
+        assert all(held[s] <= room[s] for s in range(6))
+        cut = sum(len(w) > 1 for w in where.values())
+        assert cut == sharding.cut_links(spark.createDataFrame([(r.g, r.shard, r.cnt) for r in got], labels.schema))
+        assert cut <= (0 if room[0] == 400 else 60), "600 at the start"
+
+
+def test_shards_of_copies_only(spark):
+    texts = [f"t{i // 3}" for i in range(720)]
+    rows = sharding.shard(docs(spark, texts), 4).collect()
+    check_shards(rows, texts, 4)
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert sum(len(w) == 1 for w in where.values()) >= 0.8 * len(where)
+
+
 # -- pipeline ------------------------------------------------------------------
 
 

@@ -130,6 +130,16 @@ def test_encode_decode_round_trip(spark):
     assert bpe.encode(docs(spark, []), RANKS_PATH, P.PATTERN).count() == 0
 
 
+def test_kept_columns_that_clash(spark):
+    rows = docs(spark, ["a b", None]).withColumns({c: F.lit("mine") for c in ("_bpe", "n_tokens", "_made", "_rule", "rule", "host", "url")})
+    got = bpe.round_trip(rows, RANKS_PATH, P.PATTERN, ["doc_id", "_bpe", "n_tokens"]).collect()
+    assert [(r._bpe, r.n_tokens) for r in sorted(got, key=lambda r: r.doc_id)] == [("mine", 2), ("mine", 0)]
+    got = token_counts.counted(rows, JSON_PATH, P.PATTERN, 5, ["doc_id", "_made", "n_tokens"]).collect()
+    assert [(r._made, r.n_tokens) for r in sorted(got, key=lambda r: r.doc_id)] == [("mine", 2), ("mine", 0)]
+    got = url_filter.judge(rows, [url_filter.Rule("net", "/", False)], ["doc_id", "_rule", "rule", "host"]).collect()
+    assert {(r._rule, r.rule, r.host, r.verdict) for r in got} == {("mine", None, "", "allow")}
+
+
 def test_json_and_tiktoken_vocabularies_agree():
     ranks, special = ranks_of_json(open(JSON_PATH, "rb").read())
     assert special == ["<|endoftext|>"]
