@@ -67,9 +67,10 @@ class DigestIndex:
         return 0 if last is None else last + 1
 
     def _append(self, new: DataFrame, batch: int) -> None:
-        """Each bucket gets one sorted file a batch; Spark commits it as a whole."""
+        """Each bucket gets one sorted file a batch, as the rows come out of the
+        join with the buckets; Spark commits a batch as a whole."""
         if self.rows().filter(F.col("batch") == batch).limit(1).count() == 0:
-            self._write(new.repartition(self.buckets, "digest"), self.name, self.path)
+            self._write(new, self.name, self.path)
 
     def compact(self) -> None:
         """One sorted file a bucket again, after many batches; a bucket is
