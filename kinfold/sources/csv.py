@@ -1,8 +1,15 @@
-"""CSV records with headers under many names."""
+"""CSV records with headers under many names.
+
+One job reads the first line of all files; a second scan reads all files
+together by position, and each row's cells are picked with the header of its
+file, which comes along in a join.  Quoted cells may hold line breaks; where the
+session sets ``kinfold.csv.multiLine`` to false they may not, and large files
+are read in splits.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,21 +21,23 @@ from kinfold.functions.text import clean, split_clean, strip
 from kinfold.operators.extract import provenance
 from kinfold.schema import EDUCATION, EXPERIENCE
 
-from .manifest import file_number, register
+from .manifest import ROWS, file_column, files_table, register, sequence
 
 CONFIDENCE = K.BASE_CONFIDENCE["csv"] * K.METHOD_FACTOR["structured_field"]
-_OPTIONS = {"multiLine": True, "escape": '"', "mode": "PERMISSIVE", "inferSchema": False}
-#: Room for the rows of one file in ``seq``.
-ROWS = 33
+COLUMNS = sorted(set(K.HEADER_ALIASES.values()))
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Cells of a file's first line, as written; empty files have none."""
+def headers(spark: SparkSession, files: list[tuple[int, str]]) -> dict[int, list[str]]:
+    """Cells of the first line of each file, by number; empty files have none."""
     try:
-        first = spark.read.options(header=False, **_OPTIONS).csv(path).first()
+        lines = spark.read.text([p for _, p in files])
+        meta, row = F.col("_metadata"), F.monotonically_increasing_id()
+        lines = lines.select("value", file_column(meta["file_path"]).alias("_path"), meta["file_block_start"].alias("at"), row.alias("row"))
+        heads = lines.filter("at = 0").groupBy("_path").agg(F.min_by("value", "row").alias("head"))
+        found = heads.join(files_table(spark, files), "_path").select("_number", "head").collect()  # a row a file
     except AnalysisException as e:
-        raise SourceError(f"cannot read {path}: {e.getCondition() or e}") from e
-    return [c or "" for c in first] if first else []
+        raise SourceError(f"cannot read {[p for _, p in files][:3]}: {e.getCondition() or e}") from e
+    return {r["_number"]: next(csv.reader([r["head"].removeprefix("\ufeff")]), []) for r in found}
 
 
 def mapping(header: list[str], path: str = "") -> dict[str, int]:
@@ -70,23 +79,26 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame | None:
-    """Records of all files; files with the same header are read together."""
-    alike: dict[tuple[str, ...], list[tuple[int, str]]] = {}
-    for i, path in files:
-        header = header_of(spark, path)
-        mapping(header, path)
-        if header:
-            alike.setdefault(tuple(header), []).append((i, path))
-    made = []
-    for header, same in alike.items():
-        names = ", ".join(f"c{k} string" for k in range(len(header)))
-        raw = spark.read.schema(names).options(header=True, enforceSchema=True, **_OPTIONS).csv([p for _, p in same])
-        # a multi-line file is one split, so the row numbers of a task follow the file
-        seq = F.shiftleft(file_number(same), ROWS) + F.monotonically_increasing_id().bitwiseAND((1 << ROWS) - 1)
-        cells = [F.col(f"c{k}").alias(name) for name, k in mapping(list(header)).items()]
-        name = F.regexp_extract(F.try_url_decode(F.col("_metadata.file_name")), r"([^/]+)$", 1)
-        made.append(records(raw.select(name.alias("source_file"), seq.alias("seq"), *cells)))
-    return reduce(DataFrame.unionByName, made) if made else None
+    """Records of all files; None if all are empty."""
+    heads, paths = headers(spark, files), dict(files)
+    found = {i: mapping(h, paths[i]) for i, h in heads.items() if h}
+    if not found:
+        return None
+    width = max(len(heads[i]) for i in found)
+    many = spark.conf.get("kinfold.csv.multiLine", "true").lower() != "false"
+    names = ", ".join(f"c{k} string" for k in range(width))
+    raw = spark.read.schema(names).options(header=True, enforceSchema=True, multiLine=many, escape='"', mode="PERMISSIVE", inferSchema=False)
+    raw = raw.csv([paths[i] for i in found])
+    meta = F.col("_metadata")
+    name = F.regexp_extract(F.try_url_decode(meta["file_name"]), r"([^/]+)$", 1)
+    raw = raw.select(
+        F.array(*[F.col(f"c{k}") for k in range(width)]).alias("_cells"), name.alias("source_file"), file_column(meta["file_path"]).alias("_path"),
+        sequence(F.lit(0), meta["file_block_start"]).alias("_at"),
+    )
+    where = {i: ([m.get(c) for c in COLUMNS],) for i, m in found.items()}
+    rows = raw.join(files_table(spark, [(i, paths[i]) for i in found], "_where array<int>", where), "_path")
+    cells = [F.get("_cells", F.get("_where", F.lit(j))).alias(c) for j, c in enumerate(COLUMNS)]
+    return records(rows.select("source_file", (F.shiftleft("_number", ROWS) + F.col("_at")).alias("seq"), *cells))
 
 
 register("csv", read)

@@ -57,10 +57,26 @@ def manifest(paths: Iterable[str]) -> dict[str, list[tuple[int, str]]]:
     return found
 
 
-def file_number(files: list[tuple[int, str]]) -> Column:
-    """Index of the file that a row was read from."""
+def file_column(path: Column) -> Column:
+    """A file's path as ``files_table`` writes it: without scheme, not URL-coded."""
+    return F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/*", "/")
+
+
+def files_table(spark: SparkSession, files: list[tuple[int, str]], more: str = "", values: dict[int, tuple] | None = None) -> DataFrame:
+    """(_path, _number) of the files, and further columns ``more`` (DDL) with
+    their ``values`` by number: a table to join with the rows of the files."""
     bare = lambda p: "/" + p.split("://")[-1].lstrip("/") if "://" in p else os.path.abspath(p)
-    here = F.regexp_replace(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/*", "/")
-    number = F.lit(None).cast("long")
-    table = F.create_map(*[F.lit(v) for i, p in files for v in (bare(p), i)])
-    return F.coalesce(F.try_element_at(table, here).cast("long"), number)
+    rows = [(bare(p), i, *((values or {}).get(i, ()))) for i, p in files]
+    return spark.createDataFrame(rows, "_path string, _number long" + (f", {more}" if more else ""))
+
+
+#: Bits of ``seq`` below the number of the file: bytes, so also rows, of one file.
+ROWS = 40
+
+
+def sequence(number: Column, start: Column) -> Column:
+    """Input order over files: the number of the file, then where a row stands.
+
+    A row has a byte at least, so the start of its split plus its place in the
+    task rises along a file: splits that share a task fill it together."""
+    return F.shiftleft(number, ROWS) + start + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)

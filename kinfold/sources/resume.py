@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators.extract import parse_resumes
 
-from .csv import ROWS
-from .manifest import file_number, register
+from .manifest import ROWS, file_column, files_table, register
 
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
 _SHOW = re.compile(rb"\[((?:\\.|[^\\\]])*)\]\s*TJ|\(((?:\\.|[^\\)])*)\)\s*(Tj|'|\")|(T\*|T[dDm])(?=\s)|(ET)", re.S)
@@ -66,13 +65,20 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="content").assign(text=found)
 
 
+def texts(files: DataFrame) -> DataFrame:
+    """(source_file, seq, text) from (source_file, seq, content): documents that
+    are broken or no PDF give no row."""
+    found = files.select("source_file", "seq", "content").mapInPandas(_texts, "source_file string, seq long, text string")
+    return found.filter("text is not null")
+
+
 def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
     """Records of all resumes; files without text give none."""
     raw = spark.read.format("binaryFile").load([p for _, p in files])
-    name = F.regexp_extract(F.try_url_decode(F.col("_metadata.file_name")), r"([^/]+)$", 1)
-    raw = raw.select(name.alias("source_file"), F.shiftleft(file_number(files), ROWS).alias("seq"), "content")
-    texts = raw.mapInPandas(_texts, "source_file string, seq long, text string")
-    return parse_resumes(texts.filter("text is not null"))
+    meta = F.col("_metadata")
+    name = F.regexp_extract(F.try_url_decode(meta["file_name"]), r"([^/]+)$", 1)
+    raw = raw.select(name.alias("source_file"), file_column(meta["file_path"]).alias("_path"), "content").join(files_table(spark, files), "_path")
+    return parse_resumes(texts(raw.withColumn("seq", F.shiftleft("_number", ROWS))))
 
 
 register("pdf", read)
