@@ -19,6 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--resume", action="append", default=[])
     parser.add_argument("--config", required=True)
     parser.add_argument("--output", required=True)
+    parser.add_argument("--array", action="store_true", help="lines of one JSON array instead of objects")
     args = parser.parse_args(argv)
     if not args.csv and not args.resume:
         print("no sources given", file=sys.stderr)
@@ -26,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     try:
         config = load_config(spark, args.config)
-        write_json(transform(spark, [*args.csv, *args.resume], config), config, args.output)
+        write_json(transform(spark, [*args.csv, *args.resume], config), config, args.output, args.array)
         return 0
     except KinfoldError as e:
         print(e, file=sys.stderr)

@@ -108,3 +108,4 @@ YEAR = r"(?U)\b((?:19|20)\d{2})\b"
 YEARS_OF = r"(?iU)(\d+)\+?\s*(?:years?|yrs?)\s*(?:of)?\s*(?:experience|exp)?"
 BULLET = r"^[-•·–→▪►]"
 PATH = r"^[a-zA-Z_]\w*(?:\.\w+)*(?:\[\d+\]|\[\]\.[\w.]+)?$"
+OUTPUT_PATH = r"\w+"

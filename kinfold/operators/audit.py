@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,14 @@ def sort(rows: DataFrame, column: str, descending: bool = False, locale: bool =
     return rows.orderBy(c.desc() if descending else c.asc())
 
 
-def latest(rows: DataFrame, by: str = "timestamp", n: int = 3) -> DataFrame:
-    return rows.orderBy(F.desc(by)).limit(n)
+def latest(rows: DataFrame, by: str = "timestamp", n: int = 3, ties: tuple[str, ...] = (), each: tuple[str, ...] = ()) -> DataFrame:
+    """The latest ``n`` rows, of equal times the first in the order of ``ties``;
+    with ``each``, those of every group (only the front of a group is sorted)."""
+    order = [F.desc(by), *ties]
+    if not each:
+        return rows.orderBy(*order).limit(n)
+    w = Window.partitionBy(*each).orderBy(*order)
+    return rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n).drop("_place")
 
 
 def tier(confidence: Column) -> Column:

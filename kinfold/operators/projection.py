@@ -6,6 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,7 @@ def parse_config(data: dict) -> Config:
         f = Field(raw["path"], raw.get("from") or raw["path"], raw.get("type"), raw.get("normalize"), bool(raw.get("required", False)))
         if f.path in {g.path for g in fields}:
             raise ConfigError(f"output path {f.path!r} is given twice")
-        if not f.path or not all(c.isalnum() or c == "_" for c in f.path):
+        if not re.fullmatch(K.OUTPUT_PATH, f.path):
             raise ConfigError(f"output path {f.path!r} must be letters, digits and underscores")
         if f.type is not None and f.type not in TYPES:
             raise ConfigError(f"unknown type {f.type!r} of {f.path!r}")
@@ -69,6 +70,30 @@ def parse_config(data: dict) -> Config:
     )
 
 
+def valid_path(path: Column) -> Column:
+    """Whether a source path follows the grammar of configs."""
+    return path.rlike(K.PATH)
+
+
+def config_errors(text: Column) -> Column:
+    """What is wrong with configs, given as JSON texts in a column; null if nothing is."""
+
+    @F.pandas_udf("string")
+    def check(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                parse_config(json.loads(t or ""))
+            except json.JSONDecodeError:
+                return "no JSON"
+            except ConfigError as e:
+                return str(e)
+            return None
+
+        return texts.map(one)
+
+    return check(text)
+
+
 def load_config(spark: SparkSession, path: str) -> Config:
     """Config from a JSON file that Spark can read."""
     try:

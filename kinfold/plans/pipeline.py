@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.errors import SourceError
@@ -17,6 +17,7 @@ from kinfold.functions.text import title_if_flat
 from kinfold.operators.confidence import with_confidence
 from kinfold.operators.identity import EMAIL, NAME, entities
 from kinfold.operators.merge import ordered, provenance_table, resolve
+from kinfold.operators.prefix import ordered_totals
 from kinfold.operators.projection import Config, asks_provenance, project, to_json
 from kinfold.operators.scratch import settle
 from kinfold.operators.validate import validate
@@ -62,10 +63,26 @@ def profiles(records: DataFrame, match_on: tuple[str, ...] = (EMAIL, NAME), prov
 def transform(spark: SparkSession, paths: Iterable[str], config: Config, match_on: tuple[str, ...] = (EMAIL, NAME)) -> DataFrame:
     """Projected and validated profiles of the sources, in order of first record."""
     found = profiles(normalize(read_sources(spark, paths)), match_on, asks_provenance(config))
-    out = project(found.orderBy("component"), config)
+    out = project(settle(found, "profiles").orderBy("component"), config)  # checks and sink read what is merged once
     return validate(out, config)
 
 
-def write_json(rows: DataFrame, config: Config, path: str) -> None:
-    """One JSON object a line, in parallel files."""
-    to_json(rows, config).write.mode("overwrite").text(path)
+def json_array(rows: DataFrame, order: Column, json: str = "json") -> DataFrame:
+    """Lines ``value`` of one JSON array in a total order: each object with what
+    stands around it, so that the part files put together are the array."""
+    total = F.lit(rows.count())
+    placed = ordered_totals(rows.withColumn("_order", order), [F.col("_order")], {"_place": F.lit(1)})
+    head, tail = F.when(F.col("_place") == 0, "[").otherwise(""), F.when(F.col("_place") == total - 1, "]").otherwise(",")
+    return placed.select("_order", F.concat(head, json, tail).alias("value"))
+
+
+def write_json(rows: DataFrame, config: Config, path: str, array: bool = False) -> None:
+    """One JSON object a line, in parallel files; with ``array``, the lines of
+    one JSON array over the files in order of their names."""
+    lines = to_json(rows, config)
+    if array and rows.isEmpty():
+        lines = rows.sparkSession.createDataFrame([("[]",)], "value string")
+    elif array:
+        numbered = settle(lines.withColumn("_row", F.monotonically_increasing_id()), "lines")
+        lines = json_array(numbered, F.col("_row")).orderBy("_order").select("value")
+    lines.write.mode("overwrite").text(path)

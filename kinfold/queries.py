@@ -6,7 +6,7 @@ look alike.  All queries read their tables whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold import constants as K
@@ -606,6 +606,4 @@ SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PART
 """)
 def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three latest log rows of each user."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("r"))
-    return rows.filter("r <= 3").drop("r")
+    return audit.latest(table(spark, sf_dir, "events"), "ts", 3, ("event_id",), ("user_id",)).select("user_id", "event_id")
