@@ -91,7 +91,9 @@ DEGREE_KEYWORDS = (
 )
 
 # Patterns, in Java's syntax.
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+EMAIL_LOCAL = r"[a-zA-Z0-9._%+\-]"
+EMAIL_HOST = r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+EMAIL = f"{EMAIL_LOCAL}+@{EMAIL_HOST}"
 PHONE = r"(?U)(?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?)?\d{3,4}[\s.-]?\d{3,4}(?:[\s.-]?\d{1,4})?"
 LINKEDIN = r"(?iU)(?:https?://)?(?:www\.)?linkedin\.com/in/[\w\-]+/?"
 GITHUB = r"(?iU)(?:https?://)?(?:www\.)?github\.com/[\w\-]+/?"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.constants import FUZZY_SKILL_RATIO, SKILL_ALIASES
@@ -19,7 +19,8 @@ def alias_map(aliases: dict[str, str]) -> Column:
 def canonicalize_skill(c: Column, aliases: dict[str, str] = SKILL_ALIASES) -> Column:
     """Canonical name of a known alias, else the stripped text; blank gives null."""
     s = clean(c)
-    return F.coalesce(F.try_element_at(alias_map(aliases), F.lower(s)), s)
+    known = F.lower(s).isin(*aliases)  # one look into a hash set; the map is read from its front
+    return F.coalesce(F.when(known, F.try_element_at(alias_map(aliases), F.lower(s))), s)
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -65,3 +66,17 @@ def canonicalize_skills(items: Column, fuzzy: bool = True) -> Column:
     names = F.filter(F.transform(items, lambda x: canonicalize_skill(x)), lambda x: x.isNotNull())
     names = distinct_by(names, F.lower)
     return without_near(names) if fuzzy else names
+
+
+def canonical_rows(rows: DataFrame, by: str, order: Column, name: Column, aliases: dict[str, str] = SKILL_ALIASES) -> DataFrame:
+    """(by, skills): what ``canonicalize_skills`` without near repeats gives for
+    each group's names in an order, from rows instead of arrays.  The aliases, a
+    bounded list, are broadcast; names are combined before they are shuffled and
+    only a group's distinct names are ever gathered."""
+    table = rows.sparkSession.createDataFrame(list(aliases.items()), "_alias string, _canonical string")
+    plain = rows.select(by, order.alias("_o"), clean(name).alias("_name")).filter("_name is not null")
+    named = plain.join(F.broadcast(table), F.lower("_name") == F.col("_alias"), "left")
+    named = named.select(by, "_o", F.coalesce("_canonical", "_name").alias("_name"))
+    one = named.groupBy(by, F.lower("_name").alias("_k")).agg(F.min(F.struct("_o", "_name")).alias("x"))
+    skills = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["_name"])
+    return one.groupBy(by).agg(skills.alias("skills"))

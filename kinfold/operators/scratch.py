@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,25 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are settled inside are deleted at the end, but for those
+    settled by the function that this gives: results that read no others."""
+    before, kept = len(_written), []
+
+    def keep(df: DataFrame, name: str = "table") -> DataFrame:
+        out = settle(df, name)
+        kept.append(_written.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        while len(_written) > before:
+            delete(spark, _written.pop())
+        _written.extend(kept)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this driver has settled, once no DataFrame that
     reads them is needed any more."""

@@ -179,11 +179,6 @@ def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _order_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _raw_skill(F.col("l_partkey")).alias("raw"), "l_partkey")
-    return rows.groupBy("l_orderkey").agg(merge.gathered(F.struct("l_linenumber", "l_partkey"), F.col("raw")).alias("raw"))
-
-
 @query(f"""
 WITH r AS (
   SELECT l_orderkey, (l_linenumber, l_partkey) AS o, {_sql_map(K.SKILL_ALIASES)}[{_sql_list(RAW_SKILLS)}[(l_partkey % {len(RAW_SKILLS)} + 1)::INTEGER]] AS s
@@ -192,8 +187,9 @@ d AS (SELECT l_orderkey, lower(s) AS k, arg_min(s, o) AS s, min(o) AS o FROM r G
 SELECT l_orderkey, count(*)::INTEGER AS n, string_agg(s, '|' ORDER BY o) AS skills FROM d GROUP BY l_orderkey
 """)
 def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _order_skills(spark, sf_dir).select("l_orderkey", skills.canonicalize_skills(F.col("raw"), fuzzy=False).alias("s"))
-    return rows.select("l_orderkey", F.size("s").alias("n"), F.array_join("s", "|").alias("skills"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    out = skills.canonical_rows(rows, "l_orderkey", F.struct("l_linenumber", "l_partkey"), _raw_skill(F.col("l_partkey")))
+    return out.select("l_orderkey", F.size("skills").alias("n"), F.array_join("skills", "|").alias("skills"))
 
 
 @query()
