@@ -1,8 +1,10 @@
 """Records that keep arriving: parse and normalise as they come, merge per batch.
 
 Parsing and normalising are stateless and stream as they are.  Merging is not
-(two entities may turn out to be one), so each micro-batch is appended to the
-table of records and the profiles of that state are written anew.
+(two entities may turn out to be one), so the keys of all records and the entity
+that each record belongs to are kept as tables.  A micro-batch is joined with the
+keys known before; only the entities that it touches are merged anew, and all
+others are neither read as records nor written.
 """
 
 from __future__ import annotations
@@ -13,19 +15,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinfold.plans.pipeline import normalize, profiles
+from kinfold.operators.confidence import with_confidence
+from kinfold.operators.identity import EMAIL, NAME, entities, keys
+from kinfold.operators.merge import ordered, provenance_table, resolve
+from kinfold.operators.scratch import exists, settle
+from kinfold.plans.pipeline import normalize
 
 
-def merge_stream(records: DataFrame, store: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
+class Store:
+    """Tables by batch under one folder; a batch that runs again replaces itself."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def put(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
+        where = f"{self.path}/{name}/batch={batch}"
+        rows.write.mode("overwrite").parquet(where)
+        return rows.sparkSession.read.schema(rows.schema).parquet(where)
+
+    def before(self, like: DataFrame, name: str, batch: int) -> DataFrame:
+        """The rows of earlier batches, in the columns of ``like`` and ``batch``."""
+        spark, where = like.sparkSession, f"{self.path}/{name}"
+        if not exists(spark, where):
+            return like.limit(0).withColumn("batch", F.lit(0))
+        return spark.read.option("basePath", where).parquet(where).filter(F.col("batch") < batch).select(*like.columns, "batch")
+
+
+def merge_batch(batch: DataFrame, number: int, store: Store, match_on: tuple[str, ...] = (EMAIL, NAME)) -> tuple[DataFrame, DataFrame]:
+    """(profiles of the entities that a batch touches, the components of earlier
+    batches in whose place they stand)."""
+    new = store.put(normalize(batch), "records", number)
+    mine = store.put(keys(new, match_on), "keys", number)
+    label = new.select("seq", F.col("seq").alias("component"))
+    labels = store.before(label, "labels", number).groupBy("seq").agg(F.max_by("component", "batch").alias("component"))
+    hit = store.before(mine, "keys", number).join(mine.select("key").distinct(), "key", "left_semi").select("seq").distinct()
+    touched = settle(hit.join(labels, "seq").select("component").distinct(), "touched")
+    members = labels.join(touched, "component", "left_semi").select("seq")
+    old = store.before(new, "records", number).drop("batch").join(members, "seq", "left_semi")
+    found = settle(entities(settle(old.unionByName(new), "affected"), match_on), "entities")
+    store.put(found.select("seq", "component"), "labels", number)
+    return with_confidence(resolve(found), provenance_table(ordered(found))), touched
+
+
+def merge_stream(
+    records: DataFrame,
+    store: str,
+    checkpoint: str,
+    sink: Callable[[DataFrame, int, DataFrame], None],
+    match_on: tuple[str, ...] = (EMAIL, NAME),
+) -> StreamingQuery:
     """Start a query over a stream of parsed records.
 
-    A batch is written under its own number, so a batch that is run again after
-    a failure replaces itself; ``sink(profiles, batch)`` gets all profiles."""
+    ``sink(profiles, batch, replaced)`` gets the profiles that a batch changed or
+    made, and the components of profiles that these take the place of."""
 
     def step(batch: DataFrame, number: int) -> None:
-        normalize(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
-        known = batch.sparkSession.read.option("basePath", store).parquet(store).filter(F.col("batch") <= number)
-        sink(profiles(known.drop("batch")), number)
+        changed, replaced = merge_batch(batch, number, Store(store), match_on)
+        sink(changed, number, replaced)
 
     return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 

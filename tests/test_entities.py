@@ -284,10 +284,34 @@ def test_stream_merges_over_batches(spark, files, tmp_path):
     for i, path in enumerate(files):
         read_sources(spark, [path]).withColumn("seq", F.col("seq") + (i << 50)).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(ddl(PARSED)).parquet(str(source))
-        query = merge_stream(stream, str(store), str(tmp_path / "cp"), lambda p, n: seen.append((n, p.count())))
+        query = merge_stream(stream, str(store), str(tmp_path / "cp"), lambda p, n, old: seen.append((n, p.count(), old.count())))
         query.processAllAvailable()
         query.stop()
-    assert seen == [(0, 2), (1, 2)]
+    assert seen == [(0, 2, 0), (1, 1, 1)], "the second batch touches one entity only"
+
+
+def test_batches_end_where_one_merge_does(spark, tmp_path):
+    """Entities that later records bridge, records without keys, and a batch that runs again."""
+    from kinfold.streaming.incremental import Store, merge_batch
+
+    def batch(rows):
+        made = [(i, "csv", "a.csv", n, e, [], []) for i, n, e in rows]
+        df = spark.createDataFrame(made, "seq long, source_type string, source_file string, full_name string, emails array<string>, phones array<string>, skills array<string>")
+        return df.select(*[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in PARSED.items()])
+
+    parts = [
+        [(1, "Ann", ["a@x.org"]), (2, "Bob", ["b@x.org"]), (3, None, [])], [(4, "Cid", ["a@x.org", "c@x.org"]), (5, "Dan", [])],
+        [(6, "Eve", ["c@x.org", "b@x.org"])], [(7, "dan ", [])],
+    ]
+    store, state = Store(str(tmp_path / "s")), {}
+    for n, rows in enumerate(parts):
+        for _ in range(2):
+            changed, replaced = merge_batch(batch(rows), n, store)
+            gone = {r.component for r in replaced.collect()}
+            fresh = {r.component: r.candidate_id for r in changed.collect()}
+        state = {c: i for c, i in state.items() if c not in gone} | fresh
+    whole = profiles(normalize(batch([r for rows in parts for r in rows]))).collect()
+    assert state == {r.component: r.candidate_id for r in whole} and len(state) == 3
 
 
 def test_windowed_stream(spark, small, tmp_path):
