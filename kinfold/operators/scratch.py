@@ -9,6 +9,7 @@ executor costs a re-read, never a recomputation of an iterative plan.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,11 +37,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_folder
 
 
+def _at_exit(spark: SparkSession) -> None:
+    """A driver that ends leaves no tables, unless its session was stopped before."""
+    if spark.sparkContext._jsc is not None:
+        clear(spark)
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back with its schema."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
