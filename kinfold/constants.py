@@ -111,3 +111,6 @@ YEARS_OF = r"(?iU)(\d+)\+?\s*(?:years?|yrs?)\s*(?:of)?\s*(?:experience|exp)?"
 BULLET = r"^[-•·–→▪►]"
 PATH = r"^[a-zA-Z_]\w*(?:\.\w+)*(?:\[\d+\]|\[\]\.[\w.]+)?$"
 OUTPUT_PATH = r"\w+"
+HEADER_EDGE = r"[:\-–—_=]+"
+YEAR_ONLY = r"^\d{4}$"
+MONTH_YEAR, YEAR_MONTH = r"^(\d{1,2})[/\-](\d{4})$", r"^(\d{4})[/\-](\d{1,2})$"

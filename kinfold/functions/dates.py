@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinfold.constants import ONGOING
+from kinfold.constants import MONTH_YEAR, ONGOING, YEAR_MONTH, YEAR_ONLY
 
 from .text import strip
 
@@ -29,7 +29,7 @@ def _year_month(year: Column, month: Column) -> Column:
 def normalize_date(c: Column) -> Column:
     d = strip(c)
     part = lambda pattern, i: F.regexp_extract(d, pattern, i)
-    mm_first, yy_first = r"^(\d{1,2})[/\-](\d{4})$", r"^(\d{4})[/\-](\d{1,2})$"
+    mm_first, yy_first = MONTH_YEAR, YEAR_MONTH
     full_iso, full_us = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})(?:[T ].*)?$", r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
     month = F.array_position(F.array(*map(F.lit, _NAMES)), F.lower(part(_NAMED, 1))).cast("string")
     year = part(r"(?<!\d)(\d{4})(?!\d)", 1)
@@ -37,7 +37,7 @@ def normalize_date(c: Column) -> Column:
     return (
         F.when(F.coalesce(d, F.lit("")) == "", None)
         .when(is_ongoing(c), None)
-        .when(d.rlike(r"^\d{4}$"), F.concat(d, F.lit("-01")))
+        .when(d.rlike(YEAR_ONLY), F.concat(d, F.lit("-01")))
         .when(d.rlike(mm_first), _year_month(part(mm_first, 2), part(mm_first, 1)))
         .when(d.rlike(yy_first), _year_month(part(yy_first, 1), part(yy_first, 2)))
         .when(d.rlike(full_iso), _year_month(part(full_iso, 1), part(full_iso, 2)))

@@ -80,8 +80,8 @@ def place(rows: Column, name: Column) -> Column:
 
 def section_of(line: Column) -> Column:
     """Name of the section that a header line opens, else null."""
-    c = strip(F.regexp_replace(F.lower(strip(line)), r"[:\-–—_=]+$", ""))
-    c = strip(F.regexp_replace(c, r"^[:\-–—_=]+", ""))
+    c = strip(F.regexp_replace(F.lower(strip(line)), rf"{K.HEADER_EDGE}$", ""))
+    c = strip(F.regexp_replace(c, rf"^{K.HEADER_EDGE}", ""))
     names = {w: name for name, words in K.SECTION_KEYWORDS.items() for w in words}
     return F.try_element_at(alias_map(names), c)
 

@@ -13,7 +13,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold import constants as K
 from kinfold.functions import contact
 from kinfold.operators import audit, confidence, extract, identity, merge, projection, validate
 from kinfold.operators.scratch import scratch_dir, settle
