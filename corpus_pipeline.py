@@ -10,7 +10,9 @@ a group stays, those with an id come first.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,30 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from kinfold.llm.queries import MIX_CAP, MIX_WEIGHTS
-from kinfold.operators.scratch import numbered, rank, settle
+from kinfold.operators.scratch import drop_unread, numbered, rank, settle, watched
 from kinfold.operators.spread import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
 
+
+def stage(f: Stage) -> Stage:
+    """A stage that deletes what the stage before it has left."""
+
+    @functools.wraps(f)
+    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left[:] = drop_unread(spark, _left, docs)
+        with watched() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return tidy
+
+
+@stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the lexicon, learned from the labels, rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -31,6 +51,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.clean(docs, lexicon).select(*COLUMNS)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each text of all that the digest index gets."""
     rows = numbered(docs)
@@ -42,11 +63,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies."""
     return near_dedup.survivors(docs).select(*COLUMNS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target weights: each document as many times
     as the mix takes it (rows that share an id count and are decided one by one)."""
@@ -55,6 +78,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with the digests of the ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,7 +99,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs, written = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), []
+    for name, apply in STAGES[:-1]:
+        with watched() as made:
+            kept = settle(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, written = kept, drop_unread(spark, written + made[-1:], kept)
     return STAGES[-1][1](spark, docs, sf_dir)
