@@ -65,7 +65,7 @@ class PrefixBpe:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._beside: dict[tuple[int, int], bool] = {}
         self._chunks = TwoAges()
-        self._pieces_seen = TwoAges()
+        self._pieces_seen = TwoAges(CACHE_ENTRIES // 4)  # asked for chunks that are not known only
 
     # -- which tokens may stand side by side ---------------------------------
 
