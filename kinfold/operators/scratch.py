@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,25 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         _written.extend(kept)
 
 
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The folders of the tables that are settled inside, once that is done."""
+    before, made = len(_written), []
+    yield made
+    made.extend(_written[before:])
+
+
+def drop_unread(spark: SparkSession, tables: list[str], reader: DataFrame) -> list[str]:
+    """Delete those of the tables that ``reader`` does not read; the others."""
+    files = {urlparse(f).path.rsplit("/", 1)[0] for f in reader.inputFiles()}
+    read = [t for t in tables if urlparse(t).path in files]
+    for t in tables:
+        if t not in read and t in _written:
+            delete(spark, t)
+            _written.remove(t)
+    return read
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this driver has settled, once no DataFrame that
     reads them is needed any more."""
