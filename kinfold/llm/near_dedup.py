@@ -228,7 +228,7 @@ def table_keys(reps: DataFrame) -> DataFrame:
     key = F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key")
     keys = settle(keys.select(key, "rep", F.col("l.place").cast("byte").alias("l"), F.col("r.place").cast("byte").alias("r")), "keys")
     members = settle(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key-sizes")
-    return settle(heavy_join(keys, members, ["key"], "c", keys.count()).drop("c"), "shared-keys")
+    return settle(heavy_join(keys, members, ["key"], "c", keys.count(), once=True).drop("c"), "shared-keys")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -250,7 +250,7 @@ def _beside(rows: DataFrame, hubs: DataFrame, by: str, on: str, each: int = 1) -
     hub = hubs.groupBy(F.col(on).alias(by), F.pmod("rep", F.lit(each)).alias("_class")).agg(best)
     hub = hub.groupBy(by).agg(F.collect_list("h").alias("_hubs"))  # at most ``each``
     hub = settle(hub.join(rows.groupBy(by).agg(F.count("*").alias("_c")), by), "hubs")
-    both = heavy_join(rows, hub, [by], "_c", rows.count()).withColumn("h", F.explode("_hubs")).drop("_hubs", "_c")
+    both = heavy_join(rows, hub, [by], "_c", rows.count(), once=True).withColumn("h", F.explode("_hubs")).drop("_hubs", "_c")
     return both.select(*rows.columns, *[F.col(f"h.{c}").alias(f"{c}2") for c in ("rep", "component", "n", "bits", "most")])
 
 
@@ -293,7 +293,7 @@ def _undecided(placed: DataFrame) -> DataFrame:
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("c"))
     parts = settle(parts.filter("parts > 1").select("key", "c", F.col("m.component").alias("major")), "parts")
-    return heavy_join(placed, parts, ["key"], "c", placed.count())
+    return heavy_join(placed, parts, ["key"], "c", placed.count(), once=True)
 
 
 def classes(
