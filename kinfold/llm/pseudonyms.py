@@ -167,15 +167,17 @@ def _card(key: str, x: Column) -> tuple[Column, Column]:
 
 def _phone(key: str, x: Column) -> tuple[Column, Column]:
     """Numbers of the North American plan stay in it; any other number with a
-    plus sign, another calling code and 8 to 15 digits keeps its first three."""
+    plus sign and 8 to 15 digits keeps its first three digits, or five where only
+    the fifth (0 or 1 at the start of an exchange) tells it from that plan."""
     d = _digits(x)
     n = F.length(d)
     local = F.substring(d, n - 9, F.lit(10))
     plan = F.when(x.startswith("+"), (n == 11) & d.startswith("1")).otherwise(n == 10) & local.rlike("^[2-9][0-9]{2}[2-9]")
     s = feistel(key, "phone", _part(local, 1, 3) - 200, _part(local, 4, 7) - 2_000_000, F.lit(800), F.lit(8_000_000))
     north = F.transform(F.array(s), lambda s: F.concat(F.substring(d, F.lit(1), n - 10), _pad(s["l"] + 200, 3), _pad(s["r"] + 2_000_000, 7)))[0]
-    other = F.concat(F.substring(d, F.lit(1), F.lit(3)), _half_digits(key, "abroad", F.substring(d, F.lit(4), n - 3)))
-    return plan | (x.startswith("+") & ~d.startswith("1") & n.between(8, 15)), _refill(x, F.when(plan, north).otherwise(other))
+    fixed = F.when((n == 11) & d.rlike("^1[2-9]"), 5).otherwise(3)
+    other = F.concat(F.substring(d, F.lit(1), fixed), _half_digits(key, "abroad", F.substring(d, fixed + 1, n - fixed)))
+    return plan | (x.startswith("+") & n.between(8, 15)), _refill(x, F.when(plan, north).otherwise(other))
 
 
 def _ssn(key: str, x: Column) -> tuple[Column, Column]:

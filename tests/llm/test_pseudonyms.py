@@ -25,7 +25,7 @@ def test_edges_of_finds_and_clashing_columns(spark):
         "+44 20 7946 0958_x": "+44 20 7946 0958", "write jürgen@example.com": "jürgen@example.com", "o'brien@example.com!": "o'brien@example.com",
         "x" * 70 + "@example.com": "x" * 70 + "@example.com", "card 4111111111111111-please": "4111111111111111",
         "+44 20 7946 0958 2024": "+44 20 7946 0958", "(415) 555-0123_x": "(415) 555-0123", "a.b@c.example.com. Next": "a.b@c.example.com",
-        "78051120 and 078051120": None, "+1 155 555 0123": None, "é" * 300 + "@example.com": None,
+        "78051120 and 078051120": None, "+1 155 555 0123": "+1 155 555 0123", "+1 (017) 555-7713": "+1 (017) 555-7713", "é" * 300 + "@example.com": None,
     }
     rows = spark.createDataFrame([(i, t, "k") for i, t in enumerate(cases)], "doc_id long, text string, _old string")
     got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(rows, "k").collect()}
@@ -63,3 +63,14 @@ def test_late_days_count_up_without_gaps(spark):
     rows = rows.withColumn("back", pseudonyms._late_date(F.col("n")))
     r = rows.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n"), F.sum((F.col("back") != F.col("d")).cast("int"))).first()
     assert tuple(r) == (88_497, 88_497, 0, 88_496, 0)
+
+
+def test_phones_inside_and_outside_of_the_plan_never_meet(spark):
+    """Numbers with +1 whose exchange starts with 0 or 1 stay outside of the plan."""
+    numbers = [f"+1 23{i % 10} {j}55 {i:04d}" for i in range(150) for j in range(10)]
+    rows = spark.createDataFrame(list(enumerate(numbers)), "doc_id long, x string").repartition(4)
+    valid, new = pseudonyms._phone("k", F.col("x"))
+    got = rows.select("doc_id", valid.alias("valid"), new.alias("new")).toPandas().set_index("doc_id")
+    assert got["valid"].all() and got["new"].nunique() == len(numbers)
+    for i, x in enumerate(numbers):
+        assert (got["new"][i][7] in "01") == (x[7] in "01")
