@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators.spread import spread
 
-from . import bpe, exact_dedup, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, fill_in_middle, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digested(_texts(spark, sf_dir), seed=7)
+
+
+QUERIES = [
+    op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op7_toxicity,
+    op8_pseudonyms, op9_nearest, op10_sharding, op13_fill_in_middle,
+]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op7_toxicity, op8_pseudonyms, op9_nearest, op10_sharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 MIX_SQL = r"""
@@ -154,5 +164,27 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents),
+k AS (
+  SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS two,
+         ('0x' || h[17:24])::BIGINT % 100 AS chance, ('0x' || h[25:32])::BIGINT % 100 AS side FROM d),
+p AS (
+  SELECT doc_id, n, text,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR chance >= 100 THEN 'plain'
+              WHEN side < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": MIX_SQL, "op4_exact_dedup": DEDUP_SQL, "op5_url_filter": URL_SQL}
+    return {"op3_source_mix": MIX_SQL, "op4_exact_dedup": DEDUP_SQL, "op5_url_filter": URL_SQL, "op13_fill_in_middle": FIM_SQL}
