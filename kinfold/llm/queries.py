@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators.spread import spread
 
-from . import bpe, exact_dedup, fill_in_middle, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, fill_in_middle, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter, word_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,13 +87,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return word_table.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digested(_texts(spark, sf_dir), seed=7)
 
 
 QUERIES = [
     op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op7_toxicity,
-    op8_pseudonyms, op9_nearest, op10_sharding, op13_fill_in_middle,
+    op8_pseudonyms, op9_nearest, op10_sharding, op11_word_table, op13_fill_in_middle,
 ]
 
 
