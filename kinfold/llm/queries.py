@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators.spread import spread
 
-from . import bpe, exact_dedup, fill_in_middle, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter, word_table
+from . import bpe, collocations, exact_dedup, fill_in_middle, mixing, near_dedup, permutation_index, pseudonyms, sharding, token_counts, toxicity, url_filter, word_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,13 +92,17 @@ def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spread(_table(spark, sf_dir, "documents").select("lang", "text")), least=30, top=2000, percent=80)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digested(_texts(spark, sf_dir), seed=7)
 
 
 QUERIES = [
     op1_near_dedup, op2_token_counts, op3_source_mix, op4_exact_dedup, op5_url_filter, op6_bpe, op7_toxicity,
-    op8_pseudonyms, op9_nearest, op10_sharding, op11_word_table, op13_fill_in_middle,
+    op8_pseudonyms, op9_nearest, op10_sharding, op11_word_table, op12_collocations, op13_fill_in_middle,
 ]
 
 
@@ -169,6 +173,36 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+PHRASE_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+g AS (
+  SELECT lang, size, unnest([array_to_string(words[i:i + size - 1], ' ') FOR i IN range(1, len(words) - size + 2)]) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) t(size) WHERE len(words) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND f >= 30),
+k AS (
+  SELECT lang, phrase, f, cut, array_to_string(words[1:cut], ' ') AS first, array_to_string(words[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS cut FROM c)),
+s AS (
+  SELECT k.lang, k.phrase, k.f AS a, l.f AS l, r.f AS r, ((2000000::HUGEINT * k.f) // (l.f + r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.first JOIN f r ON r.lang = k.lang AND r.phrase = k.rest
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, part, max(f) AS within
+  FROM (SELECT lang, f, unnest(flatten([[array_to_string(words[j:j + m - 1], ' ') FOR j IN range(1, size - m + 2)] FOR m IN range(2, size)])) AS part FROM c WHERE size > 2)
+  GROUP BY lang, part),
+t AS (
+  SELECT s.* FROM s LEFT JOIN i ON i.lang = s.lang AND i.part = s.phrase
+  WHERE within IS NULL OR 100::HUGEINT * within < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM t JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 FIM_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h,
@@ -192,4 +226,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": MIX_SQL, "op4_exact_dedup": DEDUP_SQL, "op5_url_filter": URL_SQL, "op13_fill_in_middle": FIM_SQL}
+    return {"op3_source_mix": MIX_SQL, "op4_exact_dedup": DEDUP_SQL, "op5_url_filter": URL_SQL, "op12_collocations": PHRASE_SQL, "op13_fill_in_middle": FIM_SQL}
