@@ -10,11 +10,12 @@ executor costs a re-read, never a recomputation of an iterative plan.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from urllib.parse import urlparse
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from kinfold.errors import ScratchError
 
 _own_folder: str | None = None
-_written: list[str] = []
+_written: list[str] = []  # all that this driver has settled and not deleted
+_owned: ContextVar[tuple[list[str], ...]] = ContextVar("owned", default=())  # by the blocks of ``passing`` around
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,7 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise ScratchError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-kinfold-")
@@ -44,22 +46,29 @@ def _at_exit(spark: SparkSession) -> None:
         clear(spark)
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with its schema."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def made(spark: SparkSession, path: str) -> None:
+    """Note a folder that this driver has written; the block around owns it."""
     if not _written:
         atexit.unregister(_at_exit)
         atexit.register(_at_exit, spark)
     _written.append(path)
+    if _owned.get():
+        _owned.get()[-1].append(path)
+
+
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back with its schema."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    made(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, into: str = "_row") -> DataFrame:
+def numbered(df: DataFrame, into: str = "_row", by: Callable[[DataFrame, str], DataFrame] = settle) -> DataFrame:
     """``df``, settled once, with a number of Spark's own for each row: it tells
     rows apart whose ids are null or repeated."""
-    return settle(df.withColumn(into, F.monotonically_increasing_id()), "numbered")
+    return by(df.withColumn(into, F.monotonically_increasing_id()), "numbered")
 
 
 def rank(id: str, row: str = "_row") -> Column:
@@ -78,42 +87,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-@contextmanager
-def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Tables that are settled inside are deleted at the end, but for those
-    settled by the function that this gives: results that read no others."""
-    before, kept = len(_written), []
-
-    def keep(df: DataFrame, name: str = "table") -> DataFrame:
-        out = settle(df, name)
-        kept.append(_written.pop())
+class Passing:
+    """Settles what outlives a block; the block around that one owns it."""
+
+    def __init__(self, outer: tuple[list[str], ...]):
+        self._outer, self.kept = outer, []
+
+    def __call__(self, df: DataFrame, name: str = "table") -> DataFrame:
+        inner = _owned.set(self._outer)
+        try:
+            out = settle(df, name)
+            self.kept.append(_written[-1])
+        finally:
+            _owned.reset(inner)
         return out
 
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Passing]:
+    """A block that owns the tables that are settled inside it: they are deleted at
+    its end, but for those settled by what this gives, which must read no others
+    afterwards.  Blocks nest, and blocks of other threads own their own tables."""
+    outer, mine = _owned.get(), []
+    token = _owned.set((*outer, mine))
     try:
-        yield keep
+        yield Passing(outer)
     finally:
-        while len(_written) > before:
-            delete(spark, _written.pop())
-        _written.extend(kept)
+        _owned.reset(token)
+        drop(spark, mine)
 
 
-@contextmanager
-def watched() -> Iterator[list[str]]:
-    """The folders of the tables that are settled inside, once that is done."""
-    before, made = len(_written), []
-    yield made
-    made.extend(_written[before:])
-
-
-def drop_unread(spark: SparkSession, tables: list[str], reader: DataFrame) -> list[str]:
-    """Delete those of the tables that ``reader`` does not read; the others."""
-    files = {urlparse(f).path.rsplit("/", 1)[0] for f in reader.inputFiles()}
-    read = [t for t in tables if urlparse(t).path in files]
-    for t in tables:
-        if t not in read and t in _written:
-            delete(spark, t)
-            _written.remove(t)
-    return read
+def drop(spark: SparkSession, tables: list[str]) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for path in tables:
+        if path in _written:
+            delete(spark, path)
+            _written.remove(path)
 
 
 def clear(spark: SparkSession) -> None:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import contact
 from kinfold.operators import audit, confidence, extract, identity, merge, projection, validate
-from kinfold.operators.scratch import scratch_dir, settle
+from kinfold.operators.scratch import made, scratch_dir, settle
 from kinfold.operators.prefix import ordered_totals
+from kinfold.operators.spread import spread
 from kinfold.plans.metrics import RunLog
 from kinfold.plans.pipeline import json_array, normalize, profiles
 from kinfold.queries import QUERIES, SQL, query, table  # noqa: F401  the two are what the entry module reads
@@ -119,39 +120,38 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey AS key, 'part-' || c_custkey % 3 AS kind, CASE c_custkey % 3 WHEN 1 THEN NULL ELSE c_name END AS full_name,
-       'C' || c_custkey || '@x.org' AS email, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS headline,
+       'C' || c_custkey || '@x.org' AS email, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ',' || chr(10) || '"' || c_name END AS headline,
        CASE WHEN c_custkey % 3 = 2 AND c_custkey % 2 = 0 THEN 'b' || c_custkey END AS city, CASE WHEN c_custkey % 3 = 2 THEN 'x,"y' END AS company
 FROM customer
 """)
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as CSV files under three headers and read again: aliases
-    of columns, unknown columns, quotes, and two headers of one field, of which
-    the later counts even where it is blank."""
+    """Customers written as CSV files under three headers, a header in each file,
+    and read again: aliases of columns, unknown columns, quotes, line breaks in
+    cells, and two headers of one field, of which the later counts even where it
+    is blank."""
     k = F.col("c_custkey")
     mail = F.concat(F.lit("C"), k.cast("string"), F.lit("@x.org"))
-    rows = table(spark, sf_dir, "customer")
+    rows = spread(table(spark, sf_dir, "customer"))
     where = f"{scratch_dir(spark)}/kinfold/csv-{uuid.uuid4().hex}"
     shapes = [
-        {" Full Name": F.col("c_name"), "E-Mail": mail, "Position": F.col("c_mktsegment"), "Shoe size": F.lit("z")},
+        {" Full Name": F.col("c_name"), "E-Mail": mail, "Position": F.concat("c_mktsegment", F.lit(',\n"'), "c_name"), "Shoe size": F.lit("z")},
         {"email address": mail, "balance": F.col("c_acctbal").cast("string")},
         {
             "candidate_name": F.col("c_name"), "city": F.lit("a"), "email": mail, "Employer": F.lit('x,"y'),
             "CITY ": F.when(k % 2 == 0, F.concat(F.lit("b"), k.cast("string"))).otherwise(""),
         },
     ]
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    paths: list[str] = []
+    files: list[tuple[int, str]] = []
     for i, shape in enumerate(shapes):
-        head = spark.range(1).select(F.lit(0).alias("o"), F.lit(",".join(shape)).alias("value"))
-        body = rows.filter(k % 3 == i).select(F.lit(1).alias("o"), F.array_join(F.array(*map(quoted, shape.values())), ",").alias("value"))
-        one = head.unionByName(body).repartitionByRange(1, "o").sortWithinPartitions("o")
-        one.select("value").write.text(f"{where}/{i}")
-        paths += spark.read.text(f"{where}/{i}").inputFiles()
-    found = csv_source.read(spark, list(enumerate(paths)))
+        cells = rows.filter(k % 3 == i).select(*[c.alias(name) for name, c in shape.items()])
+        cells.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(f"{where}/{i}")
+        made(spark, f"{where}/{i}")
+        files += [(1000 * i + j, f) for j, f in enumerate(spark.read.text(f"{where}/{i}").inputFiles())]
+    found = csv_source.read(spark, files)
     mail = F.get("emails", F.lit(0))
     key = F.regexp_extract(mail, "([0-9]+)@", 1).cast("long")
     return found.select(
-        key.alias("key"), F.concat(F.lit("part-"), F.shiftright("seq", csv_source.ROWS).cast("string")).alias("kind"), "full_name", mail.alias("email"),
+        key.alias("key"), F.concat(F.lit("part-"), F.floor(F.shiftright("seq", csv_source.ROWS) / 1000).cast("string")).alias("kind"), "full_name", mail.alias("email"),
         "headline", "city", F.col("current_company").alias("company"),
     )
 

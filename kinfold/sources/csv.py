@@ -1,16 +1,18 @@
 """CSV records with headers under many names.
 
-One job reads the first line of all files; a second scan reads all files
-together by position, and each row's cells are picked with the header of its
-file, which comes along in a join.  Quoted cells may hold line breaks; where the
-session sets ``kinfold.csv.multiLine`` to false they may not, and large files
-are read in splits.
+Files are read in splits, whether or not quoted cells hold line breaks (see
+``csv_splits``); where the session sets ``kinfold.csv.multiLine`` to false, a quote
+never reaches over a line.  The first scan gives the headers as well, as a table
+with a row a file; each row's cells are picked by the positions that the header of
+its file has, which come along in a join with the splits.
 """
 
 from __future__ import annotations
 
 import csv
+from io import StringIO
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -19,27 +21,16 @@ from kinfold import constants as K
 from kinfold.errors import MalformedCsv, SourceError
 from kinfold.functions.text import clean, split_clean, strip
 from kinfold.operators.extract import provenance
+from kinfold.operators.scratch import settle
 from kinfold.schema import EDUCATION, EXPERIENCE
 
-from .manifest import ROWS, file_column, files_table, register, sequence
+from . import csv_splits
+from .manifest import ROWS, file_column, files_table, register
 
 CONFIDENCE = K.BASE_CONFIDENCE["csv"] * K.METHOD_FACTOR["structured_field"]
 COLUMNS = sorted(set(K.HEADER_ALIASES.values()))
 
 
-def headers(spark: SparkSession, files: list[tuple[int, str]]) -> dict[int, list[str]]:
-    """Cells of the first line of each file, by number; empty files have none."""
-    try:
-        lines = spark.read.text([p for _, p in files])
-        meta, row = F.col("_metadata"), F.monotonically_increasing_id()
-        lines = lines.select("value", file_column(meta["file_path"]).alias("_path"), meta["file_block_start"].alias("at"), row.alias("row"))
-        heads = lines.filter("at = 0").groupBy("_path").agg(F.min_by("value", "row").alias("head"))
-        found = heads.join(files_table(spark, files), "_path").select("_number", "head").collect()  # a row a file
-    except AnalysisException as e:
-        raise SourceError(f"cannot read {[p for _, p in files][:3]}: {e.getCondition() or e}") from e
-    return {r["_number"]: next(csv.reader([r["head"].removeprefix("\ufeff")]), []) for r in found}
-
-
 def mapping(header: list[str], path: str = "") -> dict[str, int]:
     """Canonical column -> position; of several headers the last one counts."""
     found = {K.HEADER_ALIASES[h.strip().lower()]: i for i, h in enumerate(header) if h.strip().lower() in K.HEADER_ALIASES}
@@ -78,27 +69,55 @@ def records(rows: DataFrame) -> DataFrame:
     )
 
 
+def _positions(header: str) -> tuple[list[int | None] | None, int]:
+    """(position of each canonical column, cells of the header); no positions if
+    no name is known."""
+    cells = next(csv.reader(StringIO(header, newline="")), [])
+    try:
+        found = mapping(cells)
+    except MalformedCsv:
+        return None, len(cells)
+    return [found.get(c) for c in COLUMNS], len(cells)
+
+
+def shapes(splits: DataFrame) -> DataFrame:
+    """(path, header_place, where, width): positions of the canonical columns in each file with
+    a header, from the first records of the files."""
+
+    @F.pandas_udf("where array<int>, width int")
+    def read_header(headers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_positions(h) for h in headers], columns=["where", "width"], dtype=object)
+
+    heads = splits.filter("start = 0 and header <> ''")
+    return heads.select("path", "header_place", read_header("header").alias("h")).select("path", "header_place", "h.where", "h.width")
+
+
 def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame | None:
     """Records of all files; None if all are empty."""
-    heads, paths = headers(spark, files), dict(files)
-    found = {i: mapping(h, paths[i]) for i, h in heads.items() if h}
-    if not found:
-        return None
-    width = max(len(heads[i]) for i in found)
     many = spark.conf.get("kinfold.csv.multiLine", "true").lower() != "false"
-    names = ", ".join(f"c{k} string" for k in range(width))
-    raw = spark.read.schema(names).options(header=True, enforceSchema=True, multiLine=many, escape='"', mode="PERMISSIVE", inferSchema=False)
-    raw = raw.csv([paths[i] for i in found])
-    meta = F.col("_metadata")
-    name = F.regexp_extract(F.try_url_decode(meta["file_name"]), r"([^/]+)$", 1)
-    raw = raw.select(
-        F.array(*[F.col(f"c{k}") for k in range(width)]).alias("_cells"), name.alias("source_file"), file_column(meta["file_path"]).alias("_path"),
-        sequence(F.lit(0), meta["file_block_start"]).alias("_at"),
-    )
-    where = {i: ([m.get(c) for c in COLUMNS],) for i, m in found.items()}
-    rows = raw.join(files_table(spark, [(i, paths[i]) for i in found], "_where array<int>", where), "_path")
-    cells = [F.get("_cells", F.get("_where", F.lit(j))).alias(c) for j, c in enumerate(COLUMNS)]
-    return records(rows.select("source_file", (F.shiftleft("_number", ROWS) + F.col("_at")).alias("seq"), *cells))
+    try:
+        rows = csv_splits.lines(spark, [p for _, p in files])
+        maps = csv_splits.split_maps(rows, many)
+    except AnalysisException as e:
+        raise SourceError(f"cannot read {[p for _, p in files][:3]}: {e.getCondition() or e}") from e
+    found = settle(shapes(maps), "shapes")
+    odd = found.filter("where is null").select("path").orderBy("path").limit(3).collect()
+    if odd:
+        raise MalformedCsv(f"{[r.path for r in odd]} have no recognizable columns")
+    width = found.agg(F.max("width")).first()[0]
+    if width is None:
+        return None
+    numbers = files_table(spark, files).withColumnRenamed("_path", "_bare")
+    splits = csv_splits.split_states(maps).drop("header_place").join(found.drop("width"), "path").join(numbers, file_column(F.col("path")) == F.col("_bare"))
+    splits = settle(splits.select("path", "start", "inside", "crossed", "where", "header_place", "_number"), "splits")
+    cut = csv_splits.records(rows, splits, many).join(F.broadcast(splits.select("path", "start", "where", "header_place", "_number")), ["path", "start"])
+    cut = cut.filter(~((F.col("start") == 0) & (F.col("place") <= F.col("header_place"))) & (F.trim("value", F.lit(" \t\r\n")) != ""))
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    parsed = F.from_csv(csv_splits.without_return(F.col("value")), schema, {"multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(max(width, 20480))})
+    cells = cut.withColumn("_parsed", parsed).withColumn("_cells", F.array(*[F.col(f"_parsed.c{k}") for k in range(width)]))
+    named = [F.get("_cells", F.get("where", F.lit(j))).alias(c) for j, c in enumerate(COLUMNS)]
+    name = F.regexp_extract(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1)
+    return records(cells.select(name.alias("source_file"), (F.shiftleft("_number", ROWS) + F.col("start") + F.col("place")).alias("seq"), *named))
 
 
 register("csv", read)

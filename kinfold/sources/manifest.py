@@ -72,11 +72,3 @@ def files_table(spark: SparkSession, files: list[tuple[int, str]], more: str = "
 
 #: Bits of ``seq`` below the number of the file: bytes, so also rows, of one file.
 ROWS = 40
-
-
-def sequence(number: Column, start: Column) -> Column:
-    """Input order over files: the number of the file, then where a row stands.
-
-    A row has a byte at least, so the start of its split plus its place in the
-    task rises along a file: splits that share a task fill it together."""
-    return F.shiftleft(number, ROWS) + start + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
