@@ -2,19 +2,19 @@
 
 Words repeat, so a corpus has far fewer distinct words than words:
 
-1. Spark splits the texts into words.  Each block of rows (about ``BLOCK_WORDS``
-   words) becomes a list of its distinct words and, for each row, the *places* of
-   its words in that list.  Blocks are settled once, so words are split once.
-2. The blocks' lists are made distinct over the corpus, and each distinct word is
-   encoded once.  Its ids meet the pieces of the vocabulary in a join by id, which
-   gives what the word decodes to.
-3. The lists get ids and pieces by a join on the word, and go back to their blocks,
-   where every row looks them up by position.
-
-A text is the bytes of its words one after the other, and so is what its ids decode
-to.  What is shuffled are the lists (a row for each block and distinct word) and
-two bytes or four for each word; a frequent word is one row of each block, so no
-key is hot.  Nothing but the vocabulary, which has a fixed size, is broadcast.
+1. Spark splits the texts into words.  Each block of rows (an Arrow batch, of
+   about ``BLOCK_WORDS`` words at most) becomes a list of its distinct words and
+   the *places* of all its words in that list.  Blocks are settled once, so words
+   are split once.
+2. The lists are dealt by a hash of the word, in packed slices, so all rows of a
+   word meet: the table of distinct words, each of which is encoded once.
+3. The ids go back to the blocks, where they are joined by position.
+4. Decoding joins each id of a text with its piece.  The vocabulary has a fixed
+   size, so that join is by broadcast: an array with the piece of id i at place i.
+
+What is shuffled are the lists (each word of a block once) and a packed number for
+each word; a frequent word is there once a block, so no key is hot.  Nothing but
+the vocabulary is broadcast.
 
 Defined results: a null text counts as empty and has no ids; special strings in a
 text are one id each; repeated rows are encoded each; ids that the vocabulary
@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,10 +43,11 @@ from kinfold.operators.names import fresh
 from kinfold.operators.scratch import numbered, settle
 
 from .bpe import vocabulary
+from .packing import pack, pack_strings, unpack, unpack_strings
 from .prefix_bpe import PrefixBpe, ranks_of_json
 
 #: Words of a block; one text is never parted, so a block may have more.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 23
 
 
 class Vocabulary:
@@ -69,6 +72,11 @@ def loaded(content: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(content, pattern)
 
 
+@lru_cache(maxsize=2)
+def pieces_of(content: bytes, pattern: str) -> pa.Array:
+    return _by_id(loaded(content, pattern))
+
+
 @F.pandas_udf(T.StringType())
 def _shown(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: bytes(b).decode("utf-8", "replace"))
@@ -88,61 +96,107 @@ def words_of(text: Column, pattern: str, special: Sequence[str]) -> Column:
     return F.when(text.rlike(either), cut).otherwise(plain(text))
 
 
-def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about BLOCK_WORDS words."""
+def _slices(lengths: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``size`` words."""
     start, upto = 0, np.cumsum(lengths)
     while start < len(lengths):
         before = int(upto[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(upto, before + BLOCK_WORDS, "right")))
+        end = max(start + 1, int(np.searchsorted(upto, before + size, "right")))
         yield start, end
         start = end
 
 
-def _binary(lengths: np.ndarray, data: np.ndarray | bytes) -> pa.Array:
-    """Byte strings of given lengths, cut from one buffer."""
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("i8")
-    made = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    return made.cast(pa.binary())
+def _ranked(places: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Places and words by falling number of uses, places counting from 1 on; what
+    is used once comes last, in order, and is marked by 0."""
+    uses = np.bincount(places, minlength=len(words))
+    order = np.argsort(-uses, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(1, len(words) + 1)
+    rank[uses == 1] = 0
+    return rank[places], words.take(pa.array(order))
+
+
+def _unranked(marked: np.ndarray, words: int) -> np.ndarray:
+    """Places from 0 on again."""
+    once = marked == 0
+    return np.where(once, words - once.sum() + np.cumsum(once), marked) - 1
+
+
+_SLICE = pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("at", pa.binary()), ("words", pa.binary())])
+_SLICES = "array<struct<bucket: int, n: int, at: binary, words: binary>>"
+_OWN = {"block": "long", "row": "int", "n": "int", "places": "binary", "slices": _SLICES}
 
 
-def _width(distinct: int) -> str:
-    return "<u2" if distinct <= 1 << 16 else "<u4"
+def _slices_of(words: pa.Array, buckets: int) -> list[dict]:
+    """Distinct words by the hash that deals them, with their places."""
+    if not len(words):
+        return []
+    way = np.array([zlib.crc32(w) % buckets for w in words.to_pylist()], np.int64)
+    order = np.argsort(way, kind="stable")
+    starts = np.flatnonzero(np.diff(way[order], prepend=-1))
+    out = []
+    for start, end in zip(starts, [*starts[1:], len(order)], strict=True):
+        at = order[start:end]
+        out.append({"bucket": int(way[at[0]]), "n": len(at), "at": pack(np.diff(at, prepend=0)), "words": pack_strings(words.take(pa.array(at)))})
+    return out
 
 
 def blocks(docs: DataFrame, words: Column, columns: Sequence[str]) -> DataFrame:
-    """``columns`` as c0, c1, ... with the block of each row, the places of its
-    words and, in a block's first row, the distinct words (else none); settled."""
+    """``columns`` as c0, c1, ... with the block of each row, its place there and
+    its number of words; a block's first row has the places of all words and the
+    slices of the distinct ones; settled."""
+    spark = docs.sparkSession
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], words.alias("words"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    most, buckets = BLOCK_WORDS, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start, end in _slices(batch.column("words").value_lengths().to_numpy(zero_copy_only=False)):
-                part = batch.slice(start, end - start)
+            for start, end in _slices(batch.column("words").value_lengths().to_numpy(zero_copy_only=False), most):
+                part, n = batch.slice(start, end - start), end - start
                 lists = part.column("words")
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
                 coded = lists.flatten().dictionary_encode()
-                width = np.dtype(_width(len(coded.dictionary)))
-                at = coded.indices.to_numpy(zero_copy_only=False).astype(width)
-                first = pa.ListArray.from_arrays(pa.array([0] + [len(coded.dictionary)] * (end - start), pa.int32()), coded.dictionary)
-                made = [pa.array(np.full(end - start, number)), _binary(lengths * width.itemsize, at), first]
+                places, distinct = _ranked(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()))
+                first = [_slices_of(distinct, buckets)]
+                made = [np.full(n, number), np.arange(n, dtype="i4"), lists.value_lengths(), [pack(places)] + [None] * (n - 1), first + [None] * (n - 1)]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(_SLICE)]
                 number += 1
-                yield pa.RecordBatch.from_arrays(part.columns[:-1] + made, names=schema.names)
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array(m, k) for m, k in zip(made, kinds, strict=True)], names=names)
 
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in _OWN.items())).fields])
+    names = schema.names
     return settle(rows.mapInArrow(cut, schema), "word-blocks")
 
 
-def word_ids(words: DataFrame, content, pattern: str) -> DataFrame:
-    """(word, ids) of each distinct word, encoded once."""
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values of lists, which stand one after the other, of the lists ``at``."""
+    size = lengths[at]
+    return flat[np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = loaded(content.value, pattern)
-        for batch in batches:
-            yield pd.Series([own.ids(w) for w in batch], dtype=object)
 
-    return words.select("word").distinct().withColumn("ids", ids("word"))
+_IDS = pa.schema([("of", pa.int64()), ("n", pa.int32()), ("n_ids", pa.int64()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
+
+
+def word_ids(slices: DataFrame, content, pattern: str) -> DataFrame:
+    """The slices with ids in place of words: each bucket's distinct words are
+    encoded once."""
+
+    def encoded(bucket: pa.Table) -> pa.Table:
+        own, rows = loaded(content.value, pattern), bucket.to_pylist()
+        words = pa.concat_arrays([unpack_strings(r["words"]) for r in rows]).dictionary_encode()
+        ids = [own.ids(w.decode()) for w in words.dictionary.to_pylist()]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        flat, starts = np.fromiter(chain.from_iterable(ids), np.int64), np.cumsum(lengths) - lengths
+        places, done, out = words.indices.to_numpy(zero_copy_only=False), 0, []
+        for r in rows:
+            at = places[done : done + r["n"]]
+            own_ids = _gathered(flat, starts, lengths, at)
+            out.append({"of": r["block"], "n": r["n"], "n_ids": len(own_ids), "at": r["at"], "lengths": pack(lengths[at]), "ids": pack(own_ids)})
+            done += r["n"]
+        return pa.Table.from_pylist(out, _IDS)
+
+    return slices.groupBy("bucket").applyInArrow(encoded, "of long, n int, n_ids long, at binary, lengths binary, ids binary")
 
 
 def pieces(spark: SparkSession, own: Vocabulary) -> DataFrame:
@@ -159,37 +213,48 @@ def joined_pieces(rows: DataFrame, table: DataFrame, key: str, ids: str, into: s
     return rows.join(spelled, key, "left").select(key, ids, F.coalesce(joined, F.lit(bytearray())).alias(into))
 
 
-def _spelled(spelled: pa.Array, at: np.ndarray) -> memoryview:
-    """The bytes of the words at given places, one after the other."""
-    taken = spelled.take(pa.array(at))
+def _by_id(own: Vocabulary) -> pa.Array:
+    """The piece of id i at place i; ids between that have none are empty."""
+    spelled = own.pieces()
+    return pa.array([spelled.get(i, b"") for i in range(max(spelled, default=-1) + 1)], pa.binary())
+
+
+def _spelled(by_id: pa.Array, ids: np.ndarray) -> memoryview:
+    """The pieces of ids, one after the other."""
+    taken = by_id.take(pa.array(ids))
     if not len(taken):
         return memoryview(b"")
     return memoryview(taken.buffers()[2])[: np.frombuffer(taken.buffers()[1], "<i4")[len(taken)]]
 
 
-def _assembler(digests: bool, made: Sequence[str]):
-    """(rows of a block, its words' ids and pieces) -> rows with the ids of the
-    whole texts, or with digests of ids and of decoded bytes."""
+def _assembler(content, pattern: str, digests: bool, made: Sequence[str]):
+    """(rows of a block, ids of its words) -> rows with the ids of the whole
+    texts, or with digests of the ids and of what they decode to."""
+
+    def texts(rows: pa.Table, slices: list[dict]) -> Iterator[np.ndarray]:
+        """Ids of each row: those of its words, joined by position."""
+        counts = rows.column("n").to_numpy()
+        places = _unranked(unpack(rows.column("places")[0].as_py(), int(counts.sum())).astype(np.int64), sum(s["n"] for s in slices))
+        at = [np.cumsum(unpack(s["at"], s["n"]).astype(np.int64)) for s in slices]
+        size = [unpack(s["lengths"], s["n"]).astype(np.int64) for s in slices]
+        flat = np.concatenate([np.zeros(0, np.uint32), *[unpack(s["ids"], s["n_ids"]) for s in slices]])
+        lengths, starts = np.zeros((2, sum(s["n"] for s in slices)), np.int64)
+        if slices:
+            order, n = np.concatenate(at), np.concatenate(size)
+            lengths[order], starts[order] = n, np.cumsum(n) - n
+        for end, n in zip(np.cumsum(counts), counts, strict=True):
+            yield _gathered(flat, starts, lengths, places[end - n : end])
 
     def assemble(rows: pa.Table, listed: pa.Table) -> pa.Table:
-        listed, width = listed.sort_by("place").combine_chunks(), _width(len(listed))
-        ids, spelled = (listed.column(c).combine_chunks() for c in ("ids", "decoded"))
-        if isinstance(ids, pa.ChunkedArray):  # without any chunk
-            ids, spelled = pa.array([], ids.type), pa.array([], spelled.type)
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        lengths = ids.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
-        starts, out = np.cumsum(lengths) - lengths, []
-        for packed in rows.column("places"):
-            at = np.frombuffer(packed.as_py(), width)
-            counts = lengths[at]
-            own = flat[np.repeat(starts[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-            if digests:
-                out.append((len(own), hashlib.sha256(own).hexdigest(), hashlib.sha256(_spelled(spelled, at)).hexdigest()))
-            else:
-                out.append((own.astype("i4"),))
-        kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())]
+        rows, slices = rows.sort_by("row"), listed.to_pylist()
+        if digests:
+            by_id = pieces_of(content.value, pattern)
+            out = [(len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(_spelled(by_id, ids)).hexdigest()) for ids in texts(rows, slices)]
+            kinds = [pa.int64(), pa.string(), pa.string()]
+        else:
+            out, kinds = [(ids.astype("i4"),) for ids in texts(rows, slices)], [pa.list_(pa.int32())]
         values = [pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)]
-        kept = [c for c in rows.column_names if c not in ("block", "places")]
+        kept = [c for c in rows.column_names if c not in _OWN]
         return pa.Table.from_arrays([*[rows.column(c) for c in kept], *values], names=[*kept, *made])
 
     return assemble
@@ -197,17 +262,14 @@ def _assembler(digests: bool, made: Sequence[str]):
 
 def _through_words(docs: DataFrame, path: str, pattern: str, text: str, columns: Sequence[str], made: Sequence[str], digests: bool) -> DataFrame:
     content = vocabulary(docs.sparkSession, path)
-    own = Vocabulary(content.value, pattern)
-    cut = blocks(docs, words_of(F.col(f"`{text}`"), pattern, list(own.special)), columns)
-    listed = cut.select("block", F.posexplode("words").alias("place", "word"))
-    table = word_ids(listed, content, pattern)
-    table = joined_pieces(table, pieces(docs.sparkSession, own), "word", "ids", "decoded")
-    found = listed.join(table, "word").select(F.col("block").alias("of"), "place", "ids", "decoded")
+    special = list(Vocabulary(content.value, pattern).special)
+    cut = blocks(docs, words_of(F.col(f"`{text}`"), pattern, special), columns)
+    found = word_ids(cut.select("block", F.inline("slices")), content, pattern)
     kinds = [T.LongType(), T.StringType(), T.StringType()] if digests else [T.ArrayType(T.IntegerType())]
-    rows = cut.drop("words")
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name not in ("block", "places")], *map(T.StructField, made, kinds)])
+    rows = cut.drop("slices")
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name not in _OWN], *map(T.StructField, made, kinds)])
     sides = rows.groupBy("block").cogroup(found.groupBy("of"))
-    return sides.applyInArrow(_assembler(digests, made), schema).toDF(*columns, *made)
+    return sides.applyInArrow(_assembler(content, pattern, digests, made), schema).toDF(*columns, *made)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -4,11 +4,14 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinfold.llm import queries, word_table
+from kinfold.llm import packing, queries, word_table
 
 PATH = P.path("byte_bpe_50k.json")
 TEXTS = [
@@ -72,11 +75,15 @@ def test_small_blocks_and_empty_tables(spark, tokenizer, monkeypatch):
     assert word_table.round_trip(named, PATH, P.PATTERN, keep=["n_tokens"]).columns == ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-def test_each_distinct_word_is_encoded_once(spark):
-    words = spark.createDataFrame([(w,) for w in ["a", " b", "a", " b", "c"] * 50], "word string")
-    from kinfold.llm.bpe import vocabulary
-
-    assert word_table.word_ids(words, vocabulary(spark, PATH), P.PATTERN).count() == 3
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 70000), max_size=50), st.lists(st.sampled_from("abcdefg"), max_size=30))
+def test_packed_places(numbers, words):
+    assert packing.unpack(packing.pack(np.array(numbers, np.int64)), len(numbers)).tolist() == numbers
+    assert packing.unpack_strings(packing.pack_strings(pa.array(words, pa.binary()).slice(1))).to_pylist() == [w.encode() for w in words[1:]]
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    ranked, distinct = word_table._ranked(coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()))
+    back = word_table._unranked(packing.unpack(packing.pack(ranked), len(words)).astype(np.int64), len(distinct))
+    assert [distinct[int(i)].as_py().decode() for i in back] == words
 
 
 def test_query_equals_library_on_all_documents(spark, small, tokenizer):
