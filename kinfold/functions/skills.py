@@ -23,22 +23,48 @@ def canonicalize_skill(c: Column, aliases: dict[str, str] = SKILL_ALIASES) -> Co
     return F.coalesce(F.when(known, F.try_element_at(alias_map(aliases), F.lower(s))), s)
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table at a time."""
-    letters = lambda s: F.filter(F.split(s, ""), lambda x: x != "")
-    bs = letters(b)
-    start = F.transform(F.concat(F.array(F.lit("")), bs), lambda _: F.lit(0))
+#: Letters of a name that fit the bits of a long, one of which stays free.
+WORD = 62
+
 
-    def row(above: Column, ca: Column) -> Column:
-        # cells: values of the new row so far, the last one first
-        def cell(cells: Column, j: Column) -> Column:
-            hit = F.element_at(bs, j) == ca
-            best = F.when(hit, F.element_at(above, j) + 1).otherwise(F.greatest(F.element_at(above, j + 1), F.element_at(cells, -1)))
-            return F.concat(cells, F.array(best))
+def _letters(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda x: x != "")
 
-        return F.aggregate(F.transform(bs, lambda _, i: i + 1), F.array(F.lit(0)), cell)
 
-    return F.element_at(F.aggregate(letters(a), start, row), -1)
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, bit-parallel: a cell of the table
+    is a bit of a word, and a letter of ``b`` moves the words of ``a`` on by one
+    addition each.  The bits of a word that are 0 at the end are the length."""
+    n = F.length(a)
+    shift = lambda x, by: F.call_function("shiftleft", x, by)
+    one = F.lit(1).cast("long")
+
+    def word(start: Column) -> Column:
+        """(letters of a from start on, at most WORD)"""
+        return _letters(F.substring(a, start, F.lit(WORD)))
+
+    def step(state: Column, letter: Column) -> Column:
+        # words from the first on, with the carry of the addition in ``carry``
+        def moved(done: Column, w: Column) -> Column:
+            hits = F.aggregate(F.transform(w["letters"], lambda x, i: F.when(x == letter, shift(one, i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+
+            def added(h: Column) -> Column:
+                s, u = w["bits"], w["bits"].bitwiseAND(h)
+                total = s + u + done["carry"]
+                bits = total.bitwiseOR(s - u).bitwiseAND(w["full"])
+                carry = F.when(total > w["full"], one).otherwise(F.lit(0).cast("long"))
+                return F.struct(F.array_append(done["words"], F.struct(w["letters"].alias("letters"), w["full"].alias("full"), bits.alias("bits"))).alias("words"), carry.alias("carry"))
+
+            return F.element_at(F.transform(F.array(hits), added), 1)  # hits are found once
+
+        empty = F.struct(F.filter(state, lambda w: F.lit(False)).alias("words"), F.lit(0).cast("long").alias("carry"))
+        return F.aggregate(state, empty, moved, lambda done: done["words"])
+
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(WORD))
+    full = lambda start: shift(one, F.least(F.lit(WORD), n - start + 1)) - 1
+    state = F.transform(starts, lambda start: F.struct(word(start).alias("letters"), full(start).alias("full"), full(start).alias("bits")))
+    end = F.aggregate(_letters(b), state, step)
+    return (n - F.aggregate(end, F.lit(0), lambda count, w: count + F.bit_count(w["bits"]))).cast("int")
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold import constants as K
 from kinfold.functions import contact, dates, ids, places, skills, text
-from kinfold.operators import audit, components, confidence, extract, identity, merge, projection, validate
+from kinfold.operators import audit, components, confidence, extract, identity, merge, near_names, projection, validate
 from kinfold.operators.scratch import settle
 from kinfold.operators.spread import spread
 from kinfold.plans.pipeline import normalize, profiles
@@ -192,14 +192,39 @@ def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", F.size("skills").alias("n"), F.array_join("skills", "|").alias("skills"))
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (
+  SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS o, p_name || ' ' || p_brand AS name
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+u AS (SELECT g, min(o) AS o, arg_min(name, o) AS name FROM r GROUP BY g, lower(name)),
+s AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY o) AS k, name, lower(name) AS low FROM u),
+p AS (SELECT DISTINCT a.low AS x, b.low AS y FROM s a JOIN s b ON a.g = b.g AND a.k < b.k WHERE levenshtein(a.low, b.low) <= 0.1 * (length(a.low) + length(b.low))),
+m AS (
+  SELECT x, y, (1::HUGEINT << length(x)) - 1 AS every,
+         [list_sum([CASE WHEN x[i] = y[j] THEN 1::HUGEINT << (i - 1) ELSE 0 END FOR i IN range(1, length(x) + 1)])::HUGEINT FOR j IN range(1, length(y) + 1)] AS hits FROM p),
+c AS (SELECT x, y, length(x) - bit_count(list_reduce(hits, lambda s, h: ((s + (s & h)) | (s - (s & h))) & every, every)) AS common FROM m),
+e AS (
+  SELECT b.g, b.k, list(a.k) AS earlier FROM s a JOIN s b ON a.g = b.g AND a.k < b.k JOIN c ON c.x = a.low AND c.y = b.low
+  WHERE 200.0 * common / (length(a.low) + length(b.low)) >= 90 GROUP BY b.g, b.k),
+w AS (
+  SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[] AS kept FROM s
+  UNION ALL
+  SELECT w.g, w.k + 1, CASE WHEN coalesce(list_has_any(w.kept, e.earlier), false) THEN w.kept ELSE list_append(w.kept, w.k + 1) END
+  FROM w JOIN s ON s.g = w.g AND s.k = w.k + 1 LEFT JOIN e ON e.g = w.g AND e.k = w.k + 1),
+d AS (SELECT g, arg_max(kept, k) AS kept FROM w GROUP BY g),
+n AS (SELECT g, count(*) AS n_raw FROM r GROUP BY g)
+SELECT d.g AS l_orderkey, any_value(n_raw)::INTEGER AS n_raw, string_agg(name, '|' ORDER BY s.k) AS kept
+FROM d JOIN n ON n.g = d.g JOIN s ON s.g = d.g AND list_contains(d.kept, s.k) GROUP BY d.g
+""")
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names of an order without those nearly equal to an earlier one."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    rows = rows.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.groupBy("l_orderkey").agg(merge.gathered(F.struct("l_linenumber", "l_partkey"), F.concat_ws(" ", "p_name", "p_brand")).alias("raw"))
-    kept = skills.without_near(text.distinct_by(F.col("raw"), F.lower))
-    return rows.select("l_orderkey", F.size("raw").alias("n_raw"), F.array_join(kept, "|").alias("kept"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("o"), "l_partkey")
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    rows = rows.join(named, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "o", "name")
+    kept = near_names.without_near_rows(rows, "l_orderkey", "o", "name")
+    kept = kept.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("o", "name"))).alias("x"))
+    raw = rows.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n_raw"))
+    return raw.join(kept, "l_orderkey").select("l_orderkey", "n_raw", F.array_join("x.name", "|").alias("kept"))
 
 
 @query("""

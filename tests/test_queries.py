@@ -34,7 +34,7 @@ def test_sql_gives_the_same(spark, small, views, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["entity_profiles", "fuzzy_dedup", "resume_parse"])
+@pytest.mark.parametrize("name", ["entity_profiles", "resume_parse"])
 def test_others_run(spark, small, name):
     assert entry.queries()[name](spark, small).count() > 0
 

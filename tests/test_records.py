@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 from kinfold import constants as K
 from kinfold.errors import ScratchError
 from kinfold.functions import skills
-from kinfold.operators import extract, scratch
+from kinfold.operators import extract, near_names, scratch
 from kinfold.operators.names import fresh
 from kinfold.operators.prefix import ordered_totals
 from kinfold.operators.projection import parse_config
@@ -192,6 +192,52 @@ def test_fuzzy_dedup_equals_plain_python(spark, small):
     assert not got and dropped > 50
 
 
+def test_common_length_is_that_of_the_table(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc日🙂") for _ in range(n))
+    pairs = [(word(rng.choice([0, 1, 5, 30])), word(rng.choice([0, 2, 9, 40]))) for _ in range(60)]
+    pairs += [(word(n), word(m)) for n, m in ((61, 62), (62, 62), (63, 20), (124, 130), (125, 7), (200, 190))]
+    pairs += [("a" * 62, "a" * 62), ("a" * 130, "a" * 130), ("ab" * 70, "ba" * 70)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
+    got = {r.i: r.n for r in rows.select("i", skills.common_length(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {i: round(near(a, b) * (len(a) + len(b)) / 200) for i, (a, b) in enumerate(pairs)}
+
+
+def plain_kept(rows, ratio):
+    """Greedy in order, group by group."""
+    groups = defaultdict(list)
+    for g, o, name in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[0] is None, r[0], r[1], r[2].encode())):
+        if not any(near(name.lower(), k.lower()) >= ratio or name.lower() == k.lower() for _, k in groups[g]):
+            groups[g].append((o, name))
+    return {(g, o, n) for g, kept in groups.items() for o, n in kept}
+
+
+@pytest.mark.parametrize("ratio", [90.0, 75.0, 55.0])
+def test_near_rows_equal_greedy_order(spark, ratio):
+    rng = random.Random(int(ratio))
+    roots = ["react native", "kubernetes", "machine learning", "sql", "go", "日本語処理", "c", "", "aaaaaaaaaa"]
+
+    def name():
+        s = list(rng.choice(roots))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.choice([0, 1])] = rng.choice(["", "a", "x", " ", "S"])
+        return "".join(s)
+
+    rows = [(rng.choice([0, 0, 0, 1, 2, None]), i, rng.choice([None, *[name()] * 9])) for i in range(400)]
+    rows += [(7, i, "n" + "b" * i) for i in range(40)] + [(8, 0, "same name here"), (8, 0, "same name hers")]  # a chain, and a tie
+    got = near_names.without_near_rows(spark.createDataFrame(rows, "g long, o long, name string"), "g", "o", "name", ratio)
+    assert {tuple(r) for r in got.collect()} == plain_kept(rows, ratio) and got.count() == got.distinct().count()
+
+
+def test_pairs_are_compared_once(spark):
+    """Names in many groups are still a row each, and only near ones are linked."""
+    names = spark.createDataFrame([(i, f"name number {i:03d} of many") for i in range(60)] + [(60, "else"), (61, "")], "id long, name string")
+    pairs = {tuple(r) for r in near_names.near_pairs(names).collect()}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if near(f"{a:03d}", f"{b:03d}") and near(f"name number {a:03d} of many", f"name number {b:03d} of many") >= 90}
+    assert pairs == want and near_names.near_pairs(names.limit(0)).count() == 0
+
+
 def test_canonical_rows_equal_arrays(spark):
     rng = random.Random(4)
     pool = ["JS", "javascript ", "py", "Go", "go", "GOLANG", " ", None, "Rust", "rust", "x y"]
