@@ -40,9 +40,11 @@ from pyspark.sql import types as T
 from kinfold.operators.salting import heavy_join
 from kinfold.operators.scratch import settle
 
+from .packing import pack, pack_strings, unpack, unpack_strings
+
 DEPTH = 4
 #: Bytes of text of a block, and suffixes of a bucket on average.
-BLOCK_BYTES, ROOM = 8 << 20, 1 << 20
+BLOCK_BYTES, ROOM = 4 << 20, 1 << 20
 #: Leading pairs and triples with more than one in HOT rows are routed by one more word.
 HOT = 200_000
 #: Phrases that are ranked in one task.
@@ -120,22 +122,15 @@ def _block(data: bytes) -> dict:
     longer = _suffixes(codes, piece)
     more = longer[1] > 0
     keys, counts = _distinct([k[more] for k in longer], len(coded.dictionary))
-    width = _width(len(coded.dictionary))
+    uses = np.bincount(codes, minlength=len(coded.dictionary) + 1)[1:]
     return {
-        "n": len(counts), "n_words": len(codes), "words": coded.dictionary, "word_counts": np.bincount(codes, minlength=len(coded.dictionary) + 1)[1:],
-        "keys": np.concatenate([k.astype(width) for k in keys]).tobytes(), "counts": counts.astype("<u4").tobytes(),
+        "n": len(counts), "n_words": len(codes), "words": pack_strings(coded.dictionary), "word_counts": pack(uses),
+        "keys": pack(np.concatenate(keys)), "counts": pack(counts),
     }
 
 
-def _width(words: int) -> str:
-    return "<u2" if words < 1 << 16 else "<u4"
-
-
-_BLOCK = pa.schema([
-    ("lang", pa.string()), ("n", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.binary())), ("word_counts", pa.list_(pa.int64())),
-    ("keys", pa.binary()), ("counts", pa.binary()),
-])
-_BLOCK_TYPE = "lang string, n long, n_words long, words array<binary>, word_counts array<long>, keys binary, counts binary"
+_BLOCK = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("n_words", pa.int64()), *[(c, pa.binary()) for c in ("words", "word_counts", "keys", "counts")]])
+_BLOCK_TYPE = "lang string, n long, n_words long, words binary, word_counts binary, keys binary, counts binary"
 
 
 def suffix_blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -158,7 +153,7 @@ def suffix_blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
                 data = _bytes_of(batch.column("raw").filter(pc.equal(langs.indices, code)))
                 waiting.setdefault(lang, []).append(data)
                 size[lang] = size.get(lang, 0) + len(data)
-            for lang in [x for x in waiting if size[x] >= full] if sum(size.values()) < 8 * full else list(waiting):
+            for lang in [x for x in waiting if size[x] >= full] if sum(size.values()) < 4 * full else list(waiting):
                 yield from flushed(lang, waiting.pop(lang))
                 size.pop(lang)
         for lang, rest in waiting.items():
@@ -179,7 +174,7 @@ def _mix(h: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def _unpacked(lang: str, words: pa.Array, keys: bytes, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Columns of codes, and for two, three and four leading words their hashes."""
-    columns = list(np.frombuffer(keys, _width(len(words))).astype(np.uint32).reshape(DEPTH, n))
+    columns = list(unpack(keys, DEPTH * n).reshape(DEPTH, n))
     own = np.array([0, *(zlib.crc32(w) + 1 for w in words.to_pylist())], np.uint64)
     h, hashes = np.full(n, zlib.crc32(lang.encode()), np.uint64), []
     for d, k in enumerate(columns):
@@ -190,10 +185,11 @@ def _unpacked(lang: str, words: pa.Array, keys: bytes, n: int) -> tuple[list[np.
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(lang, words, keys, counts, n) of each block with suffixes."""
     for batch in batches:
-        for i in range(len(batch)):
-            words = batch.column("words").slice(i, 1).flatten()
-            yield batch.column("lang")[i].as_py(), words, batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py()
+        for lang, words, keys, counts, n in zip(*(batch.column(c) for c in ("lang", "words", "keys", "counts", "n")), strict=True):
+            if n.as_py():
+                yield lang.as_py(), unpack_strings(words.as_py()), keys.as_py(), counts.as_py(), n.as_py()
 
 
 def hot_prefixes(blocks: DataFrame, total: int) -> np.ndarray:
@@ -207,33 +203,32 @@ def hot_prefixes(blocks: DataFrame, total: int) -> np.ndarray:
     share = max(total // HOT, ROOM // 4) / max(total, 1)
 
     def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, keys, counts in _rows_of(batches):
-            n = len(counts) // 4
+        for lang, words, keys, _, n in _rows_of(batches):
             columns, hashes = _unpacked(lang, words, keys, n)
             for h, last in zip(hashes[:2], columns[1:], strict=False):
                 known, rows = np.unique(h[last > 0], return_counts=True)
                 often = rows > share * n / 2
                 yield pa.RecordBatch.from_arrays([pa.array(known[often].view("i8")), pa.array(rows[often])], names=["prefix", "n"])
 
-    named = blocks.select("lang", "words", "keys", "counts").mapInArrow(locally, "prefix long, n long")
+    named = blocks.select("lang", "words", "keys", "counts", "n").mapInArrow(locally, "prefix long, n long")
     hot = named.groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") > share * total / 2).select("prefix")
     return np.sort(np.array([r.prefix for r in hot.collect()], "i8").view("u8"))
 
 
-_ROUTED = pa.schema([("bucket", pa.int64()), ("depth", pa.int32()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("keys", pa.binary()), ("counts", pa.binary())])
+_ROUTED = pa.schema([("bucket", pa.int64()), ("depth", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("words", "keys", "counts")]])
 
 
 def route(blocks: DataFrame, total: int) -> DataFrame:
-    """(bucket, depth, lang, words, keys, counts): parts of blocks whose suffixes
+    """(bucket, depth, lang, n, words, keys, counts): parts of blocks whose suffixes
     share a bucket, and by how many words they got there."""
     spark = blocks.sparkSession
     hot = spark.sparkContext.broadcast(hot_prefixes(blocks, total))
     buckets = np.uint64(max(spark.sparkContext.defaultParallelism, -(-total // ROOM)))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, keys, counts in _rows_of(batches):
-            weights = np.frombuffer(counts, "<u4")
-            columns, (two, three, four) = _unpacked(lang, words, keys, len(weights))
+        for lang, words, keys, counts, n in _rows_of(batches):
+            weights = unpack(counts, n)
+            columns, (two, three, four) = _unpacked(lang, words, keys, n)
             deep = np.isin(two, hot.value)
             deeper = deep & np.isin(three, hot.value)
             depth = 2 + deep.astype(np.uint64) + deeper
@@ -241,7 +236,7 @@ def route(blocks: DataFrame, total: int) -> DataFrame:
             way = bucket * np.uint64(8) + depth
             order = np.argsort(way, kind="stable")
             ways, starts = np.unique(way[order], return_index=True)
-            for w, start, end in zip(ways, starts, np.append(starts[1:], len(order))[: len(starts)], strict=True):
+            for w, start, end in zip(ways, starts, [*starts[1:], n], strict=True):
                 at = order[start:end]
                 own = [k[at] for k in columns]
                 used = np.zeros(len(words) + 1, bool)
@@ -249,12 +244,12 @@ def route(blocks: DataFrame, total: int) -> DataFrame:
                     used[k] = True
                 used[0] = False
                 code = np.cumsum(used).astype(np.uint32) * used
-                width = _width(int(used.sum()))
-                packed = np.concatenate([code[k].astype(width) for k in own]).tobytes()
-                row = [int(w) >> 3, int(w) & 7, lang, words.filter(pa.array(used[1:])), packed, weights[at].tobytes()]
-                yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(_ROUTED.names, row, strict=True)}, schema=_ROUTED)
+                spelled, codes = words.filter(pa.array(used[1:])), np.concatenate([code[k] for k in own])
+                row = [int(w) >> 3, int(w) & 7, lang, len(at), pack_strings(spelled), pack(codes), pack(weights[at])]
+                yield pa.RecordBatch.from_pydict({c: [v] for c, v in zip(_ROUTED.names, row, strict=True)}, schema=_ROUTED)
 
-    return blocks.select("lang", "words", "keys", "counts").mapInArrow(routed, "bucket long, depth int, lang string, words array<binary>, keys binary, counts binary")
+    rows = blocks.select("lang", "words", "keys", "counts", "n")
+    return rows.mapInArrow(routed, "bucket long, depth int, lang string, n long, words binary, keys binary, counts binary")
 
 
 # -- the sort -------------------------------------------------------------------------
@@ -319,21 +314,21 @@ _PHRASE = pa.schema([("lang", pa.string()), ("len", pa.int32()), ("phrase", pa.b
 def _counted(rows: pa.Table, least: int, whole: int) -> Iterator[pa.Table]:
     """Phrases of one bucket's suffixes that were routed by ``whole`` words."""
     langs = rows.column("lang").combine_chunks().dictionary_encode()
-    lists = rows.column("words").combine_chunks()
-    known = lists.flatten().dictionary_encode()
-    code, used = known.indices.to_numpy(zero_copy_only=False).astype(np.uint32) + 1, lists.value_lengths().to_numpy(zero_copy_only=False)
-    weights = [np.frombuffer(c.as_py(), "<u4") for c in rows.column("counts")]
-    columns: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
-    for packed, n, words, before in zip(rows.column("keys"), map(len, weights), used, np.cumsum(used) - used, strict=True):
-        own = np.concatenate([[0], code[before : before + words]]).astype(np.uint32)
-        for d, k in enumerate(np.frombuffer(packed.as_py(), _width(int(words))).reshape(DEPTH, n)):
-            columns[d].append(own[k])
-    keys = [np.concatenate(c) for c in columns]
-    lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), [len(w) for w in weights]).astype(np.int64)
+    lists = [unpack_strings(w.as_py()) for w in rows.column("words")]
+    known = pa.concat_arrays(lists).dictionary_encode()
+    code, sizes = known.indices.to_numpy(zero_copy_only=False).astype(np.uint32) + 1, rows.column("n").to_pylist()
+    weights = np.concatenate([unpack(c.as_py(), n) for c, n in zip(rows.column("counts"), sizes, strict=True)]).astype(np.int64)
+    columns, done = [], 0
+    for packed, n, words in zip(rows.column("keys"), sizes, map(len, lists), strict=True):
+        own = np.concatenate([np.zeros(1, np.uint32), code[done : done + words]])
+        columns.append(own[unpack(packed.as_py(), DEPTH * n).reshape(DEPTH, n)])
+        done += words
+    keys = list(np.concatenate(columns, axis=1))
+    lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), sizes).astype(np.int64)
     top = len(known.dictionary) + 1
     lead = (lang * top + keys[0]) * top + keys[1]
     spell = lambda k: known.dictionary.take(pa.array(k - 1))
-    for d, at, count in equal_partitions(keys, lead, np.concatenate(weights).astype(np.int64), least, whole):
+    for d, at, count in equal_partitions(keys, lead, weights, least, whole):
         phrase = pc.binary_join_element_wise(*[spell(keys[i][at]) for i in range(d)], b" ")
         yield pa.table([langs.dictionary.take(pa.array(lang[at])), pa.array(np.full(len(at), d, np.int32)), phrase, pa.array(count)], schema=_PHRASE)
 
@@ -355,13 +350,26 @@ def count_phrases(routed: DataFrame, least: int) -> DataFrame:
     return whole.filter(F.col("f") >= least)
 
 
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of all words."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, counts in zip(*(batch.column(c) for c in ("lang", "words", "word_counts")), strict=True):
+                own = unpack_strings(words.as_py())
+                columns = [pa.array([lang.as_py()] * len(own), pa.string()), own, pa.array(unpack(counts.as_py(), len(own)).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
+
+    rows = blocks.select("lang", "words", "word_counts").mapInArrow(listed, "lang string, word binary, n long")
+    return rows.groupBy("lang", F.col("word").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
+
+
 def phrase_counts(docs: DataFrame, least: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, len, phrase, f) of all phrases of up to four words with at least
     ``least`` occurrences, settled; (lang, n): words of each language)."""
     blocks = suffix_blocks(docs, text, lang)
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    words = blocks.select("lang", F.explode(F.arrays_zip("words", "word_counts")).alias("w"))
-    words = words.groupBy("lang", F.col("w.words").cast("string").alias("phrase")).agg(F.sum("w.word_counts").alias("f")).filter(F.col("f") >= least)
+    words = word_counts(blocks).filter(F.col("f") >= least)
     longer = count_phrases(route(blocks, total), least)
     counts = words.select("lang", F.lit(1).alias("len"), "phrase", "f").unionByName(longer)
     return settle(counts, "phrases"), blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
