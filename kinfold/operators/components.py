@@ -3,7 +3,10 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Each
 round is two aggregations and two joins on the edge table; neighbourhoods are
 never gathered into one row or task, and labels never reach the driver (only a
-count and a checksum of the edges do, to see that a round changed nothing).
+count and a checksum of the edges do, to see that a round changed nothing).  A node
+with very many links is joined with its smallest neighbour by broadcast, so its
+links stay where they are; the smallest neighbours are combined before they are
+shuffled.
 """
 
 from __future__ import annotations
@@ -11,25 +14,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .salting import heavy_join
 from .scratch import settle
 
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_low(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with ``low``, the smallest neighbour of u."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("_links"))
+    return heavy_join(edges, low, ["u"], "_links", total).drop("_links")
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low"))
-    low = low.select("u", F.least("u", "low").alias("low"))
-    return (
-        both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
-    )
+    out = _with_low(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
+    return out.filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Edges come with u > v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
-    moved = edges.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
+    near = _with_low(edges, total)
+    moved = near.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return moved.unionByName(near.select("u", F.col("low").alias("v"))).distinct()
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -52,7 +59,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = settle(edges, "edges")
     seen = _print_of(edges)
     for _ in range(MAX_ROUNDS):
-        edges = settle(_small_star(_large_star(edges)), "edges")
+        edges = settle(_large_star(edges, seen[0]), "edges")
+        edges = settle(_small_star(edges, seen[0]), "edges")
         now = _print_of(edges)
         if now == seen:
             return (

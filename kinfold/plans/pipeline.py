@@ -15,6 +15,7 @@ from kinfold.functions.places import normalize_city, normalize_country, normaliz
 from kinfold.functions.skills import canonicalize_skills
 from kinfold.functions.text import title_if_flat
 from kinfold.operators.confidence import with_confidence
+from kinfold.operators.fuzzy_lookup import with_country
 from kinfold.operators.identity import EMAIL, NAME, entities
 from kinfold.operators.merge import ordered, provenance_table, resolve
 from kinfold.operators.prefix import ordered_totals
@@ -36,8 +37,11 @@ def read_sources(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, made) if made else spark.createDataFrame([], ddl(PARSED))
 
 
-def normalize(records: DataFrame) -> DataFrame:
-    """All fields normalised; provenance stays, also of values that became null."""
+def normalize(records: DataFrame, misspelt: bool = False) -> DataFrame:
+    """All fields normalised; provenance stays, also of values that became null.
+    With ``misspelt``, countries that are no known name are looked up by their
+    nearest one, which needs a join."""
+    records = with_country(records) if misspelt else records
     return records.withColumns(
         {
             "emails": normalize_emails(F.col("emails")),
@@ -62,7 +66,7 @@ def profiles(records: DataFrame, match_on: tuple[str, ...] = (EMAIL, NAME), prov
 
 def transform(spark: SparkSession, paths: Iterable[str], config: Config, match_on: tuple[str, ...] = (EMAIL, NAME)) -> DataFrame:
     """Projected and validated profiles of the sources, in order of first record."""
-    found = profiles(normalize(read_sources(spark, paths)), match_on, asks_provenance(config))
+    found = profiles(normalize(read_sources(spark, paths), misspelt=True), match_on, asks_provenance(config))
     out = project(settle(found, "profiles").orderBy("component"), config)  # checks and sink read what is merged once
     return validate(out, config)
 

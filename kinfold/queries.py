@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold import constants as K
 from kinfold.functions import contact, dates, ids, places, skills, text
-from kinfold.operators import audit, components, confidence, extract, identity, merge, near_names, projection, validate
+from kinfold.operators import audit, components, confidence, extract, fuzzy_lookup, identity, merge, near_names, projection, validate
 from kinfold.operators.scratch import settle
 from kinfold.operators.spread import spread
 from kinfold.plans.pipeline import normalize, profiles
@@ -263,6 +263,34 @@ def country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("n_nationkey", places.normalize_country(raw).alias("country")).agg(F.count("c_custkey").alias("customers"))
 
 
+_MISSPELT = """CASE c_custkey % 7 WHEN 0 THEN lower(n_name) WHEN 1 THEN lower(substr(n_name, 1, 1) || substr(n_name, 3))
+  WHEN 2 THEN lower(substr(n_name, 1, 2) || substr(n_name, 4, 1) || substr(n_name, 3, 1) || substr(n_name, 5)) WHEN 3 THEN lower(n_name) || 'x'
+  WHEN 4 THEN lower(substr(n_name, 1, 1) || 'q' || substr(n_name, 3, 2) || 'z' || substr(n_name, 6)) WHEN 5 THEN 'planet ' || c_custkey ELSE NULL END"""
+
+
+@query(f"""
+WITH v AS (SELECT c_custkey, {_MISSPELT} AS value FROM customer JOIN nation ON n_nationkey = c_nationkey),
+s AS (SELECT DISTINCT value AS s, 1 AS side FROM v WHERE length(value) >= 4 UNION ALL SELECT lower(n_name), 2 FROM nation),
+one AS (SELECT DISTINCT s, side, s[1:i - 1] || s[i + 1:] AS rest FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM s) WHERE length(s) >= 4),
+two AS (SELECT DISTINCT s, side, rest[1:i - 1] || rest[i + 1:] AS rest FROM (SELECT *, unnest(range(1, length(rest) + 1)) AS i FROM one) WHERE length(s) >= 8),
+a AS (SELECT s, side, 0 AS deleted, s AS rest FROM s UNION ALL SELECT s, side, 1, rest FROM one UNION ALL SELECT s, side, 2, rest FROM two),
+m AS (
+  SELECT x.s AS value, y.s AS name, min((greatest(x.deleted, y.deleted), levenshtein(x.s, y.s))) AS rank
+  FROM a x JOIN a y ON x.rest = y.rest AND x.side = 1 AND y.side = 2 GROUP BY ALL),
+c AS (SELECT m.value, m.name, m.rank, min(m.rank) OVER (PARTITION BY m.value) AS best FROM m),
+d AS (SELECT value, min(name) AS name FROM c WHERE rank = best GROUP BY value HAVING count(*) = 1)
+SELECT v.c_custkey, d.name AS nation FROM v LEFT JOIN d ON d.value = v.value
+""")
+def misspelt_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of the customers from misspelt names: letters left out, swapped,
+    added, replaced, and names that are none."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nations), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = rows.select("c_custkey", F.expr(_MISSPELT).alias("value"))
+    names = nations.select(F.lower("n_name").alias("name"), F.lower("n_name").alias("code"))
+    return fuzzy_lookup.resolved(rows, names, "value", "nation").select("c_custkey", "nation")
+
+
 @query("""
 SELECT c_custkey, sha256(lower(c_name) || '||' || 'a' || c_custkey || '@x.org|' || lower(n_name) || '@example.com' || '||' || CASE WHEN c_custkey % 2 = 0 THEN '+1' || c_custkey ELSE '' END) AS id
 FROM customer JOIN nation ON n_nationkey = c_nationkey
