@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from kinfold.operators.components import connected_components
 from kinfold.operators.names import fresh
 from kinfold.operators.salting import heavy_join
-from kinfold.operators.scratch import numbered, rank, settle
+from kinfold.operators.scratch import numbered, passing, rank, settle
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -374,8 +374,10 @@ def survivors(docs: DataFrame, id: str = "doc_id", text: str = "text", **params)
     are told apart by row, so null ids (which come last) and repeated ids are
     compared like all others."""
     (row,) = fresh(docs.columns, "row")
-    rows = numbered(docs, row)
-    found = classes(rows, row, text, **params).select(F.col("doc_id").alias("node"), "component_id")
-    keyed = rows.select(F.col(row).alias("node"), rank(id, row).alias("key"))
-    kept = found.join(keyed, "node").groupBy("component_id").agg(F.min("key").alias("key"))
-    return rows.join(kept.select(F.col("key.row").alias(row)), row, "left_semi").select(*docs.columns)
+    with passing(docs.sparkSession) as keep:
+        rows = numbered(docs, row, keep)
+        found = classes(rows, row, text, **params).select(F.col("doc_id").alias("node"), "component_id")
+        keyed = rows.select(F.col(row).alias("node"), rank(id, row).alias("key"))
+        first = found.join(keyed, "node").groupBy("component_id").agg(F.min("key").alias("key"))
+        kept = keep(first.select(F.col("key.row").alias(row)), "survivors")
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
