@@ -114,3 +114,20 @@ OUTPUT_PATH = r"\w+"
 HEADER_EDGE = r"[:\-–—_=]+"
 YEAR_ONLY = r"^\d{4}$"
 MONTH_YEAR, YEAR_MONTH = r"^(\d{1,2})[/\-](\d{4})$", r"^(\d{4})[/\-](\d{1,2})$"
+
+# Country calling codes in use, by their first digits.
+CALLING_CODE = r"(?:1|7|2[07]|2[1-69]\d|3[0-469]|3[578]\d|4[013-9]|42\d|5[1-8]|5[09]\d|6[0-6]|6[7-9]\d|8[1246]|8[0578]\d|9[0-58]|9[679]\d)"
+
+# Least and most digits behind a calling code.
+NATIONAL_LENGTHS = {
+    "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9),
+    "40": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "51": (8, 9), "52": (10, 10),
+    "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (10, 10), "61": (9, 9), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9),
+    "81": (9, 10), "82": (8, 11), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "93": (9, 9), "94": (9, 9),
+    "98": (10, 10), "212": (9, 9), "213": (8, 9), "216": (8, 8), "234": (8, 10), "254": (9, 10), "351": (9, 9), "353": (7, 9), "354": (7, 7),
+    "357": (8, 8), "359": (8, 9), "370": (8, 8), "371": (8, 8), "372": (7, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9),
+    "421": (9, 9), "852": (8, 8), "886": (8, 9), "966": (9, 9), "971": (8, 9), "972": (8, 9),
+}
+
+# North American area codes that are kept free, and numbers with exchange codes that are none.
+NORTH_AMERICAN = {"free": ("200", "300", "400", "37", "555", "96"), "no_exchange": r"^1[0-9]{3}(?:[01]|[2-9]11)"}

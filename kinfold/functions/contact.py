@@ -1,8 +1,7 @@
 """E-mail and phone normalisation as Column expressions.
 
-Phones follow rules, not a number database: North American numbers need area
-and exchange codes that start with 2 to 9; others need a country code that is
-in use and 8 to 15 digits.
+Phones are numbers of a plan (see ``number_plan``): calling codes in use with the
+lengths of their countries, and the area and exchange codes that North America has.
 """
 
 from __future__ import annotations
@@ -10,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .number_plan import Plan, assigned
 from .text import strip
 
 _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 _ATOM = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
 ADDRESS = rf"^(?=.{{1,254}}$)(?=[^@]{{1,64}}@){_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\.)+[a-z][a-z0-9-]*[a-z0-9]$"
 
-#: Country calling codes in use, by their first digits.
-CALLING_CODE = r"(?:1|7|2[07]|2[1-69]\d|3[0-469]|3[578]\d|4[013-9]|42\d|5[1-8]|5[09]\d|6[0-6]|6[7-9]\d|8[1246]|8[0578]\d|9[0-58]|9[679]\d)"
-
-
 def normalize_email(c: Column) -> Column:
     """Stripped and lower-cased; null if it is no address."""
     e = F.lower(strip(c))
@@ -30,20 +26,16 @@ def normalize_emails(items: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, normalize_email), lambda x: x.isNotNull()))
 
 
-def normalize_phone(c: Column) -> Column:
+def normalize_phone(c: Column, plan: Plan | None = None) -> Column:
     """E.164, numbers without a country code being North American; else null."""
     raw = strip(c)
     raw = F.regexp_replace(raw, r"(?i)\s*(?:ext\.?|x|#)\s*\d{1,7}$", "")
     digits = F.regexp_replace(raw, r"[^0-9]", "")
     plausible = raw.rlike(r"^[+(\d][\d\s().\-/]*$") & raw.rlike(r"\d")
-    north = r"^1?([2-9]\d{2}[2-9]\d{6})$"
-    local = F.when(digits.rlike(north), F.concat(F.lit("+1"), F.regexp_extract(digits, north, 1)))
-    abroad = F.when(
-        digits.rlike(rf"^{CALLING_CODE}\d{{4,12}}$") & F.length(digits).between(8, 15) & ~digits.rlike("^1"), F.concat(F.lit("+"), digits)
-    )
-    given = F.when(digits.startswith("1"), F.when(F.length(digits) == 11, local)).otherwise(abroad)
-    return F.when(plausible, F.when(raw.startswith("+"), given).otherwise(local))
+    local = F.when(digits.rlike(r"^1?\d{10}$"), F.concat(F.lit("1"), F.right(digits, F.lit(10))))
+    whole = F.when(raw.startswith("+"), digits).otherwise(local)
+    return F.when(plausible & assigned(whole, plan), F.concat(F.lit("+"), whole))
 
 
-def normalize_phones(items: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(items, normalize_phone), lambda x: x.isNotNull()))
+def normalize_phones(items: Column, plan: Plan | None = None) -> Column:
+    return F.array_distinct(F.filter(F.transform(items, lambda x: normalize_phone(x, plan)), lambda x: x.isNotNull()))

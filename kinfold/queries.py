@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold import constants as K
-from kinfold.functions import contact, dates, ids, places, skills, text
+from kinfold.functions import contact, dates, ids, number_plan, places, skills, text
 from kinfold.operators import audit, components, confidence, extract, fuzzy_lookup, identity, merge, near_names, projection, validate
 from kinfold.operators.scratch import settle
 from kinfold.operators.spread import spread
@@ -85,7 +85,7 @@ def normalize_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (
   SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_RE2_PHONE}')), '[^0-9+]', '', 'g') AS p FROM documents)
 SELECT DISTINCT doc_id, '+1' || regexp_extract(p, '^(?:\+?1)?([2-9]\d{{2}}[2-9]\d{{6}})$', 1) AS phone
-FROM p WHERE regexp_matches(p, '^(\+1|1)?[2-9]\d{{2}}[2-9]\d{{6}}$')
+FROM p WHERE regexp_matches(p, '^(\+1|1)?[2-9]\d{{2}}[2-9]\d{{6}}$') AND NOT regexp_matches(right(p, 10), '^(.9|.11|200|300|400|37|555|96|....11)')
 """)
 def normalize_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All valid numbers of the documents in E.164; the SQL knows those of the
@@ -93,6 +93,33 @@ def normalize_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(contact.normalize_phones(extract.phones(F.col("text")))).alias("phone"))
 
 
+_DIAL = """CASE c_custkey % 4 WHEN 0 THEN '1' || lpad((c_custkey * 7919 % 1000)::VARCHAR, 3, '2') || lpad((c_custkey * 104729 % 10000000)::VARCHAR, 7, '5')
+  WHEN 1 THEN (c_custkey * 31 % 990 + 1)::VARCHAR || repeat('4', (c_custkey % 13)::INTEGER) WHEN 2 THEN '44' || lpad(c_custkey::VARCHAR, (6 + c_custkey % 6)::INTEGER, '2')
+  ELSE '1' || lpad((c_custkey * 7919 % 800 + 200)::VARCHAR, 3, '2') || '5551234' END"""
+
+
+@query(f"""
+WITH plan(prefix, least, most) AS (VALUES {", ".join(f"('{p}', {a}, {b})" for p, a, b in number_plan.default_plan().entries)}),
+d AS (SELECT c_custkey, {_DIAL} AS digits FROM customer),
+m AS (
+  SELECT c_custkey, digits, max((length(prefix), least, most)) AS hit
+  FROM d JOIN plan ON starts_with(digits, prefix) GROUP BY c_custkey, digits)
+SELECT d.c_custkey, '+' || m.digits AS phone FROM d LEFT JOIN m ON m.c_custkey = d.c_custkey
+  AND length(m.digits) BETWEEN hit[2] AND hit[3] AND NOT regexp_matches(m.digits, '{K.NORTH_AMERICAN["no_exchange"]}')
+""")
+def planned_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of many calling and area codes against the plan: the SQL looks up
+    the longest prefix in a table of the same entries."""
+    k = F.col("c_custkey")
+    text, pad = lambda c: c.cast("string"), lambda c, n, by: F.lpad(c.cast("string"), n, by)
+    local = F.concat(F.lit("1"), pad(k * 7919 % 1000, 3, "2"), pad(k * 104729 % 10000000, 7, "5"))
+    abroad = F.concat(text(k * 31 % 990 + 1), F.expr("repeat('4', cast(c_custkey % 13 as int))"))
+    britain = F.concat(F.lit("44"), F.expr("lpad(cast(c_custkey as string), cast(6 + c_custkey % 6 as int), '2')"))
+    area = F.concat(F.lit("1"), pad(k * 7919 % 800 + 200, 3, "2"), F.lit("5551234"))
+    digits = F.element_at(F.array(local, abroad, britain, area), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", contact.normalize_phone(F.concat(F.lit("+"), digits)).alias("phone"))
+
+
 @query(rf"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM l),

@@ -2,15 +2,53 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold import constants as K
 from kinfold.constants import COUNTRY_ALIASES
+from kinfold.functions import contact, number_plan
 from kinfold.functions.places import iso_names
 from kinfold.operators import components, fuzzy_lookup
 
 
+def planned(digits, plan):
+    """The longest prefix in the list decides."""
+    hits = [(len(p), a, b) for p, a, b in plan.entries if digits.startswith(p)]
+    if not hits or re.match(K.NORTH_AMERICAN["no_exchange"], digits):
+        return False
+    _, least, most = max(hits)
+    return least <= len(digits) <= most
+
+
+def test_plan_is_its_longest_prefix(spark):
+    rng = random.Random(6)
+    own = number_plan.default_plan().with_entries([("1415", 1, 0), ("14155", 11, 11), ("4420", 12, 12), ("999", 5, 6), ("88888888", 9, 9)])
+    for plan in (number_plan.default_plan(), own):
+        starts = ["", *[p for p, *_ in plan.entries], "14155", "1415", "1999", "1370", "1911", "14152", "8888888"]
+        numbers = {rng.choice(starts) + "".join(rng.choice("0123456789") for _ in range(rng.randrange(14))) for _ in range(4000)}
+        numbers |= {f"1{area}5551234" for area in range(100, 1000)} | {f"1415{e}1234" for e in range(1000)}
+        got = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", number_plan.assigned(F.col("n"), plan).alias("ok"))
+        assert {r.n: r.ok for r in got.collect()} == {n: planned(n, plan) for n in numbers}
+    assert number_plan.Plan(()).pattern() == "^(?!)$"
+
+
+def test_unassigned_area_codes_fail(spark, tmp_path):
+    (tmp_path / "plan.csv").write_text("prefix,least,most\n1212,0,-1\n49151,14,15\n")
+    plan = number_plan.read_plan(str(tmp_path / "plan.csv"))
+    cases = {
+        "(415) 555-1234": ("+14155551234", "+14155551234"), "212-555-0000": ("+12125550000", None), "(195) 555-1234": (None, None), "911-555-1234": (None, None),
+        "(296) 555-1234": (None, None), "370 555 1234": (None, None), "555-555-1234": (None, None), "415-911-1234": (None, None), "800-555-1234": ("+18005551234", "+18005551234"),
+        "+49 151 12345678": ("+4915112345678", None), "+44 20 7946 0958": ("+442079460958",) * 2, "+83 1 2345 678": (None, None), "+91 98765 4321": (None, None),
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", contact.normalize_phone(F.col("t")).alias("a"), contact.normalize_phone(F.col("t"), plan).alias("b"))
+    assert {r.t: (r.a, r.b) for r in rows.collect()} == cases
+    with pytest.raises(ValueError):
+        plan.with_entries([("+1", 1, 2)])
+
+
 def left(s, most):
     """Rests of a string by the fewest deletions, from all subsets of letters."""
     out = {s: 0}
