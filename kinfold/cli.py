@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from kinfold.errors import KinfoldError
 from kinfold.operators.projection import load_config
-from kinfold.plans.pipeline import transform, write_json
+from kinfold.plans.pipeline import export
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     try:
         config = load_config(spark, args.config)
-        write_json(transform(spark, [*args.csv, *args.resume], config), config, args.output, args.array)
+        export(spark, [*args.csv, *args.resume], config, args.output, args.array)
         return 0
     except KinfoldError as e:
         print(e, file=sys.stderr)

@@ -51,9 +51,15 @@ def score_columns(marks: DataFrame, by: str = "component") -> DataFrame:
     return scores.groupBy(by).agg(*[F.max(F.when(F.col("_field") == n, F.col("score"))).alias(f"_score_{n}") for n in active()])
 
 
-def with_confidence(profiles: DataFrame, marks: DataFrame, by: str = "component") -> DataFrame:
-    """Profiles with overall_confidence, rounded to 4 places, from their marks
-    as rows: no entity's marks ever meet in one row."""
-    rows = profiles.join(score_columns(marks, by), by, "left")
+def from_scores(profiles: DataFrame) -> DataFrame:
+    """Profiles with overall_confidence, rounded to 4 places, from the columns
+    _score_<field>, which go."""
     scores = {n: F.when(on, F.col(f"_score_{n}")) for n, on in active().items()}
-    return rows.withColumn("overall_confidence", F.round(weighted(scores), 4)).select(*profiles.columns)
+    rows = profiles.withColumn("overall_confidence", F.round(weighted(scores), 4))
+    return rows.drop(*[f"_score_{n}" for n in scores])
+
+
+def with_confidence(profiles: DataFrame, marks: DataFrame, by: str = "component") -> DataFrame:
+    """Profiles with overall_confidence from their marks as rows: no entity's marks
+    ever meet in one row."""
+    return from_scores(profiles.join(score_columns(marks, by), by, "left"))

@@ -110,29 +110,102 @@ def merge_decisions(rows: DataFrame, names: tuple[str, ...] = SCALARS, by: str =
     return best.select(by, "field", F.get("all", F.lit(0))["source_file"].alias("winner_source"), losers.alias("loser_sources"), reason.alias("reason"))
 
 
-def resolve(records: DataFrame, by: str = "component", provenance: bool = True) -> DataFrame:
+def _cell(order: Column, kind: str, key: Column, pos: Column, value: Column, sub: Column | None = None, number: Column | None = None, parts: Column | None = None) -> Column:
+    """A cell: what it is (kind, key, sub), where it stands and what it holds."""
+    none = lambda t: F.lit(None).cast(t)
+    return F.struct(
+        F.lit(kind).alias("kind"), key.alias("key"), (none("string") if sub is None else sub).alias("sub"),
+        F.struct(order["p"].alias("p"), order["s"].alias("s"), pos.cast("int").alias("pos")).alias("o"), value.cast("string").alias("v"),
+        (none("double") if number is None else number).alias("x"), (none("array<string>") if parts is None else parts).alias("parts"),
+    )
+
+
+ENTRIES = {
+    "experience": (("company", "title", "start", "end", "summary"), ("company", "title")),
+    "education": (("institution", "degree", "field", "end_year"), ("institution", "degree")),
+}
+_WIDTH = max(len(fields) for fields, _ in ENTRIES.values())
+
+
+def cells(rows: DataFrame, by: str = "component", provenance: bool = True) -> DataFrame:
+    """Ordered records as rows (by, kind, key, sub, o, v, x, parts): one for each
+    record, scalar with a value, list item, entry, skill and mark.  Marks come as what
+    their field scores from and, with ``provenance``, as themselves."""
+    order, at, none = F.col("ord"), F.lit(0), F.lit(None).cast("string")
+    own = [F.array(_cell(order, "record", F.lit(""), at, none), *[_cell(order, "scalar", F.lit(n), at, F.col(n)) for n in SCALARS])]
+    for n in LISTS:
+        own.append(F.transform(n, _list_cell(order, n)))
+    for n, (fields, key) in ENTRIES.items():
+        own.append(F.transform(n, _entry_cell(order, n, fields, key)))
+    marks = F.filter("provenance", lambda p: p["field"] == "skills")
+    base = F.coalesce(F.get(marks, 0)["confidence"], F.lit(K.SKILL_BASE))
+    own.append(F.transform("skills", lambda v, i: _cell(order, "skills", F.lower(v), i, v, F.col("source_file"), base)))
+    own.append(F.transform("provenance", lambda p, i: _cell(order, "score", F.substring_index(p["field"], ".", 1), i, none, p["source"], p["confidence"])))
+    if provenance:
+        mark = lambda p, i: _cell(order, "provenance", F.concat_ws(":", order["s"], i), i, none, None, p["confidence"], F.array(p["field"], p["source"], p["method"]))
+        own.append(F.transform("provenance", mark))
+    empty = F.filter(own[0], lambda c: F.lit(False))
+    all_cells = F.concat(*[F.coalesce(c, empty) for c in own])
+    out = rows.select(by, F.explode(all_cells).alias("c")).select(by, "c.*")
+    return out.filter(F.col("v").isNotNull() | ~F.col("kind").isin("scalar", *LISTS))
+
+
+def _list_cell(order: Column, kind: str):
+    return lambda v, i: _cell(order, kind, F.lower(v), i, v)
+
+
+def _entry_cell(order: Column, kind: str, fields: tuple[str, ...], key: tuple[str, ...]):
+    def made(e: Column, i: Column) -> Column:
+        name = F.concat_ws("|", *[F.lower(strip(F.coalesce(e[k], F.lit("")))) for k in key])
+        return _cell(order, kind, name, i, F.lit(None), parts=F.array(*[e[f] for f in fields]))
+
+    return made
+
+
+def resolve(records: DataFrame, by: str = "component", provenance: bool = True, scores: tuple[str, ...] = ()) -> DataFrame:
     """A profile for each entity, in the profile schema plus ``component``;
     overall_confidence is left 0.  Without ``provenance`` that column is left
-    out and no entity's marks are gathered."""
-    rows = ordered(records)
-    out = merge_scalars(rows, by=by)
-    parts = [
-        merge_lists(rows, by=by),
-        merge_skills(rows, by),
-        merge_entries(rows, "experience", ("company", "title", "start", "end", "summary"), ("company", "title"), by),
-        merge_entries(rows, "education", ("institution", "degree", "field", "end_year"), ("institution", "degree"), by),
-    ]
+    out and no entity's marks are gathered.  ``scores`` names top-level fields
+    whose confidence comes along as _score_<field>.
+
+    Records become cells once; cells of one source, then of one key, then of one
+    entity are combined, with partial sums before each of the three shuffles."""
+    o, v, x, kind = F.col("o"), F.col("v"), F.col("x"), F.col("kind")
+    spelled = F.when((kind == "skills") & (v != F.col("key")), o)
+    parts = [F.get("parts", F.lit(i)) for i in range(_WIDTH)]
+    one = cells(ordered(records), by, provenance).groupBy(by, "kind", "key", "sub").agg(
+        F.min("o").alias("o"), F.min_by("v", "o").alias("v"), F.max("x").alias("most"), F.min_by("x", "o").alias("x"),
+        F.min_by("v", spelled).alias("name"), F.min(spelled).alias("no"),
+        *[F.min_by(p, F.when((kind == "provenance") | (p != ""), o)).alias(f"f{i}") for i, p in enumerate(parts)],
+    )
+    source = F.when(kind == "skills", F.struct("o", F.struct("sub", "x").alias("v")))
+    keyed = one.groupBy(by, "kind", "key").agg(
+        F.min("o").alias("o"), F.min_by("v", "o").alias("v"), F.min_by("x", "o").alias("x"), F.array_sort(F.collect_list(source)).alias("from"),
+        F.coalesce(F.min_by("name", "no"), F.col("key")).alias("name"), (F.max("most") + F.lit(K.CORROBORATION) * (F.count("sub") - 1)).alias("score"),
+        *[F.min_by(f"f{i}", "o").alias(f"f{i}") for i in range(_WIDTH)],
+    )
+    n = F.size("from")
+    mean = F.aggregate("from", F.lit(0.0), lambda a, s: a + s["v"]["x"]) / F.greatest(n, F.lit(1))  # cells of other kinds have none
+    conf = F.round(F.least(mean + F.least(F.lit(K.SKILL_BOOST) * (n - 1), F.lit(K.SKILL_BOOST_CAP)), F.lit(1.0)), 4)
+    sorted_by = F.when(kind == "skills", F.col("key")).otherwise("")
+    cell = F.struct("kind", sorted_by.alias("k"), "o", "v", "x", "name", conf.alias("conf"), F.col("from.v.sub").alias("sources"), *[f"f{i}" for i in range(_WIDTH)])
+    value = lambda name: F.max(F.when((kind == "scalar") & (F.col("key") == name), v))
+    scored = [F.max(F.when((kind == "score") & (F.col("key") == s), F.least("score", F.lit(1.0)))).alias(f"_score_{s}") for s in scores]
+    out = keyed.groupBy(by).agg(
+        *[value(name).alias(name) for name in SCALARS], *scored, F.array_sort(F.collect_list(F.when(~kind.isin("record", "scalar", "score"), cell))).alias("_cells")
+    )
+    of = lambda name, made: F.transform(F.filter("_cells", lambda c: c["kind"] == name), made)
+    entry = lambda fields: lambda c: F.struct(*[c[f"f{i}"].alias(f) for i, f in enumerate(fields)])
+    lists = {name: of(name, lambda c: c["v"]) for name in LISTS}
+    lists["skills"] = of("skills", lambda c: F.struct(c["name"].alias("name"), c["conf"].alias("confidence"), c["sources"].alias("sources")))
+    lists |= {name: of(name, entry(fields)) for name, (fields, _) in ENTRIES.items()}
     marks = ["provenance"] if provenance else []
     if provenance:
-        all_marks = gathered(F.struct("ord", "pos"), F.struct("field", "source", "method", "confidence"))
-        parts.append(provenance_table(rows, by).groupBy(by).agg(all_marks.alias("provenance")))
-    for part in parts:
-        out = out.join(part, by, "left")
-    blank = {n: F.coalesce(n, F.array().cast(out.schema[n].dataType)) for n in (*LISTS, "skills", "experience", "education", *marks)}
-    out = out.withColumns(blank)
+        lists["provenance"] = of("provenance", lambda c: F.struct(c["f0"].alias("field"), c["f1"].alias("source"), c["f2"].alias("method"), c["x"].alias("confidence")))
+    out = out.withColumns(lists).withColumn("years_experience", F.col("years_experience").cast("double"))
     return out.select(
         by, entity_id(F.col("full_name"), F.col("emails"), F.col("phones")).alias("candidate_id"), "full_name", "emails", "phones",
         F.struct("city", "region", "country").alias("location"),
         F.struct("linkedin", "github", "portfolio", F.col("other_links").alias("other")).alias("links"),
-        "headline", "years_experience", "skills", "experience", "education", *marks, F.lit(0.0).alias("overall_confidence"),
+        "headline", "years_experience", "skills", "experience", "education", *marks, F.lit(0.0).alias("overall_confidence"), *[f"_score_{s}" for s in scores],
     )

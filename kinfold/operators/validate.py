@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.errors import ValidationError
+from kinfold.errors import ProjectionError, ValidationError
 
 from .confidence import active
 from .projection import Config
@@ -29,23 +29,68 @@ def type_fits(kind: T.DataType, declared: str) -> bool:
     return False
 
 
-def violations(rows: DataFrame, config: Config) -> DataFrame:
-    """(rows' columns, violation): a row for each broken rule of each row."""
-    rules = []
+def rules(rows: DataFrame, config: Config) -> dict[str, Column]:
+    """Rule -> whether a row breaks it."""
+    out = {}
     for f in config.fields:
         c, kind = F.col(f.path), rows.schema[f.path].dataType
         if f.required:
-            rules.append(F.when(c.isNull(), F.lit(f"{f.path}: required")))
+            out[f"{f.path}: required"] = c.isNull()
         if f.type is not None and not type_fits(kind, f.type):
-            rules.append(F.when(c.isNotNull(), F.lit(f"{f.path}: not {f.type}")))
+            out[f"{f.path}: not {f.type}"] = c.isNotNull()
         elif f.type in ("string[]", "object[]"):
-            rules.append(F.when(F.exists(c, lambda x: x.isNull()), F.lit(f"{f.path}: null element")))
-    if not rules:
+            out[f"{f.path}: null element"] = F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False))
+    if config.include_confidence:
+        c = F.col("overall_confidence")
+        out["overall_confidence: not between 0 and 1"] = F.coalesce(~c.between(0.0, 1.0), F.lit(False))
+    return out
+
+
+def violations(rows: DataFrame, config: Config) -> DataFrame:
+    """(rows' columns, violation): a row for each broken rule of each row."""
+    named = [F.when(broken, F.lit(rule)) for rule, broken in rules(rows, config).items()]
+    if not named:
         return rows.withColumn("violation", F.lit(None).cast("string")).limit(0)
-    found = F.filter(F.array(*rules), lambda x: x.isNotNull())
+    found = F.filter(F.array(*named), lambda x: x.isNotNull())
     return rows.withColumn("violation", F.explode(found))
 
 
+class Watch:
+    """Counts of broken rules, observed while the rows are written."""
+
+    def __init__(self, names: list[str], config: Config):
+        self.names, self.config, self.observation = names, config, Observation()
+
+    def counts(self) -> dict[str, int]:
+        """Rule -> rows that break it; waits for the action that writes the rows."""
+        if not self.names:
+            return {}
+        seen = self.observation.get
+        return {rule: seen.get(f"r{i}") or 0 for i, rule in enumerate(self.names)}
+
+    def check(self) -> None:
+        """Raise what is broken: a required field that ``on_missing`` makes an
+        error, else all rules with their counts."""
+        counts = self.counts()
+        for f in self.config.fields:
+            n = counts.get(f"{f.path}: required", 0)
+            if n and self.config.on_missing == "error":
+                raise ProjectionError(f"required field {f.path!r} is missing in {n} profiles")
+        broken = [f"{rule} ({n} rows)" for rule, n in sorted(counts.items()) if n]
+        if broken:
+            raise ValidationError("; ".join(broken))
+
+
+def watched(rows: DataFrame, config: Config) -> tuple[DataFrame, Watch]:
+    """``rows`` whose broken rules are counted by the first action on them, and
+    the counts: the rows are read once, for the checks and for the sink."""
+    found = rules(rows, config)
+    watch = Watch(list(found), config)
+    if not found:
+        return rows, watch
+    return rows.observe(watch.observation, *[F.count_if(broken).alias(f"r{i}") for i, broken in enumerate(found.values())]), watch
+
+
 def confidence_violations(rows: DataFrame, column: str) -> DataFrame:
     """Rows whose confidence is not between 0 and 1."""
     return rows.filter(~F.col(column).between(0.0, 1.0))
@@ -59,8 +104,10 @@ def without_provenance(profiles: DataFrame) -> DataFrame:
 
 
 def validate(rows: DataFrame, config: Config) -> DataFrame:
-    """``rows``, or a ValidationError that names the rules broken."""
-    broken = violations(rows, config).groupBy("violation").count().orderBy("violation").limit(20).collect()
-    if broken:
-        raise ValidationError("; ".join(f"{r['violation']} ({r['count']} rows)" for r in broken))
+    """``rows``, or a ValidationError that names the rules broken, with how many
+    rows break them.  This reads the rows; ``watched`` checks while they are written."""
+    seen, watch = watched(rows, config)
+    if watch.names:
+        seen.write.format("noop").mode("overwrite").save()
+        watch.check()
     return rows

@@ -8,20 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.errors import SourceError
+from kinfold.errors import ProjectionError, SourceError, ValidationError
 from kinfold.functions.contact import normalize_emails, normalize_phones
 from kinfold.functions.dates import experience_dates
 from kinfold.functions.places import normalize_city, normalize_country, normalize_region
 from kinfold.functions.skills import canonicalize_skills
 from kinfold.functions.text import title_if_flat
-from kinfold.operators.confidence import with_confidence
+from kinfold.operators.confidence import active, from_scores
 from kinfold.operators.fuzzy_lookup import with_country
 from kinfold.operators.identity import EMAIL, NAME, entities
-from kinfold.operators.merge import ordered, provenance_table, resolve
+from kinfold.operators.merge import resolve
 from kinfold.operators.prefix import ordered_totals
 from kinfold.operators.projection import Config, asks_provenance, project, to_json
-from kinfold.operators.scratch import settle
-from kinfold.operators.validate import validate
+from kinfold.operators.scratch import delete, settle
+from kinfold.operators.validate import validate, watched
 from kinfold.schema import PARSED, ddl
 from kinfold.sources import csv, resume  # noqa: F401  both register their readers
 from kinfold.sources.manifest import manifest, reader_of
@@ -61,7 +61,7 @@ def profiles(records: DataFrame, match_on: tuple[str, ...] = (EMAIL, NAME), prov
     ``provenance`` that array is neither gathered nor a column."""
     rows = settle(records, "records")  # read by the links and by each merge rule
     found = settle(entities(rows, match_on), "entities")
-    return with_confidence(resolve(found, provenance=provenance), provenance_table(ordered(found)))
+    return from_scores(resolve(found, provenance=provenance, scores=tuple(active())))
 
 
 def transform(spark: SparkSession, paths: Iterable[str], config: Config, match_on: tuple[str, ...] = (EMAIL, NAME)) -> DataFrame:
@@ -84,9 +84,25 @@ def write_json(rows: DataFrame, config: Config, path: str, array: bool = False)
     """One JSON object a line, in parallel files; with ``array``, the lines of
     one JSON array over the files in order of their names."""
     lines = to_json(rows, config)
-    if array and rows.isEmpty():
-        lines = rows.sparkSession.createDataFrame([("[]",)], "value string")
-    elif array:
+    if array:
         numbered = settle(lines.withColumn("_row", F.monotonically_increasing_id()), "lines")
         lines = json_array(numbered, F.col("_row")).orderBy("_order").select("value")
+        if numbered.isEmpty():
+            lines = rows.sparkSession.createDataFrame([("[]",)], "value string")
     lines.write.mode("overwrite").text(path)
+
+
+def export(spark: SparkSession, paths: Iterable[str], config: Config, path: str, array: bool = False, match_on: tuple[str, ...] = (EMAIL, NAME)) -> None:
+    """From sources to JSON: profiles are merged, projected, checked and written
+    in one pass.  Rules that rows break are counted on the way; if there are any,
+    the output is deleted and the error names them with their counts.  Profiles
+    are in order of first record only in an array, which needs a sort."""
+    found = profiles(normalize(read_sources(spark, paths), misspelt=True), match_on, asks_provenance(config))
+    found = settle(found, "profiles").orderBy("component") if array else found  # a sort samples its rows first
+    rows, watch = watched(project(found, config, check=False), config)
+    write_json(rows, config, path, array)
+    try:
+        watch.check()
+    except (ProjectionError, ValidationError):
+        delete(spark, path)
+        raise

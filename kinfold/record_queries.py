@@ -53,7 +53,7 @@ def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("EDUCATION"), F.lit("B.Sc. Physics, 2014"), F.lit("MIT"), F.lit("PhD Logic"), F.lit("ETH Zurich, 2018"), F.lit("Master of Arts 1999 |"),
         F.lit("Skills"), F.lit("Python, js | C, Spark;  R"), F.lit("react.js · Go lang"),
     ]
-    return table(spark, sf_dir, "customer").select(F.lit("cv.pdf").alias("source_file"), k.alias("seq"), F.array_join(F.array(*lines), "\n").alias("text"))
+    return spread(table(spark, sf_dir, "customer")).select(F.lit("cv.pdf").alias("source_file"), k.alias("seq"), F.array_join(F.array(*lines), "\n").alias("text"))
 
 
 def _joined(entries: Column, *names: str) -> Column:
@@ -156,6 +156,29 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- checks while writing --------------------------------------------------------------
+
+
+@query("""
+SELECT unnest(['name: required', 'tags: null element', 'size: not string', 'overall_confidence: not between 0 and 1']) AS rule,
+       unnest([count(*) FILTER (c_custkey % 7 = 0), count(*) FILTER (c_custkey % 5 = 0), count(c_acctbal), count(*) FILTER (c_acctbal / 9000 NOT BETWEEN 0 AND 1)]) AS n
+FROM customer
+""")
+def observed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break each rule of a config, counted while the rows are written:
+    required fields, types, null elements and confidence between 0 and 1."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.when(k % 7 != 0, F.col("c_name")).alias("name"), F.array(F.lit("a"), F.when(k % 5 != 0, F.col("c_mktsegment"))).alias("tags"),
+        F.col("c_acctbal").alias("size"), (F.col("c_acctbal") / 9000).alias("overall_confidence"),
+    )
+    fields = [{"path": "name", "required": True}, {"path": "tags", "type": "string[]"}, {"path": "size", "type": "string"}]
+    config = projection.parse_config({"fields": fields, "include_confidence": True, "include_provenance": False})
+    seen, watch = validate.watched(projection.project(rows, config, check=False), config)
+    settle(seen, "checked")
+    return spark.createDataFrame(list(watch.counts().items()), "rule string, n long")
+
+
 # -- profiles ----------------------------------------------------------------------
 
 
@@ -163,7 +186,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as list rows and as resumes, normalised: one e-mail for both."""
     k = F.col("c_custkey")
     s = k.cast("string")
-    cells = table(spark, sf_dir, "customer").select(
+    cells = spread(table(spark, sf_dir, "customer")).select(
         F.lit("list.csv").alias("source_file"), k.alias("seq"), F.concat(F.upper(_pick(FIRST)), F.lit(" LISTED")).alias("full_name"),
         F.concat(F.lit("P"), s, F.lit("@X.org")).alias("email"), F.format_string("+44 20 7946 %04d", k % 10000).alias("phone"),
         F.when(k % 2 == 0, "Boston, MA, usa").alias("location"), F.when(k % 4 == 1, "Engineer").alias("headline"), F.lit("40").alias("years_experience"),
@@ -215,8 +238,7 @@ WHERE score IS NOT NULL
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confidence of each field that a profile has, from its marks as rows."""
     found = settle(identity.entities(settle(_records(spark, sf_dir), "records"), (identity.EMAIL,)), "entities")
-    scores = confidence.score_columns(merge.provenance_table(merge.ordered(found)))
-    profile = merge.resolve(found, provenance=False).join(scores, "component")
+    profile = merge.resolve(found, provenance=False, scores=tuple(confidence.active()))
     one = [F.struct(F.lit(n).alias("field"), F.round(F.when(on, F.col(f"_score_{n}")), 4).alias("score")) for n, on in confidence.active().items()]
     rows = profile.select(F.col("component").alias("seq"), F.explode(F.array(*one)).alias("x")).select("seq", "x.*")
     return rows.filter("score is not null")

@@ -275,6 +275,76 @@ def test_audit(spark):
     assert audit.log_filter(logs, "WARN", "hell").count() == 1 and audit.log_filter(logs, None, "S1").count() == 1 and audit.log_filter(logs).count() == 2
 
 
+def random_records(spark, seed, n=150):
+    rng = random.Random(seed)
+    pick = lambda *v: rng.choice(v)
+    mark = lambda: (pick("emails", "links.github", "skills", "full_name"), pick("a.csv", "b.pdf"), pick("m", "regex"), pick(0.5, 0.8, 0.84))
+    rows = []
+    for i in range(n):
+        job = lambda: (pick("Acme", "acme ", "", None), pick("Dev", "dev", None), pick("2020-01", "", None), pick("2021-01", None), pick("x", "", None))
+        school = lambda: (pick("MIT", "mit", ""), pick("BSc", None), pick("CS", None), pick("2010", "", None))
+        rows.append((
+            pick("csv", "pdf", "other"), pick("a.csv", "b.pdf", "c.csv"), i, pick("Ann", "ANN", None, ""), [pick("a@x", "A@x", "b@x") for _ in range(rng.randrange(3))],
+            pick(None, ["+1", "+2"], []), pick("X", "", None), pick("Y", None), pick("US", None), pick("l", None), pick("g", None), pick(None, "p"),
+            pick([], ["http://z", "HTTP://z"], None), pick("h", None), pick("c", None), pick(1.5, 0.0, None), [pick("Go", "go", "GO", "rust") for _ in range(rng.randrange(4))],
+            [job() for _ in range(rng.randrange(3))], [school() for _ in range(rng.randrange(3))], None, pick([mark() for _ in range(rng.randrange(4))], None), rng.randrange(20),
+        ))
+    rows.append((None, "d.csv", n, *[None] * 18, 99))
+    return spark.createDataFrame(rows, ddl(PARSED) + ", component long")
+
+
+def test_cells_give_what_the_rules_give_one_by_one(spark):
+    from kinfold.operators import merge
+
+    records = random_records(spark, 11).repartition(3)
+    rows = merge.ordered(records)
+    got = {r.component: r for r in merge.resolve(records, scores=tuple(confidence.active())).collect()}
+    assert set(got) == {r.component for r in records.select("component").distinct().collect()} and 99 in got
+    for r in merge.merge_scalars(rows).collect():
+        p = got[r.component]
+        assert (p.full_name, p.headline, p.years_experience) == (r.full_name, r.headline, r.years_experience)
+        assert tuple(p.location) == (r.city, r.region, r.country) and tuple(p.links)[:3] == (r.linkedin, r.github, r.portfolio)
+    one = {
+        "emails": merge.merge_lists(rows, ("emails",)), "phones": merge.merge_lists(rows, ("phones",)), "skills": merge.merge_skills(rows),
+        "experience": merge.merge_entries(rows, "experience", *merge.ENTRIES["experience"]), "education": merge.merge_entries(rows, "education", *merge.ENTRIES["education"]),
+        "provenance": merge.provenance_table(rows).groupBy("component").agg(merge.gathered(F.struct("ord", "pos"), F.struct("field", "source", "method", "confidence")).alias("provenance")),
+    }
+    for name, rows_of in one.items():
+        want = {r.component: r[name] for r in rows_of.collect()}
+        assert {c: p[name] for c, p in got.items() if p[name]} == {c: v for c, v in want.items() if v}, name
+    for r in confidence.score_columns(merge.provenance_table(rows)).collect():
+        for name in confidence.active():
+            a, b = got[r.component][f"_score_{name}"], r[f"_score_{name}"]
+            assert a == b or abs(a - b) < 1e-12, (name, a, b)
+
+
+def test_merge_scans_once_and_shuffles_three_times(spark, tmp_path):
+    from kinfold.operators import merge
+
+    random_records(spark, 2).write.parquet(str(tmp_path / "records"))
+    out = merge.resolve(spark.read.parquet(str(tmp_path / "records")), scores=tuple(confidence.active()))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") <= 3 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_export_checks_in_the_pass_that_writes(spark, files, tmp_path):
+    from kinfold.plans.pipeline import export
+
+    fields = [{"path": "candidate_id", "required": True}, {"path": "full_name"}]
+    good = projection.parse_config({"fields": fields, "include_provenance": False})
+    export(spark, files, good, str(tmp_path / "out"))
+    export(spark, files, good, str(tmp_path / "array"), array=True)
+    lines = [json.loads(x) for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    array = json.loads("".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*"))))
+    assert sorted(map(str, lines)) == sorted(map(str, array)) and len(lines) == 2
+    for policy, error in (("error", ProjectionError), ("null", ValidationError)):
+        bad = projection.parse_config({"fields": [*fields, {"path": "job", "from": "links.portfolio", "required": True}], "on_missing": policy, "include_provenance": False})
+        for array in (False, True):
+            with pytest.raises(error, match="job.*[12]"):
+                export(spark, files, bad, str(tmp_path / "bad"), array)
+            assert not (tmp_path / "bad").exists(), "no output of a run that fails"
+
+
 # -- streaming -----------------------------------------------------------------
 
 
