@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.errors import ConfigError
 from kinfold.functions import contact, dates, ids, places, skills, text
+from kinfold.operators import audit, projection
 
 
 def ev(spark, values, f, kind="string"):
@@ -87,3 +89,20 @@ def test_id_is_stable(spark):
 
     assert got[0] == got[1] == hashlib.sha256(b"ada||a@x|b@x||+1|+2").hexdigest()
     assert got[2] == hashlib.sha256(b"||||").hexdigest()
+
+
+def test_display(spark):
+    assert ev(spark, [0.8742, 0.005, 0.0, 1.0, None], audit.percent, "double") == ["87%", "1%", "0%", "100%", None]
+    assert ev(spark, ["2020-01", "", None], audit.end_shown) == ["2020-01", "Present", "Present"]
+
+
+def test_config_from_a_file(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"fields": [{"path": "a", "from": "emails[0]",\n "required": true}], "on_missing": "error"}')
+    config = projection.load_config(spark, str(tmp_path / "good.json"))
+    assert config.on_missing == "error" and config.fields[0].source == "emails[0]" and config.fields[0].required
+    for name, text, says in (("bad.json", "{", "no JSON"), ("odd.json", '{"fields": []}', "field"), ("path.json", '{"fields": [{"path": "a b"}]}', "a b")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ConfigError, match=says):
+            projection.load_config(spark, str(tmp_path / name))
+    with pytest.raises(ConfigError, match="cannot read"):
+        projection.load_config(spark, str(tmp_path / "absent.json"))
