@@ -24,7 +24,7 @@ from kinfold.operators.scratch import delete, settle
 from kinfold.operators.validate import validate, watched
 from kinfold.schema import PARSED, ddl
 from kinfold.sources import csv, resume  # noqa: F401  both register their readers
-from kinfold.sources.manifest import manifest, reader_of
+from kinfold.sources.manifest import listing, manifest, reader_of
 
 
 def read_sources(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -37,6 +37,20 @@ def read_sources(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, made) if made else spark.createDataFrame([], ddl(PARSED))
 
 
+def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(records of all sources below a folder, in order of their paths;
+    (path, reason) of the files that gave none).  The list of files is a table: no
+    file costs a step on the driver, and a broken one costs itself only.  Empty files
+    are not listed."""
+    files = listing(spark, folder)
+    made, odd = [], [files.filter("kind is null").select("path", F.lit("unknown kind of source").alias("reason"))]
+    for read in (csv.read_listed, resume.read_listed):
+        records, without = read(spark, folder, files)
+        made += [records] if records is not None else []
+        odd.append(without)
+    return reduce(DataFrame.unionByName, made), reduce(DataFrame.unionByName, odd)
+
+
 def normalize(records: DataFrame, misspelt: bool = False) -> DataFrame:
     """All fields normalised; provenance stays, also of values that became null.
     With ``misspelt``, countries that are no known name are looked up by their

@@ -19,7 +19,7 @@ from kinfold.operators.scratch import made, scratch_dir, settle
 from kinfold.operators.prefix import ordered_totals
 from kinfold.operators.spread import spread
 from kinfold.plans.metrics import RunLog
-from kinfold.plans.pipeline import json_array, normalize, profiles
+from kinfold.plans.pipeline import json_array, normalize, profiles, read_folder
 from kinfold.queries import QUERIES, SQL, query, table  # noqa: F401  the two are what the entry module reads
 from kinfold.sources import csv as csv_source
 from kinfold.sources import resume
@@ -156,6 +156,26 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT c_custkey AS key, c_name || chr(10) || 'of ' || c_mktsegment AS name, NULL AS reason FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT -1, NULL, unnest(['unknown kind of source', 'no recognizable columns'])
+""")
+def folder_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second customer as CSV files in a folder that also holds files of an
+    unknown kind and files without known columns: records, and why files gave none."""
+    k = F.col("c_custkey")
+    rows, where = spread(table(spark, sf_dir, "customer")), f"{scratch_dir(spark)}/kinfold/folder-{uuid.uuid4().hex}"
+    cells = rows.filter(k % 2 == 0).select(F.concat("c_name", F.lit("\nof "), "c_mktsegment").alias("Name"), F.concat(k.cast("string"), F.lit("@x.org")).alias("email"))
+    cells.write.options(header=True, quoteAll=True, escape='"').csv(f"{where}/good")
+    rows.select(k.alias("shoe"), F.col("c_acctbal").alias("size")).write.options(header=True).csv(f"{where}/odd")
+    rows.select("c_name").write.text(f"{where}/text")
+    made(spark, where)
+    records, odd = read_folder(spark, where)
+    key = F.regexp_extract(F.get("emails", F.lit(0)), "^([0-9]+)@", 1).cast("long")
+    found = records.select(key.alias("key"), F.col("full_name").alias("name"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(odd.select(F.lit(-1).cast("long").alias("key"), F.lit(None).cast("string").alias("name"), "reason").distinct())
+
+
 # -- checks while writing --------------------------------------------------------------
 
 

@@ -92,22 +92,17 @@ def shapes(splits: DataFrame) -> DataFrame:
     return heads.select("path", "header_place", read_header("header").alias("h")).select("path", "header_place", "h.where", "h.width")
 
 
-def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame | None:
-    """Records of all files; None if all are empty."""
-    many = spark.conf.get("kinfold.csv.multiLine", "true").lower() != "false"
-    try:
-        rows = csv_splits.lines(spark, [p for _, p in files])
-        maps = csv_splits.split_maps(rows, many)
-    except AnalysisException as e:
-        raise SourceError(f"cannot read {[p for _, p in files][:3]}: {e.getCondition() or e}") from e
-    found = settle(shapes(maps), "shapes")
-    odd = found.filter("where is null").select("path").orderBy("path").limit(3).collect()
-    if odd:
-        raise MalformedCsv(f"{[r.path for r in odd]} have no recognizable columns")
-    width = found.agg(F.max("width")).first()[0]
+def _multiline(spark: SparkSession) -> bool:
+    return spark.conf.get("kinfold.csv.multiLine", "true").lower() != "false"
+
+
+def _records(rows: DataFrame, maps: DataFrame, found: DataFrame, numbers: DataFrame) -> DataFrame | None:
+    """Records of the files with ``shapes``, in order of their ``numbers``
+    (_path, _number); None if there is none."""
+    many, width = _multiline(rows.sparkSession), found.agg(F.max("width")).first()[0]
     if width is None:
         return None
-    numbers = files_table(spark, files).withColumnRenamed("_path", "_bare")
+    numbers = numbers.withColumnRenamed("_path", "_bare")
     splits = csv_splits.split_states(maps).drop("header_place").join(found.drop("width"), "path").join(numbers, file_column(F.col("path")) == F.col("_bare"))
     splits = settle(splits.select("path", "start", "inside", "crossed", "where", "header_place", "_number"), "splits")
     cut = csv_splits.records(rows, splits, many).join(F.broadcast(splits.select("path", "start", "where", "header_place", "_number")), ["path", "start"])
@@ -120,4 +115,28 @@ def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame | None:
     return records(cells.select(name.alias("source_file"), (F.shiftleft("_number", ROWS) + F.col("start") + F.col("place")).alias("seq"), *named))
 
 
+def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame | None:
+    """Records of all files; None if all are empty."""
+    try:
+        rows = csv_splits.lines(spark, [p for _, p in files])
+        maps = csv_splits.split_maps(rows, _multiline(spark))
+    except AnalysisException as e:
+        raise SourceError(f"cannot read {[p for _, p in files][:3]}: {e.getCondition() or e}") from e
+    found = settle(shapes(maps), "shapes")
+    odd = found.filter("where is null").select("path").orderBy("path").limit(3).collect()
+    if odd:
+        raise MalformedCsv(f"{[r.path for r in odd]} have no recognizable columns")
+    return _records(rows, maps, found, files_table(spark, files))
+
+
+def read_listed(spark: SparkSession, folder: str, files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(records, (path, reason) of files without known columns) of the CSV files
+    below a folder, whose ``listing`` is ``files``; no path passes the driver."""
+    rows = csv_splits.lines(spark, [folder], recursiveFileLookup="true", pathGlobFilter="*.[cC][sS][vV]")
+    maps = csv_splits.split_maps(rows, _multiline(spark))
+    found = settle(shapes(maps), "shapes")
+    odd = found.filter("where is null").select(file_column(F.col("path")).alias("path"), F.lit("no recognizable columns").alias("reason"))
+    return _records(rows, maps, found.filter("where is not null"), files.select(F.col("path").alias("_path"), F.col("number").alias("_number"))), odd
+
+
 register("csv", read)

@@ -54,10 +54,10 @@ def ends_inside(line: str, inside: bool) -> bool:
         at, inside = opening + 2, True
 
 
-def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def lines(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """(path, start, value): lines with their file and the start of their split,
     in order inside a task."""
-    rows = spark.read.text(paths, lineSep="\n")
+    rows = spark.read.options(**options).text(paths, lineSep="\n")
     start, value = F.col("_metadata.file_block_start"), F.col("value")
     value = F.when((start == 0) & value.startswith("\ufeff"), F.substr(value, F.lit(2))).otherwise(value)  # a byte order mark
     return rows.select(F.col("_metadata.file_path").alias("path"), start.alias("start"), value.alias("value"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from kinfold.constants import EXTENSIONS
 from kinfold.errors import SourceError
+from kinfold.operators.prefix import ordered_totals
+from kinfold.operators.scratch import settle
 
 Reader = Callable[[SparkSession, list[tuple[int, str]]], DataFrame]
 _readers: dict[str, Reader] = {}
@@ -72,3 +74,11 @@ def files_table(spark: SparkSession, files: list[tuple[int, str]], more: str = "
 
 #: Bits of ``seq`` below the number of the file: bytes, so also rows, of one file.
 ROWS = 40
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, kind, number) of all files below a folder, listed by Spark and
+    numbered in order of their paths; settled.  ``kind`` is null where it is unknown."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")  # contents are not read
+    files = files.select(file_column(F.col("path")).alias("path"), "length").withColumn("kind", kind_column(F.col("path")))
+    return settle(ordered_totals(files, [F.col("path")], {"number": F.lit(1)}), "listing")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.extract import parse_resumes
+from kinfold.operators.scratch import settle
 
 from .manifest import ROWS, file_column, files_table, register
 
@@ -72,13 +73,26 @@ def texts(files: DataFrame) -> DataFrame:
     return found.filter("text is not null")
 
 
-def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
-    """Records of all resumes; files without text give none."""
-    raw = spark.read.format("binaryFile").load([p for _, p in files])
+def _records(raw: DataFrame, numbers: DataFrame) -> DataFrame:
     meta = F.col("_metadata")
     name = F.regexp_extract(F.try_url_decode(meta["file_name"]), r"([^/]+)$", 1)
-    raw = raw.select(name.alias("source_file"), file_column(meta["file_path"]).alias("_path"), "content").join(files_table(spark, files), "_path")
+    raw = raw.select(name.alias("source_file"), file_column(meta["file_path"]).alias("_path"), "content").join(numbers, "_path")
     return parse_resumes(texts(raw.withColumn("seq", F.shiftleft("_number", ROWS))))
 
 
+def read(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+    """Records of all resumes; files without text give none."""
+    return _records(spark.read.format("binaryFile").load([p for _, p in files]), files_table(spark, files))
+
+
+def read_listed(spark: SparkSession, folder: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, (path, reason) of files without text) of the PDF files below a
+    folder, whose ``listing`` is ``files``."""
+    raw = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.[pP][dD][fF]").load(folder)
+    found = settle(_records(raw, files.select(F.col("path").alias("_path"), F.col("number").alias("_number"))), "resumes")
+    read = found.select(F.shiftright("seq", ROWS).alias("number"))
+    odd = files.filter("kind = 'pdf'").join(read, "number", "left_anti")
+    return found, odd.select("path", F.lit("no text").alias("reason"))
+
+
 register("pdf", read)

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinfold.errors import MalformedCsv, SourceError
+from kinfold.plans.pipeline import read_folder
 from kinfold.sources import csv, csv_splits
 
 LINE = st.text(alphabet=['"', ",", "a", " "], max_size=12)
@@ -134,3 +135,21 @@ def test_only_crossing_records_are_shuffled(spark, tmp_path, small_splits):
     counts = {r.cut: r["count"] for r in cut.groupBy("cut").count().collect()}
     n = splits.count()
     assert n > 10 and counts[csv_splits.COMPLETE] > 2900 and sum(c for k, c in counts.items() if k) <= 2 * n
+
+
+def test_a_folder_with_broken_files(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for i in range(40):
+        (tmp_path / "a b" / f"f{i:02d}+.CSV").write_text(f'name,title\nn{i},"t\nu"\n')
+    (tmp_path / "odd.csv").write_text("shoe\n1\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "x.docx").write_text("z")
+    (tmp_path / "cv.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << >> stream\nBT (Ada Byron) Tj T* (ada@x.org) Tj ET\nendstream endobj\n%%EOF")
+    (tmp_path / "broken.pdf").write_bytes(b"no pdf")
+    records, odd = read_folder(spark, str(tmp_path))
+    rows = records.orderBy("seq").collect()
+    assert [r.full_name for r in rows if r.source_type == "csv"] == [f"n{i}" for i in range(40)]
+    assert [(r.source_file, r.emails) for r in rows if r.source_type == "pdf"] == [("cv.pdf", ["ada@x.org"])]
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in odd.collect()} == {
+        "odd.csv": "no recognizable columns", "x.docx": "unknown kind of source", "broken.pdf": "no text",
+    }
