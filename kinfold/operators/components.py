@@ -15,15 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .salting import heavy_join
-from .scratch import settle
+from .scratch import passing, settle
 
 MAX_ROUNDS = 60
+#: Links of a node that one task joins without more ado.
+MANY = 1_000
 
 
 def _with_low(edges: DataFrame, total: int) -> DataFrame:
     """Edges (u, v) with ``low``, the smallest neighbour of u."""
     low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("_links"))
-    return heavy_join(edges, low, ["u"], "_links", total).drop("_links")
+    return heavy_join(edges, low, ["u"], "_links", total, least=MANY).drop("_links")
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -56,17 +58,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .filter("u > v")
         .distinct()
     )
-    edges = settle(edges, "edges")
-    seen = _print_of(edges)
-    for _ in range(MAX_ROUNDS):
-        edges = settle(_large_star(edges, seen[0]), "edges")
-        edges = settle(_small_star(edges, seen[0]), "edges")
-        now = _print_of(edges)
-        if now == seen:
-            return (
-                edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-                .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")))
-                .distinct()
-            )
-        seen = now
+    with passing(edges.sparkSession) as keep:  # a round's edges go with it
+        edges = settle(edges, "edges")
+        seen = _print_of(edges)
+        for _ in range(MAX_ROUNDS):
+            edges = settle(_large_star(edges, seen[0]), "edges")
+            edges = settle(_small_star(edges, seen[0]), "edges")
+            now = _print_of(edges)
+            if now == seen:
+                own = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+                return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own).distinct(), "components")
+            seen = now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kinfold.functions.text import strip
 
 from .components import connected_components
-from .scratch import settle
 
 EMAIL, NAME = "email", "name"
 
@@ -34,6 +33,5 @@ def hub_links(pairs: DataFrame, node: str = "seq", key: str = "key") -> DataFram
 def entities(records: DataFrame, match_on: tuple[str, ...] = (EMAIL, NAME)) -> DataFrame:
     """``records`` with ``component``: the smallest ``seq`` of its entity."""
     found = connected_components(hub_links(keys(records, match_on)))
-    found = settle(found, "components")
     out = records.join(found, F.col("seq") == F.col("node"), "left")
     return out.withColumn("component", F.coalesce("component", "seq")).drop("node")

@@ -32,18 +32,18 @@ def salted_join(rows: DataFrame, one: DataFrame, keys: Sequence[str], spread: Se
     return left.join(right, match, how).drop("_salt", "_one_salt", *[f"_one_{k}" for k in keys])
 
 
-def heavy_join(rows: DataFrame, one: DataFrame, keys: Sequence[str], weight: str, total: int, how: str = "inner", once: bool = False) -> DataFrame:
+def heavy_join(rows: DataFrame, one: DataFrame, keys: Sequence[str], weight: str, total: int, how: str = "inner", once: bool = False, least: int = 0) -> DataFrame:
     """``rows`` with the columns of ``one`` (unique in ``keys``, which are not
     null), ``weight`` being how many of the ``total`` rows have the key.
 
-    Keys with more than one in ``HEAVY`` rows are joined by broadcast, whatever
-    their size: there are less than ``HEAVY`` of them, as their rows are among
+    Keys with more than one in ``HEAVY`` rows, and more than ``least``, are joined
+    by broadcast, whatever their size: there are less than ``HEAVY`` of them, as their rows are among
     ``total``.  So no key's rows are sent to one task, and ``one`` is neither
     repeated nor broadcast as a whole.  Both inputs should be settled, as they
     are read twice; with ``once``, the rows are read once and settled with what
     their heavy keys give."""
     names = [c for c in one.columns if c not in keys]
-    heavy = F.col(weight) * HEAVY > F.lit(total)
+    heavy = (F.col(weight) * HEAVY > F.lit(total)) & (F.col(weight) > least)
     few = one.filter(heavy).select(*[F.col(k).alias(f"_one_{k}") for k in keys], F.struct(*names).alias("_heavy"))
     match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_one_{k}") for k in keys])
     marked = rows.join(F.broadcast(few), match, "left").drop(*[f"_one_{k}" for k in keys])
