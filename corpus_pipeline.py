@@ -10,7 +10,8 @@ a group stays, those with an id come first.  Columns other than those of
 
 A stage deletes the tables that it has settled for its decisions before it returns;
 its lazy result reads at most the numbered rows and one number for each row that
-stays.  No stage deletes what another one, or another run, has settled.
+stays, which meet in a merge join at every size (a broadcast of small decisions
+would only make small runs look unlike large ones).  No stage deletes what another one, or another run, has settled.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         decided = exact_dedup.dedup(rows.select(rank("doc_id").alias("_key"), "text"), index, id="_key")
         kept = keep(decided.filter("kept").select(F.col("doc_id.row").alias("_row")), "kept")
         index.drop()
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows = numbered(docs.select(*COLUMNS), by=keep)
         mixed = mixing.mix(rows, MIX_WEIGHTS, MIX_CAP, keep=["_row"])
         taken = keep(mixed.filter("copies > 0").select("_row", "copies"), "taken")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return rows.join(taken.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
