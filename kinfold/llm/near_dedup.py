@@ -380,4 +380,4 @@ def survivors(docs: DataFrame, id: str = "doc_id", text: str = "text", **params)
         keyed = rows.select(F.col(row).alias("node"), rank(id, row).alias("key"))
         first = found.join(keyed, "node").groupBy("component_id").agg(F.min("key").alias("key"))
         kept = keep(first.select(F.col("key.row").alias(row)), "survivors")
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
