@@ -40,7 +40,7 @@ def rules(rows: DataFrame, config: Config) -> dict[str, Column]:
             out[f"{f.path}: not {f.type}"] = c.isNotNull()
         elif f.type in ("string[]", "object[]"):
             out[f"{f.path}: null element"] = F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False))
-    if config.include_confidence:
+    if config.include_confidence and "overall_confidence" in rows.columns:  # rows that no projection made may have none
         c = F.col("overall_confidence")
         out["overall_confidence: not between 0 and 1"] = F.coalesce(~c.between(0.0, 1.0), F.lit(False))
     return out

@@ -266,6 +266,19 @@ def test_paths_and_policies(spark):
         validate.validate(out, typed)
 
 
+def test_rules_of_rows_without_confidence(spark):
+    """A config asks for confidence unless it says no; rows that were not projected may have none."""
+    rows = spark.sql("select * from values (1, 'a', array('x')), (2, null, array('x', null)), (3, null, null) as t(id, name, marks)")
+    config = projection.parse_config({"fields": [{"path": "name", "required": True}, {"path": "id", "type": "string"}, {"path": "marks", "type": "string[]"}]})
+    broken = lambda df: sorted((r.id, r.violation) for r in validate.violations(df, config).collect())
+    plain = [(1, "id: not string"), (2, "id: not string"), (2, "marks: null element"), (2, "name: required"), (3, "id: not string"), (3, "name: required")]
+    assert broken(rows) == plain
+    with pytest.raises(ValidationError, match=r"id: not string \(3 rows\); marks: null element \(1 rows\); name: required \(2 rows\)"):
+        validate.validate(rows, config)
+    scored = rows.withColumn("overall_confidence", F.when(F.col("id") < 3, F.col("id") * 0.9))
+    assert broken(scored) == sorted([*plain, (2, "overall_confidence: not between 0 and 1")])
+
+
 def test_audit(spark):
     df = spark.createDataFrame([("b", "Ab", 0.95), ("A", None, 0.8), ("c", "x", 0.1)], "field string, source string, c double")
     assert [r.field for r in audit.sort(audit.search(df, "AB", ["field", "source"]), "field").collect()] == ["b"]
