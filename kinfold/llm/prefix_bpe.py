@@ -8,6 +8,10 @@ back the same two tokens.  The encoding is read off backwards, the token count
 of a prefix is one more than that of the prefix before its last token, appends
 only add columns to the table, and an edit only redoes the columns behind it.
 
+Texts are mostly short pieces that begin alike, so ``ids_of`` keeps one table for
+all of them, keyed by the prefix itself and filled from the right: only the
+prefixes that an encoding reaches are looked at, and most are known already.
+
 Helpers of the Spark operators in ``bpe`` and ``token_counts``: they work on
 one text at a time and hold a bounded cache.
 """
@@ -19,15 +23,22 @@ import json
 import re
 from array import array
 
+import numpy as np
 import regex
 
 #: Entries kept in a worker's cache of encoded chunks.
 CACHE_ENTRIES = 250_000
+#: Entries kept in a worker's table of prefixes.
+PREFIX_ENTRIES = 125_000
+#: Pieces of more bytes have tables of their own.
+PREFIX_BYTES = 96
 #: Chunks longer than this are encoded without being cached.
 CACHE_CHARS = 48
 
 #: Borders that no piece crosses; the space belongs to what follows.
 CHUNK = re.compile(r" (?=\S)")
+#: Spaces that are no such border; without them a text is split at every space.
+BLANKS = re.compile(r" (?:\s|\Z)")
 
 
 class TwoAges:
@@ -56,6 +67,8 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self._raw = np.empty(max(self.bytes_of, default=-1) + 1, object)
+        self._raw[list(self.bytes_of)] = list(ranks)
         #: Longest token that ends in given four bytes.
         self._reach: dict[bytes, int] = {}
         for t in sorted(ranks, key=len):
@@ -65,7 +78,7 @@ class PrefixBpe:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._beside: dict[tuple[int, int], bool] = {}
         self._chunks = TwoAges()
-        self._pieces_seen = TwoAges(CACHE_ENTRIES // 4)  # asked for chunks that are not known only
+        self._prefixes = TwoAges(PREFIX_ENTRIES)  # asked for chunks that are not known only
 
     # -- which tokens may stand side by side ---------------------------------
 
@@ -150,11 +163,34 @@ class PrefixBpe:
             counts.append(counts[i - n] + 1)
         return counts
 
+    def ids_of(self, prefix: bytes) -> tuple[int, ...]:
+        """Ids of a short prefix: an entry of one table for all pieces, the
+        prefix before its last token and that token.  Pieces that begin alike
+        share entries, and only entries that an encoding asks for are made."""
+        known = self._prefixes
+        ids = known.get(prefix)
+        if ids is None:
+            get, beside, new, n = self.ranks.get, self._beside.get, known.new.get, len(prefix)
+            t = get(prefix)
+            if t is not None:
+                ids = (t,)
+            else:
+                for j in range(max(1, n - self._reach.get(prefix[-4:], 3)), n):
+                    t = get(prefix[j:])
+                    if t is not None:
+                        ids = new(prefix[:j]) or self.ids_of(prefix[:j])
+                        good = beside((ids[-1], t))
+                        if good if good is not None else self.may_follow(ids[-1], t):
+                            break
+                ids += (t,)
+            known.put(prefix, ids)
+        return ids
+
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece, read backwards off its table."""
-        t = self.ranks.get(piece)
-        if t is not None:
-            return [t]
+        """Ids of one piece; those of a long piece are read backwards off a table
+        of its own."""
+        if len(piece) <= PREFIX_BYTES:
+            return list(self.ids_of(piece)) if piece else []
         table, i, ids = self.last_tokens(piece), len(piece), []
         while i:
             ids.append(table[i])
@@ -168,31 +204,27 @@ class PrefixBpe:
 
     def _packed(self, chunk: str) -> bytes:
         """Ids of a chunk as little-endian unsigned 32-bit integers."""
-        known, out = self._pieces_seen, []
+        known, ids = self._prefixes.new.get, []
         for piece in self._pieces(chunk):
-            ids = known.get(piece)
-            if ids is None:
-                ids = array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
-                if len(piece) <= CACHE_CHARS:
-                    known.put(piece, ids)
-            out.append(ids)
-        return b"".join(out)
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids += known(raw) or self.encode_piece(raw)
+        return array("I", ids).tobytes()
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text, little-endian unsigned 32-bit integers, one after the
         other.  A piece never crosses a space that stands before a visible
         character, so the text falls into independent chunks there."""
-        chunks, parts = self._chunks, CHUNK.split(text)
-        out = [self._packed(parts[0])]
-        for part in parts[1:]:
-            ids = chunks.new.get(part)
+        chunks, parts = self._chunks, CHUNK.split(text) if BLANKS.search(text) else text.split(" ")
+        out = list(map(chunks.new.get, parts))
+        out[0] = self._packed(parts[0])
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            part = parts[i]
+            ids = chunks.get(part)
             if ids is None:
-                ids = chunks.get(part)
-                if ids is None:
-                    ids = self._packed(" " + part)
-                    if len(part) <= CACHE_CHARS:
-                        chunks.put(part, ids)
-            out.append(ids)
+                ids = self._packed(" " + part)
+                if len(part) <= CACHE_CHARS:
+                    chunks.put(part, ids)
+            out[i] = ids
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
@@ -200,7 +232,7 @@ class PrefixBpe:
 
     def decode_bytes(self, packed: bytes) -> bytes:
         """Bytes of packed ids."""
-        return b"".join(map(self.bytes_of.__getitem__, array("I", packed)))
+        return b"".join(self._raw[np.frombuffer(packed, "<u4")].tolist())
 
 
 def _bytes_to_chars() -> dict[str, int]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinfold.llm import bpe, pseudonyms, queries, token_counts, toxicity, url_filter
-from kinfold.llm.prefix_bpe import PrefixBpe, ranks_of_json, ranks_of_tiktoken
+from kinfold.llm.prefix_bpe import PrefixBpe, TwoAges, ranks_of_json, ranks_of_tiktoken
 
 RANKS_PATH, JSON_PATH = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "\n \t", "a", "don't  stop\n\n now", "x" * 5000, "日本語 🙂 é", "<|endoftext|> a<|endoftext|>", "1234 ab12", "a \x1c b\x85c"]
@@ -34,6 +34,14 @@ def coder():
     return PrefixBpe(ranks_of_tiktoken(open(RANKS_PATH, "rb").read()), P.PATTERN)
 
 
+@pytest.fixture(scope="module")
+def narrow():
+    """A coder whose tables overflow all the time."""
+    bpe = PrefixBpe(ranks_of_tiktoken(open(RANKS_PATH, "rb").read()), P.PATTERN)
+    bpe._prefixes, bpe._chunks = TwoAges(3), TwoAges(2)
+    return bpe
+
+
 @pytest.fixture(scope="module")
 def counter():
     return token_counts.TokenCounter(open(JSON_PATH, "rb").read(), P.PATTERN)
@@ -64,6 +72,46 @@ def test_last_tokens_extend_and_edit(coder):
     assert coder.last_tokens(edited, whole[:8]) == coder.last_tokens(edited)
 
 
+class Counted(dict):
+    """Ranks that count how often they are asked."""
+
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+
+def test_pieces_that_begin_alike_share_their_table(library):
+    """Each prefix is decided once for all pieces; tables of their own ask more than twice as often."""
+    ranks = Counted(ranks_of_tiktoken(open(RANKS_PATH, "rb").read()))
+    coder = PrefixBpe(ranks, P.PATTERN)
+    rng = random.Random(5)
+    starts = ["".join(rng.choices(["th", "en", "tion", "er", "ou", "é", "sh", "and"], k=4)) for _ in range(60)]
+    words = [a + b for a in starts for b in ("on", "her", "wh", "ed", "xq", "ti", "ble", "ö")]
+    for w in words:
+        assert coder.encode(w) == library.encode_ordinary(w)
+    shared, ranks.asked = ranks.asked, 0
+    for w in words:
+        coder.last_tokens(w.encode())
+    assert shared * 2 < ranks.asked
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", " \x1c", "'s", "unbelievably", "re", "1234567", "!?!", "é", "🙂", "\u3000", "z" * 60]), max_size=12))
+def test_full_tables_give_the_same(narrow, library, parts):
+    text = "".join(parts)
+    packed = narrow.encode_packed(text)
+    assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(text)
+    assert narrow.decode_bytes(packed) == text.encode()
+
+
+def test_long_pieces_equal_library(coder, library):
+    for n in (47, 48, 49, 95, 96, 97, 5000):
+        for text in ("unbelievably" * (n // 12 + 1), "é🙂" * n, "9" * n, "ab" * n + " "):
+            assert coder.encode(text[:n]) == library.encode_ordinary(text[:n])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "'s", "'", "re", "<|endoftext|>", "1", "!", "é", "🙂"]), max_size=12))
 def test_prefix_counts_equal_library(counter, tokenizer, parts):
