@@ -245,13 +245,12 @@ FROM d JOIN n ON n.g = d.g JOIN s ON s.g = d.g AND list_contains(d.kept, s.k) GR
 """)
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names of an order without those nearly equal to an earlier one."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("o"), "l_partkey")
     named = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    rows = rows.join(named, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "o", "name")
-    kept = near_names.without_near_rows(rows, "l_orderkey", "o", "name")
-    kept = kept.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("o", "name"))).alias("x"))
-    raw = rows.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n_raw"))
-    return raw.join(kept, "l_orderkey").select("l_orderkey", "n_raw", F.array_join("x.name", "|").alias("kept"))
+    named, near, large = near_names.classed(named, "name")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").filter("l_orderkey is not null")
+    rows = items.join(named, F.col("l_partkey") == F.col("p_partkey")).withColumn("o", F.struct("l_linenumber", "l_partkey"))
+    kept = near_names.kept_groups(rows, "l_orderkey", "o", "name", near, large, near_names.heavy_groups(items, "l_orderkey"))
+    return kept.select("l_orderkey", F.col("n").cast("int").alias("n_raw"), F.array_join("kept.name", "|").alias("kept"))
 
 
 @query("""

@@ -230,6 +230,50 @@ def test_near_rows_equal_greedy_order(spark, ratio):
     assert {tuple(r) for r in got.collect()} == plain_kept(rows, ratio) and got.count() == got.distinct().count()
 
 
+def name_chain(rng):
+    """Rows whose names make one class of 90, one of 12 and some of one, in groups of which one has many rows and one is null."""
+    pool = ["n" + "b" * i for i in range(10, 100)] + [f"same names {i:02d}" for i in range(12)] + [f"{c * 9}" for c in "cdef"]
+    return [(rng.choice([0, 1, 1, 2, 3, None]), rng.randrange(50), rng.choice(pool)) for _ in range(300)] + [(4, i, rng.choice(pool)) for i in range(200)]
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+@pytest.mark.parametrize("least", [10, 90])
+def test_kept_groups_equal_greedy_order(spark, heavy, least):
+    rows = [r for r in name_chain(random.Random(5)) if len(r[2]) < least]
+    df = spark.createDataFrame(rows, "g long, o long, name string").filter("g is null or g <> 3 or o > 0")
+    found, near, large = near_names.classed(df, "name")
+    hashes = [r[0] for r in df.filter("g is null or g in (1, 4)").select(F.xxhash64("g")).distinct().collect()] if heavy else []
+    got = near_names.kept_groups(found, "g", "o", "name", near, large, hashes).collect()
+    assert large == (least > 64 + 11)
+    whole = [tuple(r) for r in df.collect()]
+    assert {r.g: r.n for r in got} == Counter(r[0] for r in whole) and len(got) == len({r[0] for r in whole})
+    assert {(r.g, x.o, x.name) for r in got for x in r.kept} == plain_kept(whole, 90.0)
+    assert all(list(r.kept) == sorted(r.kept) for r in got)
+
+
+def test_heavy_groups_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_names, "LEAST", 100)
+    rows = spark.range(40_000).select(F.when(F.col("id") < 200, F.lit("hot")).when(F.col("id") > 500, F.col("id").cast("string")).alias("g"))
+    assert set(near_names.heavy_groups(rows, "g")) == {r[0] for r in rows.filter("id < 300").select(F.xxhash64("g")).distinct().collect()}
+    assert near_names.heavy_groups(rows.limit(0), "g") == []
+
+
+def test_fuzzy_dedup_moves_rows_once_or_twice(spark, tmp_path):
+    """Not once more for each name that is near theirs."""
+    name = F.format_string("long part name of group %02d", F.col("id") % 40)
+    spark.range(200).select(F.col("id").alias("p_partkey"), name.alias("p_name"), F.lit("Brand").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40_000).select(F.expr("id % 15013").alias("l_orderkey"), F.expr("id % 199").alias("l_partkey"), F.expr("cast(id % 7 as int)").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    moved = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before, small = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        assert entry.queries()["fuzzy_dedup"](spark, str(tmp_path)).agg(F.sum("n_raw")).first()[0] == 40_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    time.sleep(1)
+    assert 0 < moved() - before < 4_000_000
+
+
 def test_pairs_are_compared_once(spark):
     """Names in many groups are still a row each, and only near ones are linked."""
     names = spark.createDataFrame([(i, f"name number {i:03d} of many") for i in range(60)] + [(60, "else"), (61, "")], "id long, name string")
