@@ -5,6 +5,9 @@ rules are aggregations with partial sums: scalars are ``min_by`` over that
 order, lists and histories are grouped by value before they are gathered, so a
 large entity gathers its distinct values only.  The exception is provenance,
 which by definition keeps every record; ``provenance_table`` has it as rows.
+
+Most entities are a few records.  ``merged`` gathers those of up to ``FEW`` items,
+once and in order, and applies the rules to arrays; the others go through cells.
 """
 
 from __future__ import annotations
@@ -14,10 +17,15 @@ from pyspark.sql import functions as F
 
 from kinfold import constants as K
 from kinfold.functions.ids import entity_id
-from kinfold.functions.text import strip
+from kinfold.functions.text import distinct_by, strip
+
+from .salting import heavy_join
+from .scratch import settle
 
 SCALARS = ("full_name", "headline", "years_experience", "city", "region", "country", "linkedin", "github", "portfolio")
 LISTS = ("emails", "phones", "other_links")
+#: Records, list items, entries, skills and marks of an entity that is merged as arrays.
+FEW = 400
 
 
 def priority(source_type: Column) -> Column:
@@ -199,13 +207,91 @@ def resolve(records: DataFrame, by: str = "component", provenance: bool = True,
     lists = {name: of(name, lambda c: c["v"]) for name in LISTS}
     lists["skills"] = of("skills", lambda c: F.struct(c["name"].alias("name"), c["conf"].alias("confidence"), c["sources"].alias("sources")))
     lists |= {name: of(name, entry(fields)) for name, (fields, _) in ENTRIES.items()}
-    marks = ["provenance"] if provenance else []
     if provenance:
         lists["provenance"] = of("provenance", lambda c: F.struct(c["f0"].alias("field"), c["f1"].alias("source"), c["f2"].alias("method"), c["x"].alias("confidence")))
-    out = out.withColumns(lists).withColumn("years_experience", F.col("years_experience").cast("double"))
+    return _profile(out.withColumns(lists), by, provenance, scores)
+
+
+def _profile(out: DataFrame, by: str, provenance: bool, scores: tuple[str, ...]) -> DataFrame:
+    marks = ["provenance"] if provenance else []
+    out = out.withColumn("years_experience", F.col("years_experience").cast("double"))
     return out.select(
         by, entity_id(F.col("full_name"), F.col("emails"), F.col("phones")).alias("candidate_id"), "full_name", "emails", "phones",
         F.struct("city", "region", "country").alias("location"),
         F.struct("linkedin", "github", "portfolio", F.col("other_links").alias("other")).alias("links"),
         "headline", "years_experience", "skills", "experience", "education", *marks, F.lit(0.0).alias("overall_confidence"), *[f"_score_{s}" for s in scores],
     )
+
+
+def _entry_arrays(items: Column, fields: tuple[str, ...], key: tuple[str, ...]) -> Column:
+    """Entries with their key ``k``; empty fields are null."""
+    name = lambda e: F.concat_ws("|", *[F.lower(strip(F.coalesce(e[k], F.lit("")))) for k in key])
+    return F.transform(items, lambda e: F.struct(name(e).alias("k"), *[F.nullif(e[f], F.lit("")).alias(f) for f in fields]))
+
+
+def _filled(entries: Column, keys: Column, fields: tuple[str, ...]) -> Column:
+    """One entry a key, each field from the first that has it."""
+    first = lambda k, f: F.get(F.filter(entries, lambda e: (e["k"] == k) & e[f].isNotNull()), 0)[f]
+    merged = F.transform(F.array_distinct(keys), lambda k: F.struct(*[first(k, f).alias(f) for f in fields]))
+    plain = F.transform(entries, lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(entries), plain).otherwise(merged)
+
+
+def _skill(items: Column, k: Column) -> Column:
+    """The skill of a key from items (k, name, file, base) in order."""
+
+    def made(mine: Column) -> Column:
+        files = F.transform(mine, lambda x: x["file"])
+        one = F.filter(mine, lambda x, i: F.array_position(files, x["file"]) == i + 1)  # the first of each file
+        n, total = F.size(one), F.aggregate(one, F.lit(0.0), lambda a, x: a + x["base"])
+        conf = F.least(total / n + F.least(F.lit(K.SKILL_BOOST) * (n - 1), F.lit(K.SKILL_BOOST_CAP)), F.lit(1.0))
+        name = F.get(F.filter(mine, lambda x: x["name"] != k), 0)["name"]
+        return F.struct(F.coalesce(name, k).alias("name"), F.round(conf, 4).alias("confidence"), F.transform(one, lambda x: x["file"]).alias("sources"))
+
+    return F.get(F.transform(F.array(F.filter(items, lambda x: x["k"] == k)), made), 0)  # found once
+
+
+def resolve_few(records: DataFrame, by: str = "component", provenance: bool = True, scores: tuple[str, ...] = ()) -> DataFrame:
+    """What ``resolve`` gives, from the records of an entity gathered in order: one
+    shuffle.  No file or skill is null."""
+    marks = F.filter("provenance", lambda p: p["field"] == "skills")
+    base = F.coalesce(F.get(marks, 0)["confidence"], F.lit(K.SKILL_BASE))
+    names = [*SCALARS, *LISTS, *ENTRIES, "skills", "provenance"]
+    one = ordered(records).withColumn("base", base).select(by, F.struct("ord", "source_file", "base", *names).alias("r"))
+    rows = one.groupBy(by).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    every = lambda n: F.flatten(F.array_compact(F.col(f"r.{n}")))
+    items = lambda r: F.transform(r["skills"], lambda v: F.struct(F.lower(v).alias("k"), v.alias("name"), r["source_file"].alias("file"), r["base"].alias("base")))
+    top = lambda p: F.struct(F.substring_index(p["field"], ".", 1).alias("top"), p["source"].alias("source"), p["confidence"].alias("x"))
+    rows = rows.withColumns(
+        {f"_{n}": F.array_compact(every(n)) for n in LISTS} | {f"_{n}": _entry_arrays(every(n), fields, key) for n, (fields, key) in ENTRIES.items()}
+        | {"_skills": F.flatten(F.array_compact(F.transform("r", items))), "_marks": F.transform(every("provenance"), top)}
+    )
+
+    def score(mine: Column) -> Column:
+        sources = F.size(F.array_distinct(F.array_compact(F.transform(mine, lambda m: m["source"]))))
+        return F.when(F.size(mine) > 0, F.least(F.array_max(F.transform(mine, lambda m: m["x"])) + F.lit(K.CORROBORATION) * (sources - 1), F.lit(1.0)))
+
+    of = lambda s: F.filter("_marks", lambda m: m["top"] == s)
+    out = {n: F.get(F.array_compact(F.col(f"r.{n}")), 0) for n in SCALARS} | {n: distinct_by(F.col(f"_{n}"), F.lower) for n in LISTS}
+    out |= {n: _filled(F.col(f"_{n}"), F.col(f"_{n}.k"), fields) for n, (fields, _) in ENTRIES.items()}
+    out["skills"] = F.transform(F.array_sort(F.array_distinct(F.col("_skills.k"))), lambda k: _skill(F.col("_skills"), k))
+    out |= {f"_score_{s}": F.get(F.transform(F.array(of(s)), score), 0) for s in scores}
+    if provenance:
+        out["provenance"] = F.transform(every("provenance"), lambda p: F.struct(*[p[n].alias(n) for n in ("field", "source", "method", "confidence")]))
+    return _profile(rows.select(by, *[c.alias(n) for n, c in out.items()]), by, provenance, scores)
+
+
+def merged(records: DataFrame, by: str = "component", provenance: bool = True, scores: tuple[str, ...] = ()) -> DataFrame:
+    """``resolve``, but entities of up to ``FEW`` items are merged as arrays.  The
+    records should be settled, as they are read once more for the sizes."""
+    items = F.lit(1).cast("long")
+    for n in (*LISTS, *ENTRIES, "skills", "provenance"):
+        items = items + F.coalesce(F.array_size(n), F.lit(0))
+    odd = F.col("source_file").isNull() | F.coalesce(F.exists("skills", lambda v: v.isNull()), F.lit(False))
+    weight = F.when(odd, items + FEW).otherwise(items)
+    large = settle(records.groupBy(by).agg(F.sum(weight).alias("_items"), F.count("*").alias("_n")).filter(F.col("_items") > FEW).drop("_items"), "large-entities")
+    if large.isEmpty():
+        return resolve_few(records, by, provenance, scores)
+    sized = settle(heavy_join(records, large, [by], "_n", records.count(), how="left"), "sized")
+    few, many = sized.filter("_n is null").drop("_n"), sized.filter("_n is not null").drop("_n")
+    return resolve_few(few, by, provenance, scores).unionByName(resolve(many, by, provenance, scores))

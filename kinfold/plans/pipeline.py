@@ -17,7 +17,7 @@ from kinfold.functions.text import title_if_flat
 from kinfold.operators.confidence import active, from_scores
 from kinfold.operators.fuzzy_lookup import with_country
 from kinfold.operators.identity import EMAIL, NAME, entities
-from kinfold.operators.merge import resolve
+from kinfold.operators.merge import merged
 from kinfold.operators.prefix import ordered_totals
 from kinfold.operators.projection import Config, asks_provenance, project, to_json
 from kinfold.operators.scratch import delete, settle
@@ -75,7 +75,7 @@ def profiles(records: DataFrame, match_on: tuple[str, ...] = (EMAIL, NAME), prov
     ``provenance`` that array is neither gathered nor a column."""
     rows = settle(records, "records")  # read by the links and by each merge rule
     found = settle(entities(rows, match_on), "entities")
-    return from_scores(resolve(found, provenance=provenance, scores=tuple(active())))
+    return from_scores(merged(found, provenance=provenance, scores=tuple(active())))
 
 
 def transform(spark: SparkSession, paths: Iterable[str], config: Config, match_on: tuple[str, ...] = (EMAIL, NAME)) -> DataFrame:

@@ -258,7 +258,7 @@ WHERE score IS NOT NULL
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confidence of each field that a profile has, from its marks as rows."""
     found = settle(identity.entities(settle(_records(spark, sf_dir), "records"), (identity.EMAIL,)), "entities")
-    profile = merge.resolve(found, provenance=False, scores=tuple(confidence.active()))
+    profile = merge.merged(found, provenance=False, scores=tuple(confidence.active()))
     one = [F.struct(F.lit(n).alias("field"), F.round(F.when(on, F.col(f"_score_{n}")), 4).alias("score")) for n, on in confidence.active().items()]
     rows = profile.select(F.col("component").alias("seq"), F.explode(F.array(*one)).alias("x")).select("seq", "x.*")
     return rows.filter("score is not null")

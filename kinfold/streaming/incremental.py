@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinfold.operators.confidence import active, from_scores
 from kinfold.operators.identity import EMAIL, NAME, entities, keys
-from kinfold.operators.merge import resolve
+from kinfold.operators.merge import merged
 from kinfold.operators.scratch import exists, settle
 from kinfold.plans.pipeline import normalize
 
@@ -54,7 +54,7 @@ def merge_batch(batch: DataFrame, number: int, store: Store, match_on: tuple[str
     old = store.before(new, "records", number).drop("batch").join(members, "seq", "left_semi")
     found = settle(entities(settle(old.unionByName(new), "affected"), match_on), "entities")
     store.put(found.select("seq", "component"), "labels", number)
-    return from_scores(resolve(found, scores=tuple(active()))), touched
+    return from_scores(merged(found, scores=tuple(active()))), touched
 
 
 def merge_stream(

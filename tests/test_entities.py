@@ -331,6 +331,29 @@ def test_cells_give_what_the_rules_give_one_by_one(spark):
             assert a == b or abs(a - b) < 1e-12, (name, a, b)
 
 
+@pytest.mark.parametrize("few", [5, 60, 400])
+@pytest.mark.parametrize("provenance", [True, False])
+def test_arrays_give_what_cells_give(spark, monkeypatch, few, provenance):
+    """All entities as arrays, some, or nearly none."""
+    from kinfold.operators import scratch
+
+    monkeypatch.setattr(merge, "FEW", few)
+    records = random_records(spark, 12, 400).withColumn("component", F.when(F.col("seq") % 3 == 0, F.col("component")).otherwise(F.col("seq") % 50)).repartition(3)
+    records = records.withColumn("skills", F.when(F.col("seq") % 29 == 0, F.array(F.lit("go"), F.lit(None).cast("string"))).otherwise(F.col("skills")))
+    records = scratch.settle(records.withColumn("source_file", F.when(F.col("seq") % 31 != 0, F.col("source_file"))), "random")
+    scores = tuple(confidence.active())
+    got, want = merge.merged(records, provenance=provenance, scores=scores), merge.resolve(records, provenance=provenance, scores=scores)
+    assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() == 50
+
+
+def test_small_entities_are_shuffled_once(spark, tmp_path):
+    random_records(spark, 2).filter("component < 20").write.parquet(str(tmp_path / "records"))
+    out = merge.merged(spark.read.parquet(str(tmp_path / "records")), scores=tuple(confidence.active()))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_merge_scans_once_and_shuffles_three_times(spark, tmp_path):
     from kinfold.operators import merge
 
