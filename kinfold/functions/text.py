@@ -39,8 +39,9 @@ def title_if_flat(c: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Stripped lines that are not empty."""
-    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    """Stripped lines that are not empty: white space around line breaks goes in one
+    pass, which looks at each run of it once."""
+    return F.filter(F.split(F.regexp_replace(strip(text), r"(?U)(?<!\s)\s*\n\s*", "\n"), "\n"), lambda x: x != "")
 
 
 def split_clean(c: Column, pattern: str) -> Column:

@@ -27,6 +27,11 @@ def every(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is found once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\D", "")
 
@@ -36,10 +41,14 @@ def emails(text: Column) -> Column:
     return F.array_distinct(every(text, EMAIL))
 
 
+#: Finds what ``K.PHONE`` finds, but is tried only where one may start.
+PHONE = r"(?U)(?=[+(\d])" + K.PHONE
+
+
 def phones(text: Column) -> Column:
     """Finds with 7 to 15 digits, the first spelling of each digit string."""
-    found = F.filter(F.transform(every(text, K.PHONE), strip), lambda x: F.length(digits(x)).between(7, 15))
-    return distinct_by(found, digits)
+    found = F.filter(F.transform(every(text, PHONE), strip), lambda x: F.length(digits(x)).between(7, 15))
+    return once(found, lambda found: distinct_by(found, digits))
 
 
 def linkedin(text: Column) -> Column:
@@ -60,9 +69,9 @@ def person_name(rows: Column) -> Column:
     keywords = [w for words in K.SECTION_KEYWORDS.values() for w in words]
 
     def named(x: Column) -> Column:
-        words = F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
+        words = F.regexp_count(x, F.lit(r"(?U)\S+"))
         ratio = F.length(F.regexp_replace(x, r"(?U)[^\p{L}\s]", "")) / F.greatest(F.length(x), F.lit(1))
-        phone = x.rlike(K.PHONE) & (F.length(digits(x)) > 5)
+        phone = x.rlike(PHONE) & (F.length(digits(x)) > 5)
         return ~x.rlike(K.NOT_NAME) & ~x.rlike(EMAIL) & ~phone & ~F.lower(x).isin(*keywords) & words.between(1, 5) & (ratio > 0.7)
 
     return F.get(F.filter(F.slice(rows, 1, 5), named), 0)
@@ -71,26 +80,35 @@ def person_name(rows: Column) -> Column:
 def place(rows: Column, name: Column) -> Column:
     """struct(city, region) from the first of six lines with a state code."""
     near = F.filter(F.slice(rows, 1, 6), lambda x: ~x.eqNullSafe(name) & x.rlike(K.STATE))
-    parts = F.transform(F.split(F.get(near, 0), "[|•·]"), strip)
-    found = F.split(F.get(F.filter(parts, lambda s: s.rlike(K.STATE)), 0), ",")
-    city, after = strip(F.get(found, 0)), strip(F.get(found, 1))
-    region = F.nullif(F.get(F.split(after, r"(?U)\s+"), 0), F.lit(""))
-    return F.struct(F.when(~city.contains("@") & ~city.rlike(r"(?U)^\d+$"), city).alias("city"), region.alias("region"))
+    parts = once(F.get(near, 0), lambda x: F.transform(F.split(x, "[|•·]"), strip))
+    found = once(F.get(F.filter(parts, lambda s: s.rlike(K.STATE)), 0), lambda x: F.split(x, ","))
+
+    def made(found: Column) -> Column:
+        region = F.nullif(F.regexp_extract(F.get(found, 1), r"(?U)^\s*+(\S+)", 1), F.lit(""))
+        town = once(strip(F.get(found, 0)), lambda c: F.when(~c.contains("@") & ~c.rlike(r"(?U)^\d+$"), c))
+        return F.struct(town.alias("city"), region.alias("region"))
+
+    return once(found, made)
 
 
 def section_of(line: Column) -> Column:
-    """Name of the section that a header line opens, else null."""
-    c = strip(F.regexp_replace(F.lower(strip(line)), rf"{K.HEADER_EDGE}$", ""))
-    c = strip(F.regexp_replace(c, rf"^{K.HEADER_EDGE}", ""))
+    """Name of the section that a header line opens, else null: a keyword, with a run
+    of edge characters before and behind it at most."""
     names = {w: name for name, words in K.SECTION_KEYWORDS.items() for w in words}
-    return F.try_element_at(alias_map(names), c)
+    edge = rf"\s*+(?:{K.HEADER_EDGE})?+\s*+"
+    word = F.regexp_extract(F.lower(line), rf"(?U)^{edge}({'|'.join(names)}){edge}$", 1)
+    return F.try_element_at(alias_map(names), word)
 
 
 def section(rows: Column, heads: Column, name: str) -> Column:
     """Lines under the last header of that name (earlier ones are overwritten)."""
     at = F.array_max(F.transform(heads, lambda h, i: F.when(h == name, i)))
-    end = F.array_min(F.transform(heads, lambda h, i: F.when(h.isNotNull() & (i > at), i)))
-    return F.when(at.isNotNull(), F.slice(rows, at + 2, F.coalesce(end, F.size(rows)) - at - 1))
+
+    def below(at: Column) -> Column:
+        end = F.array_min(F.transform(heads, lambda h, i: F.when(h.isNotNull() & (i > at), i)))
+        return F.when(at.isNotNull(), F.slice(rows, at + 2, F.coalesce(end, F.size(rows)) - at - 1))
+
+    return once(at, below)
 
 
 def skills(part: Column) -> Column:
@@ -101,62 +119,77 @@ def _end(c: Column) -> Column:
     return F.when(~F.lower(c).isin("present", "current", "now"), c)
 
 
+#: Whatever ``K.DATE_RANGE`` finds has four digits in a row, which is seen much sooner.
+FOUR_DIGITS = r"(?U)\d{4}"
+
+
 def experience(part: Column) -> Column:
     """Entries: lines with three parts or a date range, and the bullets below.
-    Bullets above the first entry are its own."""
-    start = lambda x: x.rlike(K.ENTRY) | x.rlike(K.DATE_RANGE)
-    at = F.filter(F.transform(part, lambda x, i: F.when(start(x), i)), lambda i: i.isNotNull())
+    Bullets above the first entry are its own.  What a line is, is found once."""
+    line = lambda x: F.struct(x.alias("x"), x.rlike(K.ENTRY).alias("three"), (x.rlike(FOUR_DIGITS) & x.rlike(K.DATE_RANGE)).alias("dated"))
+    start = lambda j: j["three"] | j["dated"]
     dated = r"(?s)^(.*?)" + K.DATE_RANGE
 
-    def entry(i: Column, k: Column) -> Column:
-        x = F.get(part, i)
-        first = F.when(k == 0, F.lit(0)).otherwise(i)
-        below = F.slice(part, first + 1, F.coalesce(F.get(at, k + 1), F.size(part)) - first)
-        bullets = F.filter(below, lambda b: b.rlike(K.BULLET) & ~start(b))
-        bullets = F.transform(bullets, lambda b: strip(F.regexp_replace(b, r"^[-•·–→▪► ]+", "")))
-        three = x.rlike(K.ENTRY)
-        dates = F.when(three, strip(F.regexp_extract(x, K.ENTRY, 3))).otherwise(x)
-        group = lambda n: F.when(dates.rlike(K.DATE_RANGE), strip(F.regexp_extract(dates, K.DATE_RANGE, n)))
+    def head(j: Column) -> Column:
+        x = j["x"]
         before = F.split(F.regexp_replace(strip(F.regexp_extract(x, dated, 1)), "[-–—|•·]+$", ""), "[|•·–—]")
-        return F.struct(
-            F.when(three, strip(F.regexp_extract(x, K.ENTRY, 2))).when(F.size(before) >= 2, strip(F.get(before, 1))).alias("company"),
-            F.when(three, strip(F.regexp_extract(x, K.ENTRY, 1)))
-            .when((F.size(before) >= 2) | (strip(F.get(before, 0)) != ""), strip(F.get(before, 0)))
-            .alias("title"),
-            group(1).alias("start"),
-            _end(group(2)).alias("end"),
-            F.nullif(F.array_join(F.filter(bullets, lambda b: b != ""), " "), F.lit("")).alias("summary"),
-        )
+        none = F.lit(None).cast("string")
+        part_of = lambda n: strip(F.regexp_extract(x, K.ENTRY, n))
+        three = F.struct(part_of(2).alias("company"), part_of(1).alias("title"), part_of(3).alias("dates"))
 
-    return F.transform(at, entry)
+        def two(b: Column) -> Column:
+            first = strip(F.get(b, 0))
+            company, title = F.when(F.size(b) >= 2, strip(F.get(b, 1))).otherwise(none), F.when((F.size(b) >= 2) | (first != ""), first).otherwise(none)
+            return F.struct(company.alias("company"), title.alias("title"), x.alias("dates"))
 
+        return F.when(j["three"], three).otherwise(once(before, two))
 
-def education(part: Column) -> Column:
-    """Entries: lines with a degree; the next line may name the institution."""
+    def entry(jobs: Column, at: Column, i: Column, k: Column) -> Column:
+        first = F.when(k == 0, F.lit(0)).otherwise(i)
+        below = F.slice(jobs, first + 1, F.coalesce(F.get(at, k + 1), F.size(jobs)) - first)
+        bullets = F.filter(below, lambda b: ~start(b) & b["x"].rlike(K.BULLET))
+        bullets = F.transform(bullets, lambda b: strip(F.regexp_replace(b["x"], r"^[-•·–→▪► ]+", "")))
+
+        def made(h: Column) -> Column:
+            has = h["dates"].rlike(FOUR_DIGITS)
+            group = lambda n: F.when(has, F.nullif(F.regexp_extract(h["dates"], K.DATE_RANGE, n), F.lit("")))
+            return F.struct(
+                h["company"].alias("company"), h["title"].alias("title"), group(1).alias("start"), once(group(2), _end).alias("end"),
+                F.nullif(F.array_join(F.filter(bullets, lambda b: b != ""), " "), F.lit("")).alias("summary"),
+            )
+
+        return once(head(F.get(jobs, i)), made)
 
-    def degree(x: Column) -> Column:
-        hit = F.lit(False)
-        for word in K.DEGREE_KEYWORDS:
-            hit = hit | F.lower(x).contains(word)
-        return hit
+    def entries(jobs: Column) -> Column:
+        at = F.filter(F.transform(jobs, lambda j, i: F.when(start(j), i)), lambda i: i.isNotNull())
+        return once(at, lambda at: F.transform(at, lambda i, k: entry(jobs, at, i, k)))
 
+    return once(F.transform(part, line), entries)
+
+
+def education(part: Column) -> Column:
+    """Entries: lines with a degree; the next line may name the institution."""
+    words = "|".join(w.replace(".", r"\.") for w in K.DEGREE_KEYWORDS)
+    line = lambda x: F.struct(x.alias("x"), F.lower(x).rlike(words).alias("degree"), F.nullif(F.regexp_extract(x, K.YEAR, 1), F.lit("")).alias("year"))
     bare = lambda x: F.regexp_replace(strip(x), r"[|,\- ]+$", "")
-    year = lambda x: F.nullif(F.regexp_extract(x, K.YEAR, 1), F.lit(""))
     no_year = lambda x: bare(F.regexp_replace(x, K.YEAR, ""))
 
-    def entry(i: Column) -> Column:
-        x, following = F.get(part, i), F.get(part, i + 1)
-        other = following.isNotNull() & ~degree(following)
-        words = F.size(F.filter(F.split(following, r"(?U)\s+"), lambda w: w != ""))
+    def entry(rows: Column, i: Column) -> Column:
+        x, following = F.get(rows, i), F.get(rows, i + 1)
+        other = following.isNotNull() & ~following["degree"]
+        words = F.regexp_count(following["x"], F.lit(r"(?U)\S+"))
         return F.struct(
-            F.when(other & year(following).isNotNull(), no_year(following)).when(other & (words <= 10), bare(following)).alias("institution"),
-            F.when(year(x).isNotNull(), no_year(x)).otherwise(strip(x)).alias("degree"),
+            F.when(other & following["year"].isNotNull(), no_year(following["x"])).when(other & (words <= 10), bare(following["x"])).alias("institution"),
+            F.when(x["year"].isNotNull(), no_year(x["x"])).otherwise(strip(x["x"])).alias("degree"),
             F.lit(None).cast("string").alias("field"),
-            F.coalesce(year(x), F.when(other, year(following))).alias("end_year"),
+            F.coalesce(x["year"], F.when(other, following["year"])).alias("end_year"),
         )
 
-    at = F.filter(F.transform(part, lambda x, i: F.when(degree(x), i)), lambda i: i.isNotNull())
-    return F.transform(at, entry)
+    def entries(rows: Column) -> Column:
+        at = F.filter(F.transform(rows, lambda x, i: F.when(x["degree"], i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: entry(rows, i))
+
+    return once(F.transform(part, line), entries)
 
 
 def provenance(marks: list[tuple[str, Column, str, float]], source: Column) -> Column:
@@ -172,7 +205,7 @@ def parse_resumes(texts: DataFrame) -> DataFrame:
     """Records in the parsed schema from (source_file, seq, text); texts without
     any visible character give none."""
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    rows = texts.filter(F.length(strip(F.col("text"))) > 0).select("source_file", "seq", "text", lines(F.col("text")).alias("_lines"))
+    rows = texts.filter(F.col("text").rlike(r"(?U)\S")).select("source_file", "seq", "text", lines(F.col("text")).alias("_lines"))
     rows = rows.withColumn("_heads", F.transform("_lines", section_of)).withColumn("full_name", person_name(F.col("_lines")))
     text, ls = F.col("text"), F.col("_lines")
     part = {n: section(ls, F.col("_heads"), n) for n in K.SECTION_KEYWORDS}

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,23 @@ def test_repeated_header_wins_and_blank_texts_give_nothing(spark):
     assert (r.experience[0].title, r.experience[0].company, r.experience[0].start) == ("Senior", "Jan 2021", None)
 
 
+def test_long_resumes_are_read_once(spark):
+    """The work grows with the lines, not with their square or cube."""
+    job = "Dev | Acme {0} | Jan 2020 - Present\n- built {0}\nSide work {0} 2001 - 2002\n"
+    text = "Ada Byron\n" + "x\n" * 3000 + "Work History:\n" + "".join(job.format(i) for i in range(1500)) + "= Education =\n" + "MIT, 2001\nB.Sc. Maths\n" * 500
+    began = time.time()
+    r = parsed(spark, text).first()
+    assert time.time() - began < 20
+    assert len(r.experience) == 3000 and tuple(r.experience[2]) == ("Acme 1", "Dev", "Jan 2020", None, "built 1")
+    assert tuple(r.experience[2999]) == (None, "Side work 1499", "2001", "2002", None) and len(r.education) == 500
+
+
+def test_header_lines(spark):
+    heads = {"Skills": "skills", " ==Work History : ": "experience", "about me": "summary", "ABOUT:": "summary", "skills of all": None, "= =skills": None, "skills : :": None, "": None}
+    rows = spark.createDataFrame([(h,) for h in heads] + [(None,)], "h string").select("h", extract.section_of(F.col("h")).alias("s"))
+    assert {r.h: r.s for r in rows.collect()} == heads | {None: None}
+
+
 # -- identity ------------------------------------------------------------------
 
 
