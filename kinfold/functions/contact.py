@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .number_plan import Plan, assigned
-from .text import strip
+from .text import once, strip
 
 _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 _ATOM = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
@@ -18,8 +18,7 @@ ADDRESS = rf"^(?=.{{1,254}}$)(?=[^@]{{1,64}}@){_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\
 
 def normalize_email(c: Column) -> Column:
     """Stripped and lower-cased; null if it is no address."""
-    e = F.lower(strip(c))
-    return F.when(e.rlike(ADDRESS), e)
+    return once(F.lower(strip(c)), lambda e: F.when(e.rlike(ADDRESS), e))
 
 
 def normalize_emails(items: Column) -> Column:
@@ -28,13 +27,14 @@ def normalize_emails(items: Column) -> Column:
 
 def normalize_phone(c: Column, plan: Plan | None = None) -> Column:
     """E.164, numbers without a country code being North American; else null."""
-    raw = strip(c)
-    raw = F.regexp_replace(raw, r"(?i)\s*(?:ext\.?|x|#)\s*\d{1,7}$", "")
-    digits = F.regexp_replace(raw, r"[^0-9]", "")
-    plausible = raw.rlike(r"^[+(\d][\d\s().\-/]*$") & raw.rlike(r"\d")
-    local = F.when(digits.rlike(r"^1?\d{10}$"), F.concat(F.lit("1"), F.right(digits, F.lit(10))))
-    whole = F.when(raw.startswith("+"), digits).otherwise(local)
-    return F.when(plausible & assigned(whole, plan), F.concat(F.lit("+"), whole))
+
+    def number(raw: Column) -> Column:
+        plausible = raw.rlike(r"^[+(\d][\d\s().\-/]*$") & raw.rlike(r"\d")
+        local = lambda d: F.when(d.rlike(r"^1?\d{10}$"), F.concat(F.lit("1"), F.right(d, F.lit(10))))
+        whole = once(F.regexp_replace(raw, r"[^0-9]", ""), lambda d: F.when(raw.startswith("+"), d).otherwise(local(d)))
+        return F.when(plausible, once(whole, lambda w: F.when(assigned(w, plan), F.concat(F.lit("+"), w))))
+
+    return once(F.regexp_replace(strip(c), r"(?i)\s*(?:ext\.?|x|#)\s*\d{1,7}$", ""), number)
 
 
 def normalize_phones(items: Column, plan: Plan | None = None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold.constants import MONTH_YEAR, ONGOING, YEAR_MONTH, YEAR_ONLY
 
-from .text import strip
+from .text import once, strip
 
 _NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _NAMED = r"(?i)(?<![a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\.?(?![a-z])"
@@ -27,7 +27,11 @@ def _year_month(year: Column, month: Column) -> Column:
 
 
 def normalize_date(c: Column) -> Column:
-    d = strip(c)
+    return once(strip(c), _date)
+
+
+def _date(d: Column) -> Column:
+    """The month of a stripped text."""
     part = lambda pattern, i: F.regexp_extract(d, pattern, i)
     mm_first, yy_first = MONTH_YEAR, YEAR_MONTH
     full_iso, full_us = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})(?:[T ].*)?$", r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
@@ -36,7 +40,7 @@ def normalize_date(c: Column) -> Column:
     us_month = F.when(part(full_us, 1).try_cast("int") > 12, part(full_us, 2)).otherwise(part(full_us, 1))
     return (
         F.when(F.coalesce(d, F.lit("")) == "", None)
-        .when(is_ongoing(c), None)
+        .when(F.lower(d).isin(*ONGOING), None)
         .when(d.rlike(YEAR_ONLY), F.concat(d, F.lit("-01")))
         .when(d.rlike(mm_first), _year_month(part(mm_first, 2), part(mm_first, 1)))
         .when(d.rlike(yy_first), _year_month(part(yy_first, 1), part(yy_first, 2)))

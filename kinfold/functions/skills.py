@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.constants import FUZZY_SKILL_RATIO, SKILL_ALIASES
 
-from .text import clean, distinct_by
+from .text import clean, distinct_by, once
 
 
 def alias_map(aliases: dict[str, str]) -> Column:
@@ -18,9 +18,12 @@ def alias_map(aliases: dict[str, str]) -> Column:
 
 def canonicalize_skill(c: Column, aliases: dict[str, str] = SKILL_ALIASES) -> Column:
     """Canonical name of a known alias, else the stripped text; blank gives null."""
-    s = clean(c)
-    known = F.lower(s).isin(*aliases)  # one look into a hash set; the map is read from its front
-    return F.coalesce(F.when(known, F.try_element_at(alias_map(aliases), F.lower(s))), s)
+
+    def named(s: Column) -> Column:
+        known = F.lower(s).isin(*aliases)  # one look into a hash set; the map is read from its front
+        return F.coalesce(F.when(known, F.try_element_at(alias_map(aliases), F.lower(s))), s)
+
+    return once(clean(c), named)
 
 
 #: Letters of a name that fit the bits of a long, one of which stays free.

@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITE = r"(?U)^\s+|\s+$"
+#: What ``(?U)\\s`` matches: trimming by a set of characters looks at the ends only.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is found once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def strip(c: Column) -> Column:
     """Without white space (Unicode) at both ends."""
-    return F.regexp_replace(c, WHITE, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean(c: Column) -> Column:
     """Stripped; blank and null give null."""
-    return F.nullif(strip(c), F.lit(""))
+    return once(strip(c), lambda s: F.nullif(s, F.lit("")))
 
 
 def distinct_by(items: Column, key) -> Column:
     """First item of each key, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+    def first(items: Column) -> Column:
+        return once(F.transform(items, key), lambda keys: F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+
+    return once(items, first)
 
 
 def title(c: Column) -> Column:
@@ -33,9 +42,12 @@ def title(c: Column) -> Column:
 
 def title_if_flat(c: Column) -> Column:
     """Title case if the text is all upper or all lower case, else the stripped text."""
-    t = strip(c)
-    flat = (F.upper(t) != F.lower(t)) & ((F.upper(t) == t) | (F.lower(t) == t))
-    return F.when(flat, title(t)).otherwise(t)
+
+    def titled(t: Column) -> Column:
+        flat = (F.upper(t) != F.lower(t)) & ((F.upper(t) == t) | (F.lower(t) == t))
+        return F.when(flat, title(t)).otherwise(t)
+
+    return once(strip(c), titled)
 
 
 def lines(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold import constants as K
 from kinfold.functions.skills import alias_map
-from kinfold.functions.text import distinct_by, lines, split_clean, strip
+from kinfold.functions.text import distinct_by, lines, once, split_clean, strip
 from kinfold.schema import EDUCATION, EXPERIENCE, PROVENANCE
 
 REGEX = K.BASE_CONFIDENCE["pdf"] * K.METHOD_FACTOR["regex"]
@@ -27,11 +27,6 @@ def every(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def once(value: Column, use) -> Column:
-    """``use`` of a value that is found once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\D", "")
 
@@ -41,27 +36,28 @@ def emails(text: Column) -> Column:
     return F.array_distinct(every(text, EMAIL))
 
 
-#: Finds what ``K.PHONE`` finds, but is tried only where one may start.
+#: Find what the patterns of ``K`` find, but are tried only where one may start.
 PHONE = r"(?U)(?=[+(\d])" + K.PHONE
+LINKEDIN, GITHUB, URL = "(?=[hHwWlL])" + K.LINKEDIN, "(?=[hHwWgG])" + K.GITHUB, "(?=[hH])" + K.URL
 
 
 def phones(text: Column) -> Column:
     """Finds with 7 to 15 digits, the first spelling of each digit string."""
     found = F.filter(F.transform(every(text, PHONE), strip), lambda x: F.length(digits(x)).between(7, 15))
-    return once(found, lambda found: distinct_by(found, digits))
+    return distinct_by(found, digits)
 
 
 def linkedin(text: Column) -> Column:
-    return F.get(every(text, K.LINKEDIN), 0)
+    return F.get(every(text, LINKEDIN), 0)
 
 
 def github(text: Column) -> Column:
-    return F.get(every(text, K.GITHUB), 0)
+    return F.get(every(text, GITHUB), 0)
 
 
 def other_urls(text: Column) -> Column:
     """Links to neither of the two networks; the first is the portfolio."""
-    return F.filter(every(text, K.URL), lambda u: ~F.lower(u).contains("linkedin.com") & ~F.lower(u).contains("github.com"))
+    return F.filter(every(text, URL), lambda u: ~F.lower(u).contains("linkedin.com") & ~F.lower(u).contains("github.com"))
 
 
 def person_name(rows: Column) -> Column:

@@ -1,11 +1,14 @@
 """Scalar functions against vectors."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold import constants as K
 from kinfold.errors import ConfigError
 from kinfold.functions import contact, dates, ids, places, skills, text
-from kinfold.operators import audit, projection
+from kinfold.operators import audit, extract, projection
 
 
 def ev(spark, values, f, kind="string"):
@@ -106,3 +109,22 @@ def test_config_from_a_file(spark, tmp_path):
             projection.load_config(spark, str(tmp_path / name))
     with pytest.raises(ConfigError, match="cannot read"):
         projection.load_config(spark, str(tmp_path / "absent.json"))
+
+
+def test_strip_takes_what_the_unicode_class_does(spark):
+    """Every character of the basic plane that is white for the pattern, and no other."""
+    rows = spark.range(1, 0xD800).union(spark.range(0xE000, 0x10000)).select(F.decode(F.unhex(F.format_string("%04X", "id")), "UTF-16BE").alias("c"))
+    rows = rows.withColumn("t", F.concat("c", "c", F.lit("a"), "c", F.lit("b日"), "c"))
+    plain = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert rows.filter(~text.strip(F.col("t")).eqNullSafe(plain)).count() == 0 and rows.filter(plain != F.col("t")).count() == len(text.WHITE)
+    blank = spark.createDataFrame([("",), (" \n\u3000",), (None,)], "t string").select(text.strip(F.col("t")).alias("s")).collect()
+    assert [r.s for r in blank] == ["", "", None]
+
+
+def test_patterns_that_start_late_find_the_same(spark):
+    rng = random.Random(6)
+    parts = ["http://", "HTTPS://", "www.", "WWW.", "linkedin.com/in/", "LinKedIn.com/in/", "lin\u212aedin.com/in/", "github.com/", "G\u0130THUB.com/", "g\u0131thub.com/", "ab-c", "/", " ", ",", "+1 ", "(415) ", "555", "-", "1234", "\u0664\u0661\u0665", ".", "\u017f"]
+    rows = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randrange(14))),) for _ in range(5000)], "t string")
+    for plain, own in ((K.PHONE, extract.PHONE), (K.LINKEDIN, extract.LINKEDIN), (K.GITHUB, extract.GITHUB), (K.URL, extract.URL)):
+        a, b = (extract.every(F.col("t"), p) for p in (plain, own))
+        assert rows.filter(~a.eqNullSafe(b)).count() == 0 and rows.filter(F.size(a) > 0).count() > 100
